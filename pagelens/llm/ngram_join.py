@@ -70,16 +70,16 @@ def _node(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _survey(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "size", "node", "block", "counts"]
+        names = ["doc_id", "k", "size", "node", "block", "counts"]
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("k")
             for i, j, row, token in _sets(batch.column("text"), width):
                 np.add.at(cells, (token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 size = np.bincount(row, minlength=j - i)
-                yield pa.record_batch([ids.slice(i, j - i), pa.array(size), pa.array(_node(row, token, size)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+                yield pa.record_batch([ids.slice(i, j - i), keys.slice(i, j - i), pa.array(size), pa.array(_node(row, token, size)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
         if cells.any():
             for k, part in enumerate(cells.reshape(BLOCKS, -1)):
-                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+                yield pa.record_batch([*[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
 
     return rows
 
@@ -139,21 +139,21 @@ def _close(n: str, at: str, m: str, to: str, percent: int) -> str:
 def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row of docs."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = settled(docs.mapInArrow(_survey(width), "doc_id long, size long, node long, block int, counts binary"))
-    rows = survey.where("block is null").select("doc_id", "size", "node")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+    survey = settled(docs.mapInArrow(_survey(width), "doc_id long, k long, size long, node long, block int, counts binary"))
+    rows = survey.where("block is null").select("doc_id", "k", "size", "node")
     cells = np.zeros((BLOCKS, (1 << SKETCH_BITS) // BLOCKS), np.int64)
     for r in survey.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_summed, "block int, counts binary").toLocalIterator():
         cells[r.block] += np.frombuffer(r.counts, np.int64)
     sketch = spark.sparkContext.broadcast(np.minimum(cells.ravel(), 2**31 - 1).astype(np.int32))
 
-    posted = docs.where("text is not null").mapInArrow(_postings(width, percent, sketch), "token long, node long, n int, at int")
+    posted = docs.where("text is not null").select("text").mapInArrow(_postings(width, percent, sketch), "token long, node long, n int, at int")
     met = posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     posted = settled(posted.join(met, "token", "left_semi").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")))
 
-    nodes = rows.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = rows.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("first")).select("node", "first.*")
     wanted = nodes.join(posted.select("node").distinct(), "node", "left_semi")
-    wanted = wanted.join(docs, "doc_id").select("node", "text")
+    wanted = wanted.join(docs, ["doc_id", "k"]).select("node", "text")
     texts = settled(wanted.dropDuplicates(["node"]) if _repeats(rows) else wanted)
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -168,11 +168,11 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     held = posted.join(groups, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("g"))
     mixed = held.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("token")
     held = settled(held.join(mixed, "token", "left_semi"))
-    matrix = held.groupBy("token", "g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    matrix = held.groupBy("token", "g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
     asked = held.join(matrix.select("token", "g", F.col("members").alias("own")), ["token", "g"])
     groups_met = asked.join(matrix.withColumnRenamed("g", "h"), "token").where("g <> h and (own < members or own = members and g < h)")
     # The smallest partner that could link bounds the overlap that is needed; the largest rest bounds the overlap there is.
-    groups_met = groups_met.where(f"100L * most >= {percent} * n and 100L * n >= {percent} * least and {100 + percent}L * least(n - at, rest) >= {percent}L * (n + greatest(least, ceil({percent} * n / 100)))".replace("greatest(least,", "greatest(`least`,").replace("* least and", "* `least` and"))
+    groups_met = groups_met.where(f"100L * most >= {percent} * n and 100L * n >= {percent} * fewest and {100 + percent}L * least(n - at, rest) >= {percent}L * (n + greatest(fewest, ceil({percent} * n / 100)))")
     opened = groups_met.select("token", "node", "n", "at", "h").join(held.select("token", F.col("g").alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("to")), ["token", "h"]).where(_close("n", "at", "m", "to", percent))
     links = links.unionByName(compared(opened))
 
