@@ -1,0 +1,20 @@
+"""Global positions in an order, without a task that sees all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .session import settled
+
+
+def ranked(df: DataFrame, *keys, name: str = "rank") -> DataFrame:
+    """df with its position (from 0) in the order of keys, which should tell different rows apart.
+
+    Rows are dealt into ranges and sorted there; the ranges' sizes, one row each, give where each range begins.
+    """
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = settled(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    begin = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))
+    return dealt.join(F.broadcast(begin), "_part").withColumn(name, F.col("_begin") + F.col("_row")).drop("_part", "_row", "_begin")  # a row for each range
