@@ -184,3 +184,11 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def _repeats(rows: DataFrame) -> bool:
     return not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def keep_one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs without the rows whose group has a smaller doc_id; of repeated rows one stays; all columns stay."""
+    found = settled(link_documents(docs, width, percent))
+    gone = found.where("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(found) else kept

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .ranks import ranked
 from .token_counts import loaded
 
-LENGTH, GRAIN, END_ID, STEPS = 2048, 8, 1, 4000
+#: The program ends when no plan could use fewer sequences than this share less.
+LENGTH, GRAIN, END_ID, STEPS, SLACK = 2048, 8, 1, 4000, 0.0005
 #: Words whose ids a task keeps; it starts anew when there are more.
 CACHE = 200_000
 _BREAK = re.compile("[ \n]+")
@@ -89,7 +90,7 @@ def plan(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = STEPS) -
     for _ in range(steps):
         prices = np.ones(m) @ inverse
         new = best_pattern(prices, sizes, room)
-        if prices @ new <= 1 + 1e-7:
+        if prices @ new <= 1 + SLACK:  # Farley's bound
             break
         change = inverse @ new
         ratio = np.where(change > 1e-9, level / np.where(change > 1e-9, change, 1), np.inf)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokens
 
@@ -164,5 +165,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     """docs with a column quality_score."""
     net = train(docs, labels, rows)
     docs = docs.drop("quality_score").withColumn("text", F.col("text").cast("string"))
-    schema = docs.schema.add("quality_score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
     return docs.mapInArrow(_scores(net), schema)
