@@ -135,16 +135,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where(F.col("doc_id").isNotNull())
     anchors = named.mapInArrow(_anchor_rows(width), "h long, doc_id long")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    # Tables that rows are joined with are settled first: then Spark can split the join of a hot key.
+    shared = settled(anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h"))
     # A later copy of a whole text needs no windows: all of it starts in its first copy.
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("k"))
-    firsts = keyed.groupBy("k").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    firsts = settled(keyed.groupBy("k").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
     copies = settled(keyed.join(firsts, "k").where("doc_id > low").select("doc_id", "k").distinct())
     marks = anchors.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
     marks = settled(marks.join(copies.select("doc_id").distinct(), "doc_id", "left_anti"))
     windows = named.join(marks, "doc_id").mapInArrow(_window_rows(width), "h long, g int, doc_id long")
-    lows = windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
-    gone = windows.join(lows, ["h", "g"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    lows = settled(windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low"))
+    gone = settled(windows.join(lows, ["h", "g"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h").alias("gone")))
     info = gone.select("doc_id", "gone", F.lit(None).cast("string").alias("k")).unionByName(copies.select("doc_id", F.lit(None).cast("array<long>").alias("gone"), "k"))
     info = info.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.collect_set("k").alias("ks"))
     rows = docs.join(info, "doc_id", "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"), F.coalesce(F.array_contains("ks", F.md5(F.col("text").cast("binary"))), F.lit(False)).alias("copy"))
