@@ -148,7 +148,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sketch = spark.sparkContext.broadcast(np.minimum(cells.ravel(), 2**31 - 1).astype(np.int32))
 
     posted = docs.where("text is not null").select("text").mapInArrow(_postings(width, percent, sketch), "token long, node long, n int, at int")
-    met = posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    met = settled(posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"))
     posted = settled(posted.join(met, "token", "left_semi").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")))
 
     nodes = rows.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("first")).select("node", "first.*")
@@ -166,7 +166,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     groups = connected_components(links)
 
     held = posted.join(groups, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("g"))
-    mixed = held.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("token")
+    mixed = settled(held.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("token"))
     held = settled(held.join(mixed, "token", "left_semi"))
     matrix = held.groupBy("token", "g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
     asked = held.join(matrix.select("token", "g", F.col("members").alias("own")), ["token", "g"])
@@ -178,7 +178,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     named = connected_components(links).select("node", "component")
     full = rows.join(named, "node", "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "node")).alias("c"))
-    least = full.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    least = settled(full.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id")))
     return full.join(least, "c", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
