@@ -1,11 +1,204 @@
-"""Queries over the web-page tables and the SQL that says what each must return."""
+"""Queries over the web-page tables and inline rows, and the SQL that says what each must return."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as T
+from .functions import urls as U
+from .operators import crawl as C
+from .operators import relational as R
+from .plans import meta_lane, page_audit, rubric
+from .sources.tables import pages, reach, table
 
-def oracle_sql() -> dict:
-    return {}
+# --- pages -----------------------------------------------------------------------------------------------------------
+
+
+def page_clean_text_stats(spark, sf_dir):
+    p = pages(spark, sf_dir).select("page_id", T.clean_text(F.col("html")).alias("t"))
+    return p.select("page_id", F.char_length("t").alias("n_chars"), F.size(T.words(F.col("t"))).alias("n_words"))
+
+
+def page_head_facts(spark, sf_dir):
+    h = F.col("html")
+    return pages(spark, sf_dir).select("page_id", T.title(h).alias("title"), T.lang(h).alias("lang"), T.meta_description(h).alias("description"), F.size(T.tags(h, "h1")).alias("h1_count"))
+
+
+def page_link_counts(spark, sf_dir):
+    h, host = F.col("html"), U.bare_host(F.col("url"))
+    return pages(spark, sf_dir).select("page_id", F.size(T.internal_links(h, host)).alias("n_internal"), F.size(T.external_links(h, host)).alias("n_external"))
+
+
+def page_structure_counts(spark, sf_dir):
+    return page_audit.facts(pages(spark, sf_dir)).select("page_id", "n_lists", "n_tables", "n_images")
+
+
+def page_blocks(spark, sf_dir):
+    b = pages(spark, sf_dir).select("page_id", F.posexplode(T.blocks(F.col("html"))).alias("pos", "b"))
+    return b.select("page_id", "pos", F.col("b.tag").alias("tag"), F.col("b.text").alias("text"))
+
+
+def first_50_words(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", T.first_words(T.clean_text(F.col("html"))).alias("first"))
+
+
+def nav_word_share(spark, sf_dir):
+    p = page_audit.facts(pages(spark, sf_dir)).select("page_id", F.slice("words", 1, 50).alias("w"), "nav")
+    return p.select("page_id", F.size(F.filter("w", lambda x: F.array_contains(F.col("nav"), F.lower(x)))).alias("in_nav"), F.size("w").alias("n"))
+
+
+def title_terms(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.array_join(F.array_sort(T.terms(T.title(F.col("html")))), ",").alias("terms"))
+
+
+def sentence_extract(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.regexp_replace("text", r"\s+", " ")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n_sentences"), F.size(F.filter("s", lambda x: x.rlike("[0-9]"))).alias("n_with_number"))
+
+
+def fact_density_by_page(spark, sf_dir):
+    p = pages(spark, sf_dir).select("page_id", T.blocks(F.col("html")).alias("b"))
+    return p.select("page_id", F.size("b").alias("n_blocks"), F.size(F.filter("b", T.is_fact)).alias("n_facts"))
+
+
+# --- addresses -------------------------------------------------------------------------------------------------------
+
+
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", U.bare_host(u).alias("host"), U.norm_url(u).alias("norm"), U.lang_segment(u).alias("segment"), F.array_join(T.terms(F.regexp_replace(U.path(u), "[-_/]", " ")), " ").alias("path_terms"))
+
+
+_SOURCES = ["https://www.cdc.gov/flu", "https://arxiv.org/abs/1", "https://medium.com/x", "http://blog.example.org/a", "https://docs.example.com/", "https://shop.example.org:8080/p"]
+
+
+def source_tier(spark, sf_dir):
+    rows = spark.createDataFrame([(u,) for u in _SOURCES], "url string")
+    return rows.select("url", U.source_tier(F.col("url"), F.lit("shop.example.org")).alias("tier"))
+
+
+# --- sites -----------------------------------------------------------------------------------------------------------
+
+
+def _terms(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    found = T.terms(F.concat_ws(" ", T.title(F.col("html")), F.array_join(T.distinct_tags(F.col("html"), "h1"), " ")))
+    return p.select(U.bare_host(F.col("url")).alias("site"), "page_id", F.explode(found).alias("term"))
+
+
+def term_coverage(spark, sf_dir):
+    return R.term_coverage(_terms(spark, sf_dir))
+
+
+def topic_gaps(spark, sf_dir):
+    coverage = R.term_coverage(_terms(spark, sf_dir))
+    noise = spark.createDataFrame([("min",), ("sec",), ("tool",), ("page",)], "term string")
+    return R.topic_gaps(coverage, "ththth.example.net", F.broadcast(noise))
+
+
+def title_keyword_clash(spark, sf_dir):
+    return R.similar_pairs(_terms(spark, sf_dir)).select("site", "a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+def duplicate_titles(spark, sf_dir):
+    t = pages(spark, sf_dir).select("page_id", T.title(F.col("html")).alias("title"))
+    return t.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
+
+
+def systematic_sample(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("site"), "page_id")
+    return R.systematic_sample(p, "site", "page_id", 5)
+
+
+def bench_summary(spark, sf_dir):
+    f = page_audit.facts(pages(spark, sf_dir)).select("site", F.size("words").alias("n_words"), "n_lists", "n_tables", "n_images", (F.size(F.filter("blocks", T.is_fact)) / F.nullif(F.size("blocks"), F.lit(0))).alias("density"))
+    return f.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"), F.median("n_words").cast("long").alias("median_words"), F.round(F.median("density"), 9).alias("median_density"), F.count_if(F.col("n_lists") > 0).alias("with_lists"), F.count_if(F.col("n_tables") > 0).alias("with_tables"), F.count_if(F.col("n_images") > 0).alias("with_images"))
+
+
+# --- scores ----------------------------------------------------------------------------------------------------------
+
+
+def _scores(spark, sf_dir):
+    return rubric.long_scores(page_audit.audit_items(page_audit.facts(pages(spark, sf_dir))), "page_id", page_audit.ITEMS)
+
+
+def audit_items(spark, sf_dir):
+    return page_audit.audit_items(page_audit.facts(pages(spark, sf_dir)))
+
+
+def lane_scorecard(spark, sf_dir):
+    card = rubric.scorecard(_scores(spark, sf_dir), rubric.rubric(spark))
+    return card.select(F.col("entity").alias("page_id"), "got", "full", "failed_gates", "below_floor", "unobserved", F.round("ratio", 9).alias("ratio"), "verdict")
+
+
+def next_action(spark, sf_dir):
+    return rubric.next_action(_scores(spark, sf_dir), rubric.rubric(spark)).select(F.col("entity").alias("page_id"), "item")
+
+
+def run_compare(spark, sf_dir):
+    scores = _scores(spark, sf_dir)
+    old = scores.where("entity % 2 = 0 or item <> 'C2'").withColumn("score", F.when(F.col("item").isin("C1", "I1"), F.col("score") - 1).when(F.col("item") == "I2", None).when((F.col("item") == "C2") & (F.col("score") < 3), F.col("score") + 1).otherwise(F.col("score")))
+    return R.compare_runs(old, scores).groupBy("item", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PAIRS = [
+    (1, "Free PDF converter for teams", "Convert a PDF to PNG in 3 seconds, no sign-up needed. Export and download your files for free, as often as you like.", "pdf converter", "tool"),
+    (2, "Short", "Too short", "pdf", "home"),
+    (3, "Pricing of our amazing revolutionary editor suite", "From $9 / month. The best ever editor, amazing value and cutting-edge speed for developers and marketers everywhere.", "editor", "pricing"),
+    (4, "A title without the wanted word at all, which is rather long for a title", "Words words words words words words words words words words words words words.", "converter", None),
+    (5, None, None, None, "home"),
+    (6, "Random word generator", "random word generator", "generator", "tool"),
+]
+
+
+def meta_items(spark, sf_dir):
+    return meta_lane.meta_items(spark.createDataFrame(_PAIRS, "id int, title string, description string, keyword string, page_type string"))
+
+
+# --- crawl -----------------------------------------------------------------------------------------------------------
+
+
+def reach_class(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.element_at(F.array(*map(F.lit, (200, 301, 403, 404, 410, 429, 500, None))), (F.col("page_id") % 8 + 1).cast("int")).alias("status")).select("page_id", reach(F.col("status")).alias("reach"))
+
+
+_ROBOTS = [
+    ("a", "User-agent: Googlebot\nDisallow: /x # no\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\nUser-agent: *\nAllow: /\n"),
+    ("b", "Disallow: /lost\nUser-agent: *\nDisallow: /\nAllow: /$\n"),
+    ("c", ""),
+    ("d", "User-agent: *\nDisallow: /*\n\nUser-agent: bingbot\nDisallow:\n"),
+]
+
+
+def robots_decision(spark, sf_dir):
+    agents = spark.createDataFrame([(a,) for names in C.AGENTS.values() for a in names], "agent string")
+    return C.robots_decisions(spark.createDataFrame(_ROBOTS, "site string, body string"), agents)
+
+
+def sitemap_hygiene(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("site"), F.when(F.col("page_id") % 11 == 0, "/rel").otherwise(F.col("url")).alias("loc"), F.when(F.col("page_id") % 3 == 0, "2026-01-02").when(F.col("page_id") % 3 == 1, "02.01.2026").alias("lastmod"))
+    return C.sitemap_hygiene(p)
+
+
+_HOPS = [("http://a/", 301, "https://a/"), ("https://a/", 302, "https://a/home"), ("https://a/home", 200, None), ("https://loop/", 301, "https://loop/"), ("https://gone/", 404, None)]
+
+
+def redirect_chain(spark, sf_dir):
+    hops = spark.createDataFrame(_HOPS, "url string, status int, location string")
+    return C.follow_redirects(hops.select(F.col("url").alias("start")), hops)
+
+
+_QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts, source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracles import ORACLES
+
+    return dict(ORACLES)
