@@ -1,8 +1,8 @@
 """License scans by MinHash bands over overlapping text windows, in DataFrame functions alone.
 
 Words are lower-cased runs of letters, digits and characters beyond ASCII; a shingle is five of them.  A template of T
-shingles belongs to the size s, the least power of two from T on.  A text's windows of that size hold 2 s shingles and
-start every s, so that each run of T shingles lies whole in one of them.
+shingles belongs to the size s, the least power of two from T on.  A text's windows of that size hold 2 s shingles (one
+if s is 1) and start every s, so that each run of T shingles lies whole in one of them.
 
 A window holds a template if it has at least 0.8 of the template's shingles, so their Jaccard similarity is at least
 J = need / (2 s + T - need).  A band is one MinHash: the least shingle hash after an exclusive or with the band's
@@ -30,6 +30,8 @@ from .columns import keyed, plain_words
 WIDTH, PERCENT, MISS = 5, 80, 0.001
 #: Band keys of templates stand in the plan; more templates are to be scanned in several calls.
 MOST_TEMPLATES = 2000
+#: The largest block that is made in one step.
+SMALLEST = 8
 # Notices by which texts state their license.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -42,8 +44,9 @@ TEMPLATES = (
 
 
 def _hashes(words: Column, width: int) -> Column:
+    """Hashes of the shingles of an array of word hashes."""
     none = F.array().cast("array<long>")
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(none)
+    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(width))))).otherwise(none)
 
 
 def _grams(words: Column, width: int) -> Column:
@@ -52,8 +55,8 @@ def _grams(words: Column, width: int) -> Column:
 
 
 def constant(band: int) -> int:
-    """The band's 64 bits, as a signed number."""
-    bits = (band + 1) * 0x9E3779B97F4A7C15 % 2**64
+    """The band's 64 bits, as a signed number; none are set for the first."""
+    bits = band * 0x9E3779B97F4A7C15 % 2**64
     return bits - 2**64 if bits >= 2**63 else bits
 
 
@@ -61,16 +64,21 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def held_by(side: int) -> int:
+    """Shingles of a window: each run of ``side`` shingles lies whole in one of the windows."""
+    return 1 if side == 1 else 2 * side
+
+
 def bands_for(sizes: list[int], side: int, percent: int = PERCENT, miss: float = MISS) -> int:
     """How many bands keep the chance of a miss at most ``miss`` for templates of these shingle counts."""
-    worst = min(needed(n, percent) / (2 * side + n - needed(n, percent)) for n in sizes)
-    return max(1, math.ceil(math.log(miss) / math.log(1 - worst)))
+    worst = min(needed(n, percent) / (held_by(side) + n - needed(n, percent)) for n in sizes)
+    return 1 if worst == 1 else math.ceil(math.log(miss) / math.log(1 - worst))
 
 
 def _read(templates: DataFrame, width: int) -> dict[int, list[tuple[str, list[int], list[str]]]]:
     """Templates by size: name, shingle hashes and shingles."""
     words = templates.select(F.col("license").cast("string").alias("license"), plain_words(F.col("text").cast("string")).alias("w"))
-    rows = words.select("license", F.array_distinct(_hashes(F.col("w"), width)).alias("h"), _grams(F.col("w"), width).alias("g")).distinct().limit(MOST_TEMPLATES + 1).collect()
+    rows = words.select("license", F.array_distinct(_hashes(F.transform("w", lambda x: F.xxhash64(x)), width)).alias("h"), _grams(F.col("w"), width).alias("g")).distinct().limit(MOST_TEMPLATES + 1).collect()
     if len(rows) > MOST_TEMPLATES or any(not r.g for r in rows):
         raise ValueError(f"at most {MOST_TEMPLATES} templates, each of {width} words or more")
     by_side = defaultdict(list)
@@ -91,18 +99,31 @@ def find_licenses(docs: DataFrame, templates: DataFrame, width: int = WIDTH, per
     held = [(side, k, min(x ^ constant(k) for x in h), name, g) for side, own in known.items() for name, h, g in own for k in range(count[side])]
     held = F.broadcast(spark.createDataFrame(held, "side int, band int, key long, license string, grams array<string>"))  # bounded by MOST_TEMPLATES
 
-    def permuted(k: int) -> Column:
-        return F.transform("h", lambda x: x.bitwiseXOR(F.lit(constant(k))))
-
     rows = docs.where("text is not null").select("_id", "_k", plain_words(F.col("text")).alias("w"))
-    rows = rows.where(F.size("w") >= width).withColumn("h", _hashes(F.col("w"), width))
-    rows = rows.select("_id", "_k", "w", *(permuted(k).alias(f"m{k}") for k in range(max(count.values()))))
+    rows = rows.select("_id", "_k", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("each"))
+    rows = rows.select("_id", "_k", "w", _hashes(F.col("each"), width).alias("h"))
+    # Least values of blocks, from small blocks to twice as large ones; b1_0 are the hashes themselves.
+    rows, side = rows.withColumn("b1_0", F.col("h")), min([s for s in known if s > 1] + [SMALLEST])
+    blocks = lambda step: F.sequence(F.lit(0), F.expr(f"int((size(h) - 1) div {step})"))
+
+    def first(k: int, step: int) -> Column:
+        return F.transform(blocks(step), lambda i: F.least(*(F.get("h", i * step + j).bitwiseXOR(F.lit(constant(k))) for j in range(step))))
+
+    def doubled(k: int, step: int) -> Column:
+        return F.transform(blocks(step), lambda i: F.least(F.get(f"b{step // 2}_{k}", i * 2), F.get(f"b{step // 2}_{k}", i * 2 + 1)))
+
+    made = False
+    while side <= max(known):
+        bands = range(max(n for s, n in count.items() if s >= side))
+        rows = rows.select("*", *((doubled if made else first)(k, side).alias(f"b{side}_{k}") for k in bands))
+        made, side = True, 2 * side
 
     def windows(side: int) -> Column:
         """The windows of a size that agree with a template in a band."""
 
         def least(i: Column, k: int) -> Column:
-            return F.array_min(F.slice(F.col(f"m{k}"), i * side + 1, 2 * side))
+            values = F.col(f"b{side}_{k}")
+            return F.get(values, i) if side == 1 else F.least(F.get(values, i), F.get(values, i + 1))
 
         def agrees(i: Column) -> Column:
             found = F.lit(False)
@@ -110,11 +131,18 @@ def find_licenses(docs: DataFrame, templates: DataFrame, width: int = WIDTH, per
                 found = found | least(i, k).isin(keys[side, k])
             return found
 
-        starts = F.sequence(F.lit(0), F.expr(f"int((size(m0) - 1) div {side})"))
-        bands = lambda i: F.array(*(F.struct(F.lit(k).alias("band"), least(i, k).alias("key")) for k in range(count[side])))
-        return F.transform(F.filter(starts, agrees), lambda i: F.struct(F.lit(side).alias("side"), i.alias("at"), bands(i).alias("bands"), F.slice("w", i * side + 1, 2 * side + width - 1).alias("words")))
-
-    met = rows.select("_id", "_k", F.explode(F.concat(*map(windows, sorted(known)))).alias("x")).select("_id", "_k", "x.side", "x.at", "x.words", F.explode("x.bands").alias("b"))
+        each = lambda i: F.array(*(F.struct(F.lit(k).alias("band"), least(i, k).alias("key")) for k in range(count[side])))
+        found = F.transform(F.filter(blocks(side), agrees), lambda i: F.struct(F.lit(side).alias("side"), each(i).alias("bands"), F.slice("w", i * side + 1, held_by(side) + width - 1).alias("words")))
+        # A window's least value is one of its blocks' least values, so a text without such a block needs no windows.
+        some = F.lit(False)
+        for k in range(count[side]):
+            some = some | F.arrays_overlap(F.col(f"b{side}_{k}"), F.lit(keys[side, k]))
+        return F.when(some, found)
+
+    none = F.array().cast("array<struct<side:int,bands:array<struct<band:int,key:bigint>>,words:array<string>>>")
+    # An outer explode, as no filter is then moved below the columns made here, where they would be made anew.
+    met = rows.select("_id", "_k", F.explode_outer(F.concat(*(F.coalesce(windows(s), none) for s in sorted(known)))).alias("x")).where("x is not null")
+    met = met.select("_id", "_k", "x.side", "x.words", F.explode("x.bands").alias("b"))
     met = met.select("_id", "_k", "side", "words", F.col("b.band").alias("band"), F.col("b.key").alias("key")).join(held, ["side", "band", "key"])
     sure = F.size(F.array_intersect("grams", _grams(F.col("words"), width))) * 100 >= F.size("grams") * percent
     found = met.where(sure).groupBy("_id", "_k").agg(F.array_sort(F.collect_set("license")).alias("licenses"))

@@ -25,7 +25,7 @@ tg AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS g FROM (SELE
 tn AS (SELECT license, count(*) AS n, (2 ** ceil(log2(count(*))))::BIGINT AS side FROM tg GROUP BY license),
 d AS MATERIALIZED (SELECT doc_id, {_PLAIN_TEXT} AS w FROM documents),
 g AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-m AS (SELECT doc_id, license, n, g, unnest([p // side, p // side - 1]) AS win FROM g JOIN tg USING (g) JOIN tn USING (license)),
+m AS (SELECT doc_id, license, n, g, unnest(CASE side WHEN 1 THEN [p] ELSE [p // side, p // side - 1] END) AS win FROM g JOIN tg USING (g) JOIN tn USING (license)),
 ok AS (SELECT DISTINCT doc_id, license FROM m WHERE win >= 0 GROUP BY doc_id, license, n, win HAVING 100 * count(DISTINCT g) >= 80 * n)
 SELECT doc_id, count(license) AS n_licenses, coalesce(string_agg(license, ',' ORDER BY license), '') AS licenses FROM d LEFT JOIN ok USING (doc_id) GROUP BY doc_id""",
     "op5_benchmark_decontamination": f"""WITH d AS MATERIALIZED (SELECT doc_id, {_PLAIN_TEXT} AS w FROM documents),
