@@ -178,6 +178,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, placeholder: str =
         fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(placeholder))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] < acc["at"]), acc["out"]).otherwise(fresh).alias("out"))
 
-    found = find_secrets(docs, rules)
+    found = find_secrets(docs.select(F.struct("*").alias("row"), "doc_id", F.col("text").cast("string").alias("text")), rules)
     clean = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return found.select(*(F.when(F.size("_spans") > 0, clean).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return found.select(*(F.when(F.size("_spans") > 0, clean).otherwise(text).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
