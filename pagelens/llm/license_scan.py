@@ -102,6 +102,9 @@ def find_licenses(docs: DataFrame, templates: DataFrame, width: int = WIDTH, per
     rows = docs.where("text is not null").select("_id", "_k", plain_words(F.col("text")).alias("w"))
     rows = rows.select("_id", "_k", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("each"))
     rows = rows.select("_id", "_k", "w", _hashes(F.col("each"), width).alias("h"))
+    # A MinHash is the hash of a shingle, so a text without a shingle that is a template's MinHash agrees in no band.
+    anchors = sorted({key ^ constant(k) for (_, k), own in keys.items() for key in own})
+    rows = rows.select("_id", "_k", "w", F.when(F.arrays_overlap("h", F.lit(anchors)), F.col("h")).alias("h"))
     # Least values of blocks, from small blocks to twice as large ones; b1_0 are the hashes themselves.
     rows, side = rows.withColumn("b1_0", F.col("h")), min([s for s in known if s > 1] + [SMALLEST])
     blocks = lambda step: F.sequence(F.lit(0), F.expr(f"int((size(h) - 1) div {step})"))
