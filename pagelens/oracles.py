@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.text import MARKETING, STOP, UNIT, WORD
+from .functions.text import DANGLING, MARKETING, STOP, UNIT, WORD
 
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _DROP = "|".join(f"<{t}[^>]*>.*?</{t}>" for t in ("script", "style", "head", "noscript", "svg", "template"))
@@ -92,6 +92,16 @@ d AS (SELECT item, CASE WHEN old IS NULL AND score IS NULL THEN 'still_unobserve
     "reach_class": "SELECT page_id, ['ok', 'unknown', 'blocked', 'dead', 'unknown', 'blocked', 'dead', 'unknown'][page_id % 8 + 1] AS reach FROM pages",
     "sitemap_hygiene": rf"""WITH e AS (SELECT {_HOST} AS site, CASE WHEN page_id % 11 = 0 THEN '/rel' ELSE url END AS loc, CASE page_id % 3 WHEN 0 THEN '2026-01-02' WHEN 1 THEN '02.01.2026' END AS lastmod FROM pages), h AS (SELECT *, regexp_matches(loc, '^https?://') AS abs, regexp_replace(regexp_extract(lower(loc), '^https?://([^/?#:]*)', 1), '^www\.', '') AS host FROM e)
 SELECT site, count(*) AS n, count(*) FILTER (WHERE NOT abs) AS relative, count(*) FILTER (WHERE abs AND host <> site) AS cross_host, count(*) FILTER (WHERE contains(loc, '#')) AS fragment, count(DISTINCT CASE WHEN abs THEN regexp_extract(loc, '^(https?)', 1) END) > 1 AS mixed_scheme, count(*) FILTER (WHERE lastmod = '02.01.2026') AS lastmod_format, count(*) >= 5 AND count(lastmod) = count(*) AND count(DISTINCT lastmod) = 1 AS lastmod_uniform FROM h GROUP BY site""",
+    "marketing_hits": f"{_PAGE} SELECT page_id, coalesce(list_sum(list_transform(blocks, lambda b: len(regexp_extract_all(b.text, '{MARKETING}')))), 0)::INT AS hits FROM p",
+    "dangling_paragraphs": f"{_PAGE} SELECT page_id, len(list_filter(blocks, lambda b: b.tag IN ('p', 'blockquote') AND regexp_matches(b.text, '{DANGLING}')))::INT AS n_dangling FROM p",
+    "fact_density_docs": rf"SELECT doc_id, len(x)::INT AS n_lines, len(list_filter(x, lambda l: regexp_matches(l, '{_FACT}')))::INT AS n_facts FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ ]')) AS x FROM documents)",
+    "lang_vs_url_segment": f"{_PAGE} SELECT page_id, lower(lang[1:2]) = ({_SEGMENT})[1:2] AS agrees FROM p",
+    "title_length_class": f"{_PAGE} SELECT page_id, len(title)::INT AS n, CASE WHEN len(title) < 15 THEN 'short' WHEN len(title) <= 60 THEN 'good' WHEN len(title) > 60 THEN 'long' ELSE 'none' END AS kind FROM p",
+    "noindex_signals": "SELECT * FROM (VALUES (1, 'meta'), (2, 'header'), (3, 'meta'), (3, 'header')) v(id, place)",
+    "sample_liveness": f"""WITH s AS (SELECT {_HOST} AS site, CASE WHEN page_id % 7 > 0 THEN [200, 200, 200, 200, 403, 404][page_id % 6 + 1] END AS status, page_id % 4 = 0 AS redirected FROM pages),
+c AS (SELECT site, count(*) FILTER (WHERE status = 404) AS dead, count(*) FILTER (WHERE status = 403) AS blocked, count(*) FILTER (WHERE status = 200 AND redirected) AS redirected FROM s GROUP BY site)
+SELECT *, CASE WHEN dead >= 2 THEN 0 WHEN dead = 1 THEN 1 WHEN redirected > 0 THEN 2 ELSE 3 END AS "T3" FROM c""",
+    "variant_landings": """SELECT * FROM (VALUES ('a', 2, 0, 1, 3), ('b', 2, 1, 1, 2), ('c', 2, 0, 2, 1), ('d', 1, 1, 1, NULL)) v(site, seen, missing, places, "T6")""",
     "redirect_chain": """WITH RECURSIVE h AS (SELECT * FROM (VALUES ('http://a/', 301, 'https://a/'), ('https://a/', 302, 'https://a/home'), ('https://a/home', 200, NULL), ('https://loop/', 301, 'https://loop/'), ('https://gone/', 404, NULL)) v(url, status, location)),
 w AS (SELECT url AS start, url, 0 AS hops FROM h UNION ALL SELECT start, location, hops + 1 FROM w JOIN h USING (url) WHERE location IS NOT NULL AND hops < 4)
 SELECT start, url, status, hops FROM w LEFT JOIN h USING (url) QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops DESC) = 1""",

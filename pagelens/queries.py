@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
+from .operators import probes as P
 from .operators import relational as R
 from .plans import meta_lane, page_audit, rubric
 from .sources.tables import pages, reach, table
@@ -191,7 +192,55 @@ def redirect_chain(spark, sf_dir):
     return C.follow_redirects(hops.select(F.col("url").alias("start")), hops)
 
 
-_QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts, source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain]
+# --- phrases, lengths and probes -------------------------------------------------------------------------------------
+
+
+def marketing_hits(spark, sf_dir):
+    p = pages(spark, sf_dir).select("page_id", T.blocks(F.col("html")).alias("b"))
+    return p.select("page_id", F.aggregate("b", F.lit(0), lambda n, b: n + F.regexp_count(b["text"], F.lit(T.MARKETING))).alias("hits"))
+
+
+def dangling_paragraphs(spark, sf_dir):
+    p = pages(spark, sf_dir).select("page_id", T.blocks(F.col("html")).alias("b"))
+    return p.select("page_id", F.size(F.filter("b", lambda b: b["tag"].isin("p", "blockquote") & b["text"].rlike(T.DANGLING))).alias("n_dangling"))
+
+
+def fact_density_docs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\n+"), lambda x: x.rlike("[^ ]")).alias("x"))
+    return d.select("doc_id", F.size("x").alias("n_lines"), F.size(F.filter("x", lambda x: x.rlike(T.FACT) | x.rlike(T.RANGE))).alias("n_facts"))
+
+
+def lang_vs_url_segment(spark, sf_dir):
+    p = pages(spark, sf_dir).select("page_id", T.lang(F.col("html")).alias("lang"), U.lang_segment(F.col("url")).alias("segment"))
+    return p.select("page_id", (F.lower(F.substring("lang", 1, 2)) == F.substring("segment", 1, 2)).alias("agrees"))
+
+
+def title_length_class(spark, sf_dir):
+    n = T.wide_length(T.title(F.col("html")))
+    return pages(spark, sf_dir).select("page_id", n.alias("n")).select("page_id", "n", F.when(F.col("n") < 15, "short").when(F.col("n") <= 60, "good").when(F.col("n") > 60, "long").otherwise("none").alias("kind"))
+
+
+_SIGNALS = [(1, "noindex, follow", None), (2, "index", "NoIndex"), (3, "NOINDEX", "noindex"), (4, None, None)]
+
+
+def noindex_signals(spark, sf_dir):
+    return P.noindex_signals(spark.createDataFrame(_SIGNALS, "id int, meta_robots string, header string"))
+
+
+def sample_liveness(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, (200, 200, 200, 200, 403, 404))), (F.col("page_id") % 6 + 1).cast("int"))
+    p = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("site"), F.when(F.col("page_id") % 7 > 0, status).alias("status"), (F.col("page_id") % 4 == 0).alias("redirected"))
+    return P.sample_liveness(p)
+
+
+_LANDINGS = [("a", "http", "https://a.com/"), ("a", "www", "https://a.com"), ("b", "http", "https://b.com/"), ("b", "www", None), ("b", "https", "https://B.com:443/"), ("c", "http", "http://c.com/"), ("c", "https", "https://c.com/"), ("d", "http", None), ("d", "https", "https://d.com/")]
+
+
+def variant_landings(spark, sf_dir):
+    return P.variant_landings(spark.createDataFrame(_LANDINGS, "site string, variant string, final string"))
+
+
+_QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts, source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain, marketing_hits, dangling_paragraphs, fact_density_docs, lang_vs_url_segment, title_length_class, noindex_signals, sample_liveness, variant_landings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
