@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.text import DANGLING, MARKETING, STOP, UNIT, WORD
+from .functions.text import DANGLING, MARKETING, SOURCE_MARK, STOP, UNIT, WORD
 
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _DROP = "|".join(f"<{t}[^>]*>.*?</{t}>" for t in ("script", "style", "head", "noscript", "svg", "template"))
@@ -61,6 +61,13 @@ _LONG = f"""{_ITEMS}, rubric AS (SELECT * FROM (VALUES ('G3', NULL, 1, 2), ('T4'
 long AS (SELECT page_id, item, score FROM items UNPIVOT INCLUDE NULLS (score FOR item IN ("G3", "T4", "T7", "T8", "C1", "C2", "C3", "C4", "I1", "I2", "I3"))), s AS (SELECT * FROM long JOIN rubric USING (item))"""
 _AGG = "coalesce(array_to_string(list_sort(list(item) FILTER (WHERE {})), ','), '')"
 
+_UNIT_FACT = rf"(?i)[0-9][0-9,\.]*\s*(?:{UNIT})"
+_DATED = rf"{_UNIT_FACT}|(19|20)[0-9]{{2}}\s*[-/年]\s*[0-9]{{1,2}}|(19|20)[0-9]{{2}}\s*年"
+_NUMERIC = rf"{_UNIT_FACT}|[0-9][0-9,\.]*\s*(?:到|至|-|~|–)\s*[0-9]"
+_LINKS = r"""(regexp_extract_all({0}, '(?i)<a[^>]+href=["'']([^"'']+)["'']', 1) || regexp_extract_all({0}, '\]\(([^)\s]+)\)', 1))"""
+_FIRST_SENTENCE = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace({_clean('html')}, '([.!?。！？])\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(x) >= 20)[1]"
+_LD_VALUES = r"""regexp_extract_all(array_to_string(regexp_extract_all(html, '(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>', 1), chr(10)), '"(?:price|ratingValue|reviewCount|ratingCount)"\s*:\s*"?([^",}\]\s]+)', 1)"""
+
 ORACLES = {
     "page_clean_text_stats": f"SELECT page_id, len({_clean('html')})::INT AS n_chars, len({_words(_clean('html'))})::INT AS n_words FROM pages",
     "page_head_facts": f"SELECT page_id, {_TITLE} AS title, {_LANG} AS lang, CAST(NULL AS VARCHAR) AS description, len({_tags('html', 'h1')})::INT AS h1_count FROM pages",
@@ -105,4 +112,29 @@ SELECT *, CASE WHEN dead >= 2 THEN 0 WHEN dead = 1 THEN 1 WHEN redirected > 0 TH
     "redirect_chain": """WITH RECURSIVE h AS (SELECT * FROM (VALUES ('http://a/', 301, 'https://a/'), ('https://a/', 302, 'https://a/home'), ('https://a/home', 200, NULL), ('https://loop/', 301, 'https://loop/'), ('https://gone/', 404, NULL)) v(url, status, location)),
 w AS (SELECT url AS start, url, 0 AS hops FROM h UNION ALL SELECT start, location, hops + 1 FROM w JOIN h USING (url) WHERE location IS NOT NULL AND hops < 4)
 SELECT start, url, status, hops FROM w LEFT JOIN h USING (url) QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops DESC) = 1""",
+    "draft_items": """SELECT * FROM (VALUES (1, 1, 3, 2, 3, 3, 3, 3, 3, 3, 2, 1, 1), (2, NULL, 3, 3, 1, 0, NULL, 1, 1, 0, 0, 0, 0), (3, 0, 0, NULL, NULL, NULL, NULL, 0, 3, 0, 0, 0, 0)) v(id, "WG1", "W1", "W2", "W3", "W4", "W5", "W6", "W7", "W8", "W9", "D1", "D2")""",
+    "page_draft_items": rf"""{_PAGE}, q AS (SELECT *, {_terms("coalesce(title, '')")} AS asked, lower(array_to_string(words[1:50], ' ')) AS spaced, lower(array_to_string(words[1:50], '')) AS joined, {_LINKS.format("html")} AS links,
+len(list_filter(blocks, lambda b: regexp_matches(b.text, '{_DATED}'))) / nullif(len(blocks), 0) AS ratio, list_filter(blocks, lambda b: regexp_matches(b.text, '{_NUMERIC}')) AS num, len(list_filter(blocks, lambda b: b.tag IN ('p', 'blockquote') AND regexp_matches(b.text, '{DANGLING}'))) AS dang FROM p),
+r AS (SELECT *, len(list_filter(asked, lambda t: contains(spaced, t) OR contains(joined, t))) AS hit, len(list_distinct(list_filter(links, lambda l: l LIKE '/%'))) AS inner_n,
+len(list_filter(num, lambda b: len(list_filter({_LINKS.format("b.html")}, lambda l: regexp_matches(l, '^https?://'))) > 0 OR regexp_matches(b.html, '{SOURCE_MARK}'))) / nullif(len(num), 0) AS share,
+list_filter(links, lambda l: regexp_matches(l, '^https?://')) AS ext FROM q),
+u AS (SELECT page_id, url, length(url) % 4 AS k FROM (SELECT page_id, url, min(pos) AS pos FROM (SELECT page_id, unnest(ext) AS url, generate_subscripts(ext, 1) AS pos FROM r) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 8),
+c AS (SELECT page_id, CASE WHEN count(*) FILTER (WHERE k < 3) = 0 THEN NULL WHEN count(*) FILTER (WHERE k IN (1, 2)) = 0 THEN 3 WHEN count(*) FILTER (WHERE k = 2) = 0 THEN 2 WHEN count(*) FILTER (WHERE k = 2) = 1 THEN 1 ELSE 0 END AS "W3" FROM u GROUP BY page_id)
+SELECT page_id AS id, CASE WHEN title <> '' THEN (hit >= least(2, len(asked)) AND len(words) >= 20)::INT END AS "WG1", CASE WHEN ratio >= 0.3 THEN 3 WHEN ratio >= 0.18 THEN 2 WHEN ratio > 0 THEN 1 ELSE 0 END AS "W1",
+CASE WHEN share >= 0.6 THEN 3 WHEN share >= 0.3 THEN 2 WHEN share > 0 THEN 1 WHEN share = 0 THEN 0 END AS "W2", "W3", CASE WHEN dang = 0 THEN 3 WHEN dang = 1 THEN 2 WHEN dang <= 3 THEN 1 ELSE 0 END AS "W7",
+CASE WHEN inner_n >= 5 THEN 3 WHEN inner_n >= 3 THEN 2 WHEN inner_n >= 1 THEN 1 ELSE 0 END AS "W9", 0 AS "D1" FROM r LEFT JOIN c USING (page_id)""",
+    "reach_gate": 'SELECT page_id AS id, [1, NULL, 0, 0, NULL, 0, 0, NULL][page_id % 8 + 1] AS "G1" FROM pages',
+    "index_gate": """SELECT * FROM (VALUES ('a', 1), ('b', 0), ('c', 0)) v(site, "G2")""",
+    "sitemap_found": """SELECT * FROM (VALUES ('a', 3), ('b', 2), ('c', 1), ('d', 0), ('e', NULL)) v(site, "T1")""",
+    "canonical_landing": """SELECT * FROM (VALUES ('http://a/', 3), ('https://a/', 3), ('https://a/home', 3), ('https://loop/', 1), ('https://gone/', 0)) v(start, "T5")""",
+    "declared_values": rf"""WITH v AS (SELECT page_id, {_clean('html')} AS body, {_LD_VALUES} AS x FROM pages) SELECT page_id, CASE WHEN len(x) = 0 THEN NULL ELSE [3, 2, 1, 0][least(3, len(list_filter(x, lambda y: NOT contains(body, y)))) + 1] END AS "T9" FROM v""",
+    "keyword_overlap": f"""{_SITE_TERMS}, n AS (SELECT page_id, count(*) AS n FROM t GROUP BY ALL), pr AS (SELECT a.site, a.page_id AS a, b.page_id AS b, count(*) AS i FROM t a JOIN t b ON a.site = b.site AND a.term = b.term AND a.page_id < b.page_id GROUP BY ALL),
+k AS (SELECT site, count(*) AS k FROM pr JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE i / (x.n + y.n - i) >= 0.6 GROUP BY site)
+SELECT site, CASE WHEN n < 3 THEN NULL WHEN k IS NULL THEN 3 WHEN k = 1 THEN 2 WHEN k <= 3 THEN 1 ELSE 0 END AS "K1" FROM (SELECT {_HOST} AS site, count(*) AS n FROM pages GROUP BY 1) LEFT JOIN k USING (site)""",
+    "shared_term": rf"""WITH g AS (SELECT page_id, unnest([{_terms(f"coalesce({_TITLE}, '')")}, {_terms(f"array_to_string({_tags('html', 'h1')}, ' ')")}, {_terms(_sub(_PATH, "[-_/]+", " "))}, {_terms(f"coalesce({_FIRST_SENTENCE}, '')")}]) AS p FROM pages),
+c AS (SELECT page_id, term, count(*) AS n FROM (SELECT page_id, unnest(p) AS term FROM g) GROUP BY ALL), m AS (SELECT page_id, max(n) AS n FROM c GROUP BY page_id)
+SELECT page_id, coalesce(n, 1)::INT - 1 AS "K2" FROM pages LEFT JOIN m USING (page_id)""",
+    "repeated_heads": rf"""WITH h AS (SELECT page_id, {_HOST} AS site, {_TITLE} AS t, regexp_extract(html, '(?is)<meta[^>]+name=["'']description["''][^>]*content=["'']([^"'']*)', 1)[:300] AS d FROM pages)
+SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY site) < 2 THEN NULL WHEN t <> '' AND count(*) OVER (PARTITION BY site, t) > 2 THEN 0 WHEN t <> '' AND count(*) OVER (PARTITION BY site, t) = 2 THEN 1 WHEN d <> '' AND count(*) OVER (PARTITION BY site, d) > 1 THEN 2 ELSE 3 END AS "M7" FROM h""",
 }
+ORACLES["sitemap_score"] = f"""SELECT site, CASE WHEN n > 50000 THEN 0 WHEN relative + cross_host + fragment > 0 OR mixed_scheme THEN 1 WHEN lastmod_format > 0 OR lastmod_uniform THEN 2 ELSE 3 END AS "T2" FROM ({ORACLES["sitemap_hygiene"]})"""

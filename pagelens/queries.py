@@ -12,7 +12,7 @@ from .functions import urls as U
 from .operators import crawl as C
 from .operators import probes as P
 from .operators import relational as R
-from .plans import meta_lane, page_audit, rubric
+from .plans import draft_lane, meta_lane, page_audit, rubric, site_items
 from .sources.tables import pages, reach, table
 
 # --- pages -----------------------------------------------------------------------------------------------------------
@@ -240,7 +240,85 @@ def variant_landings(spark, sf_dir):
     return P.variant_landings(spark.createDataFrame(_LANDINGS, "site string, variant string, final string"))
 
 
-_QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts, source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain, marketing_hits, dangling_paragraphs, fact_density_docs, lang_vs_url_segment, title_length_class, noindex_signals, sample_liveness, variant_landings]
+# --- drafts ----------------------------------------------------------------------------------------------------------
+
+_GOOD = (
+    "# Draft\n```bash\ncurl -s https://www.cdc.gov/flu\n```\n## Needs review\n- price [待核]\n",
+    "<p>Flu shots last 12 months for 1,500 people and they cost 30 USD, says <a href='https://www.cdc.gov/flu'>the agency</a>.</p><p>Shots are given in 3 minutes at any clinic near the station [待核].</p>"
+    "<img src='a.png' alt='a shot'><figcaption>A shot</figcaption><a href='/a'>a</a><a href='/b'>b</a><a href='/c'>c</a>"
+    '<script type="application/ld+json">{"@type":"Article","image":{"@type":"ImageObject"}}</script>',
+    "how long do flu shots last",
+)
+_POOR = ("no section", "<p>They are fine.</p><p>It took 7 hours, see [a post](https://medium.com/x).</p>![](a.png) [待核]", None)
+_DRAFTS = [(1, *_GOOD, "shop.example.org"), (2, *_POOR, "shop.example.org"), (3, None, None, "flu", None)]
+_PROBED = [("https://www.cdc.gov/flu", 200, "12 months, 1500 people"), ("https://medium.com/x", 404, None)]
+_COMPARABLE = [(1, 0.1), (1, 0.4), (1, 0.6), (1, 0.9), (2, 0.9), (3, None)]
+
+
+def draft_items(spark, sf_dir):
+    drafts = spark.createDataFrame(_DRAFTS, "id int, draft string, block string, question string, self_host string")
+    return draft_lane.draft_items(drafts, spark.createDataFrame(_PROBED, "url string, status int, text string"), spark.createDataFrame(_COMPARABLE, "id int, density double"))
+
+
+def page_draft_items(spark, sf_dir):
+    """Every page as a draft that answers its own title, without comparable pages; what its sources say is made of their address."""
+    h, url = F.col("html"), F.col("url")
+    drafts = pages(spark, sf_dir).select(F.col("page_id").alias("id"), h.alias("draft"), h.alias("block"), T.title(h).alias("question"), U.bare_host(url).alias("self_host"))
+    sources = pages(spark, sf_dir).select(F.explode(draft_lane.outside(h)).alias("url")).distinct()
+    sources = sources.select("url", F.element_at(F.array(*map(F.lit, (200, 403, 404, None))), F.length("url") % 4 + 1).alias("status"), F.lit("12 and 2,500 and 30").alias("text"))
+    return draft_lane.draft_items(drafts, sources, spark.createDataFrame([], "id long, density double")).select("id", "WG1", "W1", "W2", "W3", "W7", "W9", "D1")
+
+
+# --- sites, item by item ---------------------------------------------------------------------------------------------
+
+
+def reach_gate(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, (200, 301, 403, 404, None, 429, 503, 302))), (F.col("page_id") % 8 + 1).cast("int"))
+    return site_items.reach_gate(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), status.alias("status")))
+
+
+_ROBOTS = [("a", "search", True), ("a", "training", False), ("b", "ai_user", False), ("b", "search", True), ("c", "search", True)]
+
+
+def index_gate(spark, sf_dir):
+    return site_items.index_gate(spark.createDataFrame(_ROBOTS, "site string, class string, allowed boolean"), spark.createDataFrame([("c", "meta"), ("c", "header")], "site string, place string"))
+
+
+_TRIED = [("a", 404, False, True), ("a", 200, True, True), ("b", 200, True, False), ("c", 404, False, False), ("c", 200, False, False), ("d", 404, False, False), ("d", 500, False, False), ("e", None, False, False), ("e", 404, False, False)]
+
+
+def sitemap_found(spark, sf_dir):
+    return site_items.sitemap_found(spark.createDataFrame(_TRIED, "site string, status int, usable boolean, declared boolean"))
+
+
+def sitemap_score(spark, sf_dir):
+    return site_items.sitemap_score(sitemap_hygiene(spark, sf_dir))
+
+
+def canonical_landing(spark, sf_dir):
+    return site_items.canonical_landing(redirect_chain(spark, sf_dir))
+
+
+def declared_values(spark, sf_dir):
+    return site_items.declared_values(pages(spark, sf_dir))
+
+
+def keyword_overlap(spark, sf_dir):
+    return site_items.keyword_overlap(R.similar_pairs(_terms(spark, sf_dir)), table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("site")))
+
+
+def shared_term(spark, sf_dir):
+    h = F.col("html")
+    path = F.regexp_replace(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)", 1), "[-_/]+", " ")
+    return site_items.shared_term(pages(spark, sf_dir).select("page_id", T.title(h).alias("title"), F.array_join(T.tags(h, "h1"), " ").alias("h1"), path.alias("path"), F.get(T.sentences(T.clean_text(h)), F.lit(0)).alias("first")))
+
+
+def repeated_heads(spark, sf_dir):
+    h = F.col("html")
+    return site_items.repeated_heads(pages(spark, sf_dir).select("page_id", U.bare_host(F.col("url")).alias("site"), T.title(h).alias("title"), T.meta_description(h).alias("description")))
+
+
+_QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts, source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain, marketing_hits, dangling_paragraphs, fact_density_docs, lang_vs_url_segment, title_length_class, noindex_signals, sample_liveness, variant_landings, draft_items, page_draft_items, reach_gate, index_gate, sitemap_found, sitemap_score, canonical_landing, declared_values, keyword_overlap, shared_term, repeated_heads]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
