@@ -1,12 +1,13 @@
 """Jaccard self-join of documents on word shingles, by a token-group matrix.
 
-A document's set has its distinct 4-word shingles, A-Z lower-cased, words being ``[^\\x20\\x09-\\x0D]+``; with fewer
-words the whole sequence is the one shingle.  Two documents link when 100 * |A & B| >= 85 * |A | B|.
+A document's set has its distinct shingles of ``width`` words (5), A-Z lower-cased, words being
+``[^\\x20\\x09-\\x0D]+``; with fewer words the whole sequence is the one shingle.  Two documents link when
+100 * |A & B| >= ``percent`` * |A | B| (80).  The query op9 asks for 4 words and 85.
 
 1. Equal sets are one node.  One pass counts shingles in a sketch of fixed size; its estimates put the tokens of all
    sets in one order, rare ones first.  The order only has to be the same everywhere, so an estimate that is too high
    costs time and no result.
-2. Linked sets share one of their first n - ceil(0.85 n) + 1 tokens.  These are posted, and postings of tokens that a
+2. Linked sets share one of their first n - ceil(n * percent / 100) + 1 tokens.  These are posted, and postings of tokens that a
    single node has are dropped.
 3. Groups: each token names as pivot the node in which it comes earliest, that is the one with the fewest tokens of
    its own; nodes that truly link with a pivot form groups.  A group of m copies takes m pairs.
@@ -33,7 +34,7 @@ from . import tokens
 from .components import connected_components
 from .session import settled
 
-WIDTH, PERCENT = 4, 85
+WIDTH, PERCENT = 5, 80
 #: Cells of the sketch that orders tokens: 8 MB of counts, whatever the corpus.
 SKETCH_BITS, BLOCKS = 21, 64
 

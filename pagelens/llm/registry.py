@@ -65,7 +65,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(_table(spark, sf_dir, "documents"))
+    return link_documents(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagelens.llm import gif_media, license_scan, secret_scan, token_counts
 from pagelens.llm.decontaminate import drop_contaminated, overlap_report
 from pagelens.llm.ngram_join import keep_one_of_each_group, link_documents
@@ -202,6 +203,14 @@ def test_ngram_join(odd, none):
     assert link_documents(none).count() == 0
 
 
+def test_near_duplicates_stage(spark):
+    """A pair with a 5-word Jaccard of 86 / 106 = 0.81 and a 4-word one of 89 / 105 < 0.85, and one with 81 / 111 = 0.73."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(f"{x}{w}" if i in at else f"{x[:1]}{w}" for i, w in enumerate(words)) for x, at in (("aa", ()), ("ab", (30, 60)), ("b", ()), ("bb", (20, 50, 80)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()) == [0, 2, 3]
+
+
 def test_sharding(spark, odd, none):
     rows = queries()["op10_sharding"](spark, DIR).collect()
     shards = defaultdict(list)
