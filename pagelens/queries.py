@@ -277,11 +277,11 @@ def reach_gate(spark, sf_dir):
     return site_items.reach_gate(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), status.alias("status")))
 
 
-_ROBOTS = [("a", "search", True), ("a", "training", False), ("b", "ai_user", False), ("b", "search", True), ("c", "search", True)]
+_ALLOWED = [("a", "search", True), ("a", "training", False), ("b", "ai_user", False), ("b", "search", True), ("c", "search", True)]
 
 
 def index_gate(spark, sf_dir):
-    return site_items.index_gate(spark.createDataFrame(_ROBOTS, "site string, class string, allowed boolean"), spark.createDataFrame([("c", "meta"), ("c", "header")], "site string, place string"))
+    return site_items.index_gate(spark.createDataFrame(_ALLOWED, "site string, class string, allowed boolean"), spark.createDataFrame([("c", "meta"), ("c", "header")], "site string, place string"))
 
 
 _TRIED = [("a", 404, False, True), ("a", 200, True, True), ("b", 200, True, False), ("c", 404, False, False), ("c", 200, False, False), ("d", 404, False, False), ("d", 500, False, False), ("e", None, False, False), ("e", 404, False, False)]
