@@ -40,9 +40,9 @@ def audit_items(page: DataFrame) -> DataFrame:
     own = F.size(F.filter("hreflang", lambda h: F.lower(h) == F.lower(F.col("lang")))) > 0
     step = lambda x, *cuts: F.when(x >= cuts[0], 3).when(x >= cuts[1], 2).when(x > cuts[2], 1).otherwise(0)
     titled = page.where("title <> ''").groupBy("site", "title").agg((F.count(F.lit(1)) - 1).alias("twins"))
-    page = page.join(titled, ["site", "title"], "left")
-    return page.select(
-        "page_id",
+    # Only scores, and no texts, go through the join with the titles.
+    scored = page.select(
+        "page_id", "site", "title", wide.alias("wide"),
         (size("words") >= 120).cast("int").alias("G3"),
         F.when(size("canonical") != 1, 0).when(href.isNull() | ~href.rlike("^https?://"), 2).when(href.contains("#") | ~same, 1).otherwise(3).alias("T4"),
         F.when(size("ld") == 0, 0).when(broken == 0, 3).when(broken == size("ld"), 0).when(broken == 1, 2).otherwise(1).alias("T7"),
@@ -51,7 +51,17 @@ def audit_items(page: DataFrame) -> DataFrame:
         F.when(hit >= 2, F.when(in_nav < 0.3, 3).when(in_nav <= 0.6, 2).otherwise(1)).when(hit == 1, 1).otherwise(0).alias("C2"),
         step(F.coalesce(fact, F.lit(0.0)), 0.3, 0.15, 0).alias("C3"),
         F.when(hype == 0, 3).when(hype == 1, 2).when(hype <= 3, 1).otherwise(0).alias("C4"),
-        F.when(title == "", 0).when(twins >= 2, 0).when(twins == 1, 1).when(wide.between(15, 60), 3).otherwise(2).alias("I1"),
         F.when(F.col("lang").isNull(), 0).when(F.col("lang").contains("_"), 1).when(segment.isNotNull() & (F.lower(F.substring("lang", 1, 2)) != F.substring(segment, 1, 2)), 2).otherwise(3).alias("I2"),
         F.when((size("hreflang") == 0) & segment.isNull(), None).when(size("hreflang") == 0, 0).when(own & F.array_contains("hreflang", "x-default"), 3).when(own, 2).otherwise(1).alias("I3"),
-    )
+    ).join(titled, ["site", "title"], "left")
+    return scored.withColumn("I1", F.when(title == "", 0).when(twins >= 2, 0).when(twins == 1, 1).when(F.col("wide").between(15, 60), 3).otherwise(2)).select("page_id", *ITEMS)
+
+
+def all_items(pages: DataFrame, by_page: list[DataFrame], by_site: list[DataFrame], items: list[str]) -> DataFrame:
+    """page_id and each of ``items``: those of audit_items, of tables by page_id and of tables by site; NULL is unobserved, as are items without a table."""
+    wide = audit_items(facts(pages)).join(pages.select("page_id", U.bare_host(F.col("url")).alias("site")), "page_id")
+    for found in by_page:
+        wide = wide.join(found, "page_id", "left")
+    for found in by_site:
+        wide = wide.join(found, "site", "left")
+    return wide.select("page_id", *(F.col(i) if i in wide.columns else F.lit(None).cast("int").alias(i) for i in items))

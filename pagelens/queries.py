@@ -130,21 +130,51 @@ def audit_items(spark, sf_dir):
     return page_audit.audit_items(page_audit.facts(pages(spark, sf_dir)))
 
 
-def lane_scorecard(spark, sf_dir):
-    card = rubric.scorecard(_scores(spark, sf_dir), rubric.rubric(spark))
+def _all_scores(spark, sf_dir):
+    """Every item of the rubric; those on probes, robots rules, sitemaps and redirects have no table here and are unobserved."""
+    items = list(rubric.AUDIT_WEIGHTS)
+    wide = page_audit.all_items(pages(spark, sf_dir), [shared_term(spark, sf_dir), site_items.declared_values(table(spark, sf_dir, "pages"))], [keyword_overlap(spark, sf_dir)], items)
+    return rubric.long_scores(wide, "page_id", items)
+
+
+def _card(spark, scores):
+    card = rubric.scorecard(scores, rubric.rubric(spark))
     return card.select(F.col("entity").alias("page_id"), "got", "full", "failed_gates", "below_floor", "unobserved", F.round("ratio", 9).alias("ratio"), "verdict")
 
 
+def _action(spark, scores):
+    return rubric.next_action(scores, rubric.rubric(spark)).select(F.col("entity").alias("page_id"), "item")
+
+
+def lane_scorecard(spark, sf_dir):
+    return _card(spark, _scores(spark, sf_dir))
+
+
 def next_action(spark, sf_dir):
-    return rubric.next_action(_scores(spark, sf_dir), rubric.rubric(spark)).select(F.col("entity").alias("page_id"), "item")
+    return _action(spark, _scores(spark, sf_dir))
 
 
-def run_compare(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
+def full_scorecard(spark, sf_dir):
+    return _card(spark, _all_scores(spark, sf_dir))
+
+
+def full_next_action(spark, sf_dir):
+    return _action(spark, _all_scores(spark, sf_dir))
+
+
+def _changes(scores):
     old = scores.where("entity % 2 = 0 or item <> 'C2'").withColumn("score", F.when(F.col("item").isin("C1", "I1"), F.col("score") - 1).when(F.col("item") == "I2", None).when((F.col("item") == "C2") & (F.col("score") < 3), F.col("score") + 1).otherwise(F.col("score")))
     return R.compare_runs(old, scores).groupBy("item", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_compare(spark, sf_dir):
+    return _changes(_scores(spark, sf_dir))
+
+
+def full_run_compare(spark, sf_dir):
+    return _changes(_all_scores(spark, sf_dir))
+
+
 _PAIRS = [
     (1, "Free PDF converter for teams", "Convert a PDF to PNG in 3 seconds, no sign-up needed. Export and download your files for free, as often as you like.", "pdf converter", "tool"),
     (2, "Short", "Too short", "pdf", "home"),
@@ -318,7 +348,7 @@ def repeated_heads(spark, sf_dir):
     return site_items.repeated_heads(pages(spark, sf_dir).select("page_id", U.bare_host(F.col("url")).alias("site"), T.title(h).alias("title"), T.meta_description(h).alias("description")))
 
 
-_QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts, source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain, marketing_hits, dangling_paragraphs, fact_density_docs, lang_vs_url_segment, title_length_class, noindex_signals, sample_liveness, variant_landings, draft_items, page_draft_items, reach_gate, index_gate, sitemap_found, sitemap_score, canonical_landing, declared_values, keyword_overlap, shared_term, repeated_heads]
+_QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts, source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, full_scorecard, full_next_action, full_run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain, marketing_hits, dangling_paragraphs, fact_density_docs, lang_vs_url_segment, title_length_class, noindex_signals, sample_liveness, variant_landings, draft_items, page_draft_items, reach_gate, index_gate, sitemap_found, sitemap_score, canonical_landing, declared_values, keyword_overlap, shared_term, repeated_heads]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
