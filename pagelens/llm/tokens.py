@@ -57,8 +57,11 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, n
         i = j
 
 
-def words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the first word of each row (one more entry than rows)."""
+def words(body: np.ndarray, at: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the first word of each row (one more entry than rows).
+
+    Words also end before each byte at which ``cuts`` is set.
+    """
     n = len(body)
     if n == 0:
         none = np.empty(0, np.int64)
@@ -70,6 +73,9 @@ def words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     before, after = edge[:-1].copy(), edge[1:].copy()
     before[1:] |= space[:-1]
     after[:-1] |= space[1:]
+    if cuts is not None:
+        before |= cuts
+        after[:-1] |= cuts[1:]
     starts = np.flatnonzero(before & ~space)
     return starts, np.flatnonzero(after & ~space) + 1, np.searchsorted(starts, at)
 
