@@ -1,15 +1,16 @@
-"""GIF media columns: timed frames and their colours, from the bytes of GIF files.
+"""GIF media columns: timed frames as shown and their colours, from the bytes of GIF files.
 
-``decode`` reads any GIF: code streams, global and local palettes, interlace, transparency and disposal.  Its LZW
-decoder works on whole runs between clear codes: until the next clear code a code's width depends only on its number
-since the last, so all codes of a run are cut out at once, and every table entry is the text written at its code plus
-one more byte, so that output bytes are copies of earlier ones, resolved by pointer doubling.
+``frames`` reads any GIF: LZW code streams, global and local palettes, interlace, and the rules of transparency and
+disposal by which a frame is drawn over what the one before left.  ``file_columns`` does so for a column of files.
 
-``encode`` stores 8-bit samples, 64 a row, under a grey palette.  It writes literal codes with a clear code before the
-table would widen them: larger by an eighth than the samples, and written and read at array speed.
+``encode`` stores 8-bit samples losslessly, 64 a row, under a grey palette, as pages of up to 64 rows that are shown
+one after the other.  Pixels that the canvas already shows are stored as transparent where that is half of a page or
+more, and a page's disposal is the one (leave it, go back to what was there before, or clear it) after which the most
+pixels of the next page are right.  Pages are LZW-coded; a clear code follows when a table is full.
 
 Cases: a null text is an empty one; a text's bytes are padded with 0 to a positive multiple of 64; rows of equal texts
-have equal values; an empty table gives an empty table; other columns are ignored.
+have equal values; an empty table gives an empty table; other columns are ignored.  Of files a null, or one that is no
+whole GIF, has an error and no frames; bytes behind the end are ignored, and pixels beyond the canvas are not shown.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,10 @@ from pyspark.sql import functions as F
 
 from . import tokens
 
-UNIT, ROWS, DELAY_CS = 64, 32768, 10
-CLEAR, END = 256, 257
-#: Literals between clear codes: with the clear code 248 codes of nine bits, which is 279 whole bytes.
-LITERALS = 247
-HISTOGRAM = 8
+UNIT, ROWS, DELAY_CS, STEPS = 64, 64, 10, 8
+FULL = 4096
+LEAVE, CLEAR, RESTORE = 1, 2, 3
+_GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
 @dataclass
@@ -45,140 +46,150 @@ class Frame:
     palette: np.ndarray
 
 
-def _blocks(data: bytes) -> bytes:
-    whole = len(data) // 255
-    body = np.empty((whole, 256), np.uint8)
-    body[:, 0] = 255
-    body[:, 1:] = np.frombuffer(data[: whole * 255], np.uint8).reshape(whole, 255)
-    rest = data[whole * 255 :]
-    return body.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
-
-
-def _literal_codes(samples: np.ndarray) -> bytes:
-    whole = len(samples) // LITERALS
-    codes = np.full((whole, LITERALS + 1), CLEAR, np.uint16)
-    codes[:, 1:] = samples[: whole * LITERALS].reshape(whole, LITERALS)
-    codes = np.concatenate([codes.ravel(), [CLEAR], samples[whole * LITERALS :], [END]]).astype(np.uint16)
-    codes = np.concatenate([codes, np.zeros(-len(codes) % 8, np.uint16)]).reshape(-1, 8)
-    out = np.zeros((len(codes), 9), np.uint16)
-    for k in range(8):
-        out[:, k] |= (codes[:, k] << k) & 255
-        out[:, k + 1] |= codes[:, k] >> (8 - k)
-    return out.astype(np.uint8).tobytes()
-
-
-def encode(samples: np.ndarray, delay_cs: int = DELAY_CS) -> bytes:
-    """A GIF of 8-bit samples, 64 a row, in frames of up to 32,768 rows."""
-    rows = len(samples) // UNIT
-    if rows * UNIT != len(samples) or not rows:
-        raise ValueError("samples must fill rows of 64")
-    grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    parts = [b"GIF89a", struct.pack("<HHBBB", UNIT, min(rows, ROWS), 0xF7, 0, 0), grey]
-    for k in range(0, rows, ROWS):
-        part = samples[k * UNIT : (k + ROWS) * UNIT]
-        parts += [b"\x21\xf9\x04", struct.pack("<BHBB", 4, delay_cs, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, UNIT, len(part) // UNIT, 0), b"\x08", _blocks(_literal_codes(part))]
-    return b"".join([*parts, b"\x3b"])
-
-
-def _codes_at(data: np.ndarray, bit: np.ndarray, width: np.ndarray) -> np.ndarray:
-    k = bit >> 3
-    word = data[k].astype(np.uint32) | data[k + 1].astype(np.uint32) << 8 | data[k + 2].astype(np.uint32) << 16
-    return (word >> (bit & 7).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
-
-
+@lru_cache(maxsize=8)
 def _schedule(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit offsets and widths of the codes after a clear code, until the table is full."""
-    number = np.arange(4096 + 512)
-    entries = (1 << bits) + 2 + np.maximum(0, number - 1)
-    width = np.clip(np.ceil(np.log2(entries + 1)).astype(np.int64), bits + 1, 12)
+    """Bit offsets and widths of the codes after a clear code, until the table is full; from then on they have 12 bits."""
+    number = np.arange(FULL - (1 << bits))
+    entries = np.minimum((1 << bits) + 2 + np.maximum(0, number - 1), FULL - 1)
+    width = np.maximum(np.ceil(np.log2(entries + 1)).astype(np.int64), bits + 1)
     return np.cumsum(width) - width, width
 
 
-def _expand(codes: np.ndarray, bits: int) -> np.ndarray:
-    """Output of the codes of one run."""
-    base = (1 << bits) + 2
-    n = len(codes)
-    parent = codes.astype(np.int64) - base
+def lzw_coded(samples: bytes, bits: int = 8) -> bytes:
+    """The code stream of samples of ``bits`` bits; the table grows to 4,096 entries and is then begun anew."""
+    clear = 1 << bits
+    table: dict[int, int] = {}
+    codes, sizes, begun = [clear], [1], 1
+    add, known, base = codes.append, table.get, clear + 2
+    rest = iter(samples)
+    run = next(rest, None)
+    for s in rest:
+        if longer := known(run << 8 | s):
+            run = longer
+            continue
+        add(run)
+        table[run << 8 | s] = base + len(table)
+        run = s
+        if len(table) == FULL - base:
+            add(clear)
+            sizes.append(len(codes) - begun)
+            begun = len(codes)
+            table.clear()
+    if run is not None:
+        add(run)
+    add(clear + 1)
+    sizes.append(len(codes) - begun)
+    # The first clear code stands before any table.
+    widths = np.concatenate([[bits + 1], *(_schedule(bits)[1][:n] for n in sizes[1:])])
+    at = np.cumsum(widths) - widths
+    shifted = np.array(codes, np.int64) << (at & 7)
+    out, first = np.zeros(int(at[-1] + widths[-1] + 7) // 8 + 2, np.uint8), at >> 3
+    for k in range(3):
+        out += np.bincount(first + k, shifted >> 8 * k & 255, len(out)).astype(np.uint8)
+    return out[:-2].tobytes()
+
+
+def _expanded(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Samples of the codes of one table.
+
+    The n-th entry is the text of the n-th code and one more sample, and these stand in a row in the output.  So every
+    output byte of an entry is a copy of an earlier one, and pointers to these are doubled until they reach literals.
+    """
+    parent = codes - ((1 << bits) + 2)
+    number = np.arange(len(codes))
     literal = parent < 0
-    if literal.all():
-        return codes.astype(np.uint8)
-    if (parent >= np.arange(n)).any():
+    if (parent >= number).any():
         raise ValueError("a code refers to an entry that is not there yet")
-    up = np.where(literal, np.arange(n), parent)
-    length = np.where(literal, 1, 0)
-    hops = np.where(literal, 0, 1)
-    while (up != up[up]).any() or (hops != hops + np.where(up[up] != up, 1, 0)).any():
+    up, hops = np.where(literal, number, parent), (~literal).astype(np.int64)
+    while not literal[up].all():
         hops, up = hops + hops[up], up[up]
     length = hops + 1
     start = np.cumsum(length) - length
-    within = np.arange(int(length.sum())) - np.repeat(start, length)
-    source = np.where(np.repeat(literal, length), np.arange(len(within)), np.repeat(np.where(literal, 0, start[np.where(literal, 0, parent)]), length) + within)
-    while (source != source[source]).any():
+    shift = np.where(literal, 0, start - start[np.where(literal, 0, parent)])
+    source = np.arange(int(length.sum())) - np.repeat(shift, length)
+    fixed = np.repeat(literal, length)
+    while not fixed[source].all():
         source = source[source]
-    owner = np.repeat(np.arange(n), length)
-    return codes[owner[source]].astype(np.uint8)
+    return np.repeat(codes, length)[source].astype(np.uint8)
 
 
-def lzw(data: bytes, bits: int) -> np.ndarray:
-    """Samples of a code stream whose samples have ``bits`` bits."""
+def lzw(data: bytes, bits: int) -> bytes:
+    """Samples of a code stream whose samples have ``bits`` bits; it may go on with a full table before a clear code."""
     clear, end = 1 << bits, (1 << bits) + 1
     raw = np.frombuffer(data + b"\0\0\0\0", np.uint8)
-    out: list[np.ndarray] = []
-    bit, stop = 0, len(data) * 8
-    if bits == 8:  # runs of short literals, all of nine bits
-        body = raw[: len(data) // 9 * 9].reshape(-1, 9).astype(np.uint16)
-        codes = np.empty((len(body), 8), np.uint16)
-        for k in range(8):
-            codes[:, k] = (body[:, k] >> k | body[:, k + 1] << (8 - k)) & 511
-        codes = codes.ravel()
-        marks = np.flatnonzero(codes >= clear)
-        clears = marks[codes[marks] == clear]
-        if len(clears) and clears[0] == 0:
-            odd = marks[codes[marks] != clear]
-            long = clears[:-1][np.diff(clears) > 255]
-            cut = min([int(x[0]) for x in (odd, long) if len(x)] + [int(clears[-1])])
-            cut = int(clears[np.searchsorted(clears, cut, "right") - 1])
-            plain = codes[:cut]
-            out.append(plain[plain < clear].astype(np.uint8))
-            bit = cut * 9
     offset, width = _schedule(bits)
+    out: list[bytes] = []
+    own: list[np.ndarray] = []  # codes of the table so far
+    bit, stop = 0, len(data) * 8
     while bit < stop:
-        room = int(np.searchsorted(offset + width, stop - bit, "right"))
-        codes = _codes_at(raw, bit + offset[:room], width[:room])
-        ends = np.flatnonzero((codes == clear) | (codes == end))
-        cut = int(ends[0]) if len(ends) else room
-        full = (1 << 12) - clear - 2 + 1
-        if not len(ends) and room == len(offset):
-            raise ValueError("a run of codes is longer than this decoder reads")
-        if cut > full and (codes[full:cut] >= clear + 2 + np.arange(full, cut)).any():
-            raise ValueError("a code refers to an entry beyond a full table")
-        if cut:
-            out.append(_expand(codes[:cut], bits))
-        if not len(ends) or codes[cut] == end:
+        at, wide = (bit + 12 * np.arange(FULL), np.full(FULL, 12)) if own else (bit + offset, width)
+        room = int(np.searchsorted(at + wide, stop, "right"))
+        k = at[:room] >> 3
+        word = raw[k].astype(np.int64) | raw[k + 1].astype(np.int64) << 8 | raw[k + 2].astype(np.int64) << 16
+        codes = word >> (at[:room] & 7) & (1 << wide[:room]) - 1
+        marks = np.flatnonzero((codes == clear) | (codes == end))
+        cut = int(marks[0]) if len(marks) else room
+        own.append(codes[:cut])
+        if not len(marks) and room == len(wide):
+            bit = int(at[-1] + wide[-1])
+            continue
+        out.append(_expanded(np.concatenate(own), bits).tobytes())
+        own = []
+        if not len(marks) or codes[cut] == end:
             break
-        bit += int(offset[cut] + width[cut])
-    return np.concatenate(out) if out else np.empty(0, np.uint8)
+        bit = int(at[cut] + wide[cut])
+    if own:
+        out.append(_expanded(np.concatenate(own), bits).tobytes())
+    return b"".join(out)
+
+
+def _blocks(data: bytes) -> bytes:
+    return b"".join(bytes([len(part)]) + part for k in range(0, len(data), 255) if (part := data[k : k + 255])) + b"\0"
 
 
 def _sub_blocks(data: bytes, i: int) -> tuple[bytes, int]:
-    whole = 0
-    body = np.frombuffer(data, np.uint8, offset=i)
-    lengths = body[::256]
-    whole = int(np.argmax(lengths != 255)) if (lengths != 255).any() else len(lengths)
-    parts = [body[: whole * 256].reshape(whole, 256)[:, 1:].tobytes()]
-    i += whole * 256
+    parts = []
     while data[i]:
         parts.append(data[i + 1 : i + 1 + data[i]])
         i += data[i] + 1
     return b"".join(parts), i + 1
 
 
-def parse(data: bytes) -> tuple[int, int, list[Frame]]:
+def _right(canvas: np.ndarray, page: np.ndarray) -> int:
+    return int((canvas[: len(page)] == page).sum())
+
+
+def encode(samples: np.ndarray, delay_cs: int = DELAY_CS) -> bytes:
+    """A GIF of 8-bit samples, 64 a row, a page for every 64 rows."""
+    rows = len(samples) // UNIT
+    if rows * UNIT != len(samples) or not rows:
+        raise ValueError("samples must fill rows of 64")
+    parts = [b"GIF89a", struct.pack("<HHBBB", UNIT, min(rows, ROWS), 0xF7, 0, 0), _GREY]
+    pages = [samples.reshape(rows, UNIT)[k : k + ROWS] for k in range(0, rows, ROWS)]
+    canvas = np.full((min(rows, ROWS), UNIT), -1, np.int16)  # -1: nothing is shown
+    for page, after in zip(pages, [*pages[1:], None], strict=True):
+        free, stored = None, page
+        if 2 * _right(canvas, page) >= page.size and (unused := np.flatnonzero(np.bincount(page.ravel(), minlength=256) == 0)).size:
+            free = int(unused[0])
+            stored = np.where(canvas[: len(page)] == page, np.uint8(free), page)
+        disposal = LEAVE
+        if after is not None:
+            kept = canvas.copy()
+            kept[: len(page)] = page
+            disposal, canvas, right = max(((LEAVE, kept, _right(kept, after)), (RESTORE, canvas, _right(canvas, after))), key=lambda x: x[2])
+            if 2 * right < after.size:
+                disposal, canvas = CLEAR, kept
+                canvas[: len(page)] = -1
+        control = struct.pack("<BHBB", disposal << 2 | (free is not None), delay_cs, free or 0, 0)
+        parts += [b"\x21\xf9\x04", control, b"\x2c", struct.pack("<HHHHB", 0, 0, UNIT, len(page), 0), b"\x08", _blocks(lzw_coded(stored.tobytes()))]
+    return b"".join([*parts, b"\x3b"])
+
+
+def _stored(data: bytes) -> tuple[int, int, Iterator[Frame]]:
     """Width, height and frames as stored."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
-    width, height, flags = struct.unpack_from("<HHB", data, 6)
-    i, palette = 13, np.zeros((256, 3), np.uint8)
+    wide, high, head = struct.unpack_from("<HHB", data, 6)
 
     def colours(i: int, flags: int) -> tuple[np.ndarray, int]:
         n = 2 << (flags & 7)
@@ -186,64 +197,85 @@ def parse(data: bytes) -> tuple[int, int, list[Frame]]:
         table[:n] = np.frombuffer(data, np.uint8, 3 * n, i).reshape(n, 3)
         return table, i + 3 * n
 
-    if flags & 0x80:
-        palette, i = colours(i, flags)
-    frames, delay, disposal, transparent = [], 0, 0, None
-    while data[i] != 0x3B:
-        if data[i] == 0x21:
-            body, after = _sub_blocks(data, i + 2)
-            if data[i + 1] == 0xF9:
-                packed, delay, colour = struct.unpack_from("<BHB", body)
-                disposal, transparent = packed >> 2 & 7, colour if packed & 1 else None
-            i = after
-        elif data[i] == 0x2C:
-            left, top, w, h, flags = struct.unpack_from("<HHHHB", data, i + 1)
-            i, own = i + 10, palette
-            if flags & 0x80:
-                own, i = colours(i, flags)
-            bits = data[i]
-            body, i = _sub_blocks(data, i + 1)
-            indices = lzw(body, bits)[: w * h]
-            if len(indices) < w * h:
-                raise ValueError("a frame ends early")
-            indices = indices.reshape(h, w)
-            if flags & 0x40:
-                order = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
-                straight = np.empty_like(indices)
-                straight[order] = indices
-                indices = straight
-            frames.append(Frame(left, top, delay, disposal, transparent, indices, own))
-            delay, disposal, transparent = 0, 0, None
-        else:
-            raise ValueError(f"unknown block {data[i]}")
-    return width, height, frames
-
-
-def shown(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(delay in hundredths of a second, height x width x 4 bytes with alpha) of each frame as shown."""
-    width, height, frames = parse(data)
-    canvas = np.zeros((height, width, 4), np.uint8)
-    for f in frames:
-        before = canvas.copy() if f.disposal == 3 else None
+    def each() -> Iterator[Frame]:
+        i, palette = 13, np.zeros((256, 3), np.uint8)
+        if head & 0x80:
+            palette, i = colours(i, head)
+        delay, disposal, transparent = 0, 0, None
+        while data[i] != 0x3B:
+            if data[i] == 0x21:
+                body, after = _sub_blocks(data, i + 2)
+                if data[i + 1] == 0xF9:
+                    packed, delay, colour = struct.unpack_from("<BHB", body)
+                    disposal, transparent = packed >> 2 & 7, colour if packed & 1 else None
+                i = after
+            elif data[i] == 0x2C:
+                left, top, w, h, flags = struct.unpack_from("<HHHHB", data, i + 1)
+                i, own = i + 10, palette
+                if flags & 0x80:
+                    own, i = colours(i, flags)
+                bits = data[i]
+                body, i = _sub_blocks(data, i + 1)
+                indices = np.frombuffer(lzw(body, bits), np.uint8)[: w * h]
+                if len(indices) < w * h:
+                    raise ValueError("a frame ends early")
+                indices = indices.reshape(h, w)
+                if flags & 0x40:
+                    order = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
+                    straight = np.empty_like(indices)
+                    straight[order] = indices
+                    indices = straight
+                yield Frame(left, top, delay, disposal, transparent, indices, own)
+                delay, disposal, transparent = 0, 0, None
+            else:
+                raise ValueError(f"unknown block {data[i]}")
+
+    return wide, high, each()
+
+
+def frames(data: bytes) -> Iterator[tuple[Frame, np.ndarray]]:
+    """Each frame as stored, and the canvas as shown with it: height x width x (red, green, blue, alpha)."""
+    wide, high, stored = _stored(data)
+    canvas = np.zeros((high, wide, 4), np.uint8)
+    for f in stored:
+        before = canvas.copy() if f.disposal == RESTORE else None
         h, w = f.indices.shape
         area = canvas[f.top : f.top + h, f.left : f.left + w]
         indices = f.indices[: area.shape[0], : area.shape[1]]
-        drawn = np.ones(indices.shape, bool) if f.transparent is None else indices != f.transparent
-        area[drawn] = np.concatenate([f.palette, np.full((256, 1), 255, np.uint8)], 1)[indices[drawn]]
-        yield f.delay_cs, canvas.copy()
-        if f.disposal == 2:
+        drawn = np.concatenate([f.palette, np.full((256, 1), 255, np.uint8)], 1)[indices]
+        if f.transparent is None:
+            area[:] = drawn
+        else:
+            np.copyto(area, drawn, where=(indices != f.transparent)[:, :, None])
+        yield f, canvas.copy()
+        if f.disposal == CLEAR:
             area[:] = 0
         elif before is not None:
             canvas = before
 
 
-def histogram(f: Frame) -> np.ndarray:
-    """Pixels of a stored frame by brightness, in eight steps; transparent ones count nowhere."""
-    count = np.bincount(f.indices.ravel(), minlength=256)
-    if f.transparent is not None:
-        count[f.transparent] = 0
-    light = f.palette.astype(np.int64) @ np.array([299, 587, 114]) // 1000
-    return np.bincount(light * HISTOGRAM // 256, count, HISTOGRAM).astype(np.int64)
+def histogram(shown: np.ndarray) -> np.ndarray:
+    """Pixels by eight steps of red, then of green and blue; pixels where nothing is shown count nowhere."""
+    clear = shown[:, :, 3] == 0
+    seen = shown[~clear] if clear.any() else shown.reshape(-1, 4)
+    return np.concatenate([np.bincount(seen[:, c] >> 5, minlength=STEPS) for c in range(3)])
+
+
+def payload(f: Frame, shown: np.ndarray) -> bytes:
+    """The samples of a page that ``encode`` stored: what its place shows, where grey levels are samples."""
+    h, w = f.indices.shape
+    return shown[f.top : f.top + h, f.left : f.left + w, 0].tobytes()
+
+
+def _told(data: bytes) -> tuple[list[dict], bytes, np.ndarray]:
+    """Rows of the frames column, the samples, and the histogram of all frames."""
+    rows, body, total = [], [], np.zeros(3 * STEPS, np.int64)
+    for f, shown in frames(data):
+        counts = histogram(shown)
+        total += counts
+        body.append(payload(f, shown))
+        rows.append({"delay_ms": 10 * f.delay_cs, "disposal": f.disposal, "transparent": f.transparent, "left": f.left, "top": f.top, "width": f.indices.shape[1], "height": f.indices.shape[0], "histogram": counts.tolist()})
+    return rows, b"".join(body), total
 
 
 def _media(with_bytes: bool):
@@ -256,25 +288,45 @@ def _media(with_bytes: bool):
                     padded = np.zeros(max(UNIT, -(-(b - a) // UNIT) * UNIT), np.uint8)
                     padded[: b - a] = body[a:b]
                     media = encode(padded)
-                    width, height, frames = parse(media)
-                    payload = b"".join(f.indices.tobytes() for f in frames)
-                    counts = sum(histogram(f) for f in frames)
-                    feature = f"{width}x{height};frames={len(frames)};ms={10 * sum(f.delay_cs for f in frames)};hist=" + ",".join(map(str, counts.tolist()))
-                    out.append((b - a, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, media if with_bytes else None, [{"delay_ms": 10 * f.delay_cs, "width": f.indices.shape[1], "height": f.indices.shape[0], "histogram": histogram(f).tolist()} for f in frames] if with_bytes else None))
-                columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), FRAMES]
-                n = len(types) if with_bytes else 7
-                yield pa.record_batch([ids.slice(i, j - i), *(pa.array(c, t) for c, t in zip(columns[:n], types[:n], strict=True))], NAMES[: n + 1])
+                    told, samples, counts = _told(media)
+                    wide, high = struct.unpack_from("<HH", media, 6)
+                    feature = f"{wide}x{high};frames={len(told)};ms={sum(f['delay_ms'] for f in told)};hist=" + ",".join(map(str, counts[:STEPS].tolist()))
+                    row = (b - a, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+                    out.append((*row, media, told) if with_bytes else row)
+                n = 9 if with_bytes else 7
+                yield pa.record_batch([ids.slice(i, j - i), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES[:n], strict=True))], NAMES[: n + 1])
 
     return rows
 
 
-FRAMES = pa.list_(pa.struct([("delay_ms", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("histogram", pa.list_(pa.int64()))]))
+FRAME = [("delay_ms", pa.int64()), ("disposal", pa.int64()), ("transparent", pa.int64()), ("left", pa.int64()), ("top", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("histogram", pa.list_(pa.int64()))]
+FRAMES = pa.list_(pa.struct(FRAME))
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), FRAMES]
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "frames"]
+FRAMES_SQL = "array<struct<delay_ms: long, disposal: long, transparent: long, left: long, top: long, width: long, height: long, histogram: array<long>>>"
 
 
 def media_columns(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """What is stored for each text and what is read back from it; the file and its frames too, if asked for."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.mapInArrow(_media(with_bytes), schema + ", media binary, frames array<struct<delay_ms: long, width: long, height: long, histogram: array<long>>>" * with_bytes)
+    return docs.mapInArrow(_media(with_bytes), schema + f", media binary, frames {FRAMES_SQL}" * with_bytes)
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, errors = [], []
+        for file in batch.column("content").to_pylist():
+            try:
+                found.append(_told(file or b"")[0])
+                errors.append(None)
+            except (ValueError, IndexError, struct.error) as e:  # not a whole GIF
+                found.append(None)
+                errors.append(str(e) or type(e).__name__)
+        yield pa.record_batch([batch.column("id"), pa.array(found, FRAMES), pa.array(errors, pa.string())], ["id", "frames", "error"])
+
+
+def file_columns(files: DataFrame) -> DataFrame:
+    """id, frames and error of each file of (id, content)."""
+    files = files.select("id", F.col("content").cast("binary").alias("content"))
+    return files.mapInArrow(_files, f"id {files.schema['id'].dataType.simpleString()}, frames {FRAMES_SQL}, error string")

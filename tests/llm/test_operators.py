@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -111,20 +112,96 @@ def _slow_lzw(samples, bits):
     return bytes([*out, value & 255])
 
 
-@pytest.mark.parametrize("bits,n", [(2, 40), (4, 3000), (8, 700)])
+@pytest.mark.parametrize("bits,n", [(2, 40), (4, 3000), (8, 700), (8, 9000)])
 def test_lzw_of_another_encoder(bits, n):
-    samples = (np.arange(n) * 7 // 5 % 11 % (1 << bits)).tolist()
-    assert gif_media.lzw(_slow_lzw(samples, bits), bits).tolist()[:n] == samples
+    samples = bytes((np.arange(n) * 7 // 5 % 11 % (1 << bits)).astype(np.uint8))
+    assert gif_media.lzw(_slow_lzw(samples, bits), bits)[:n] == samples
+
+
+@pytest.mark.parametrize("bits", [2, 5, 8])
+def test_lzw_round_trip(bits):
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 2, 300, 20_000):
+        for top in (1, 3, 1 << bits):
+            samples = bytes(rng.integers(0, min(top, 1 << bits), n, np.uint8))
+            assert gif_media.lzw(gif_media.lzw_coded(samples, bits), bits) == samples
+
+
+def test_lzw_deferred_clear():
+    """An encoder that goes on with its full table: 20,000 random samples and no clear code but the first."""
+    samples = np.random.default_rng(4).integers(0, 256, 20_000, np.uint8).tobytes()
+    table, codes, run = {bytes([k]): k for k in range(256)}, [256], b""
+    for k in range(len(samples)):
+        one = samples[k : k + 1]
+        if run + one in table:
+            run += one
+            continue
+        codes.append(table[run])
+        if len(table) + 2 < 4096:
+            table[run + one] = len(table) + 2
+        run = one
+    codes += [table[run], 257]
+    value = at = 0
+    for n, code in enumerate(codes):
+        value |= code << at
+        at += max(9, min(12, (258 + max(0, n - 2)).bit_length())) if n else 9
+    assert gif_media.lzw(value.to_bytes(at // 8 + 1, "little"), 8) == samples
+    with pytest.raises(ValueError):
+        gif_media.lzw((256 | 400 << 9).to_bytes(4, "little"), 8)
+
+
+def _gif(frames, palette=((0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255)), size=(4, 2)):
+    """A GIF of frames (disposal, transparent, left, top, rows of indices)."""
+    out = [b"GIF89a", struct.pack("<HHBBB", *size, 0x81, 0, 0), bytes(sum(palette, ()))]
+    for disposal, transparent, left, top, rows in frames:
+        body = gif_media.lzw_coded(bytes(sum(rows, [])), 2)
+        out += [b"\x21\xf9\x04", struct.pack("<BHBB", disposal << 2 | (transparent is not None), 7, transparent or 0, 0), b"\x2c", struct.pack("<HHHHB", left, top, len(rows[0]), len(rows), 0), b"\x02", bytes([len(body)]), body, b"\0"]
+    return b"".join([*out, b"\x3b"])
+
+
+def test_gif_disposal_and_transparency(spark):
+    """Red, then two greens over it that leave, clear and restore, each followed by a blue pixel; worked out by hand."""
+    red, colours = [[1] * 4, [1] * 4], {(0, 0, 0, 0): ".", (255, 0, 0, 255): "r", (0, 255, 0, 255): "g", (0, 0, 255, 255): "b"}
+    for disposal, want in ((0, "rggr rrrb"), (1, "rggr rrrb"), (2, "r..r r..b"), (3, "rrrr rrrb")):
+        data = _gif([(1, None, 0, 0, red), (disposal, 0, 1, 0, [[2, 2], [0, 0]]), (1, None, 3, 1, [[3]])])
+        shown = [" ".join("".join(colours[tuple(p)] for p in row) for row in canvas.tolist()) for _, canvas in gif_media.frames(data)]
+        assert shown == ["rrrr rrrr", "rggr rrrr", want]
+    files = spark.createDataFrame([(1, data), (2, data[:40]), (3, None), (4, b"no image at all")], "id int, content binary")
+    rows = {r.id: r for r in gif_media.file_columns(files).collect()}
+    assert [(f.delay_ms, f.disposal, f.transparent, f.width) for f in rows[1].frames] == [(70, 1, None, 4), (70, 3, 0, 2), (70, 1, None, 1)]
+    assert rows[1].frames[1].histogram == [2] + [0] * 6 + [6] + [6] + [0] * 6 + [2] + [8] + [0] * 7 and rows[1].error is None
+    assert all(rows[k].frames is None and rows[k].error for k in (2, 3, 4))
+
+
+def test_gif_pages():
+    """Pages that hardly change, that go back to the one before last, and that have nothing in common."""
+    rng = np.random.default_rng(1)
+    a, b, c = (rng.integers(0, 200, 4096, np.uint8) for _ in range(3))
+    near = a.copy()
+    near[:100] = 201
+    samples = np.concatenate([a, near, b, near, c, c[:640]])
+    found = list(gif_media.frames(gif_media.encode(samples)))
+    assert b"".join(gif_media.payload(*x) for x in found) == samples.tobytes()
+    assert [(f.disposal, f.transparent is not None) for f, _ in found] == [(1, False), (2, True), (2, False), (2, False), (1, False), (1, True)]
+    found = list(gif_media.frames(gif_media.encode(np.concatenate([a, near, a, a]))))
+    assert [(f.disposal, f.transparent is not None) for f, _ in found] == [(1, False), (3, True), (1, True), (1, True)]
 
 
 def test_gif_round_trip(odd, none):
     got = by_id(gif_media.media_columns(odd))
     for doc, text, _ in ROWS:
         raw = (text or "").encode()
-        raw += bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        size = len(raw)
+        raw += bytes(max(64, -(-size // 64) * 64) - size)
         row = got[doc][0]
-        payload = b"".join(f.indices.tobytes() for f in gif_media.parse(bytes(row.media))[2])
-        assert payload == raw and row.payload_sha256 == hashlib.sha256(raw).hexdigest() and row.tail_crc32 == zlib.crc32(raw[-64:])
+        data = bytes(row.media)
+        samples = b"".join(gif_media.payload(*x) for x in gif_media.frames(data))
+        assert samples == raw and (row.payload_sha256, row.payload_bytes, row.n_bytes, row.tail_crc32) == (hashlib.sha256(raw).hexdigest(), len(raw), size, zlib.crc32(raw[-64:]))
+        assert (row.media_bytes, row.media_sha256) == (len(data), hashlib.sha256(data).hexdigest()) and len(row.frames) == -(-len(raw) // 4096)
+        counts = np.bincount(np.frombuffer(raw, np.uint8) >> 5, minlength=8)
+        pages = sum(64 * min(64, len(raw) // 64) for _ in row.frames)
+        if len(row.frames) == 1:
+            assert row.feature == f"64x{len(raw) // 64};frames=1;ms=100;hist=" + ",".join(map(str, counts)) and pages == len(raw)
     assert got[4][0].media_sha256 == got[5][0].media_sha256 and gif_media.media_columns(none).count() == 0
 
 
