@@ -142,7 +142,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     firsts = settled(keyed.groupBy("k").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
     copies = settled(keyed.join(firsts, "k").where("doc_id > low").select("doc_id", "k").distinct())
     marks = anchors.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
-    marks = settled(marks.join(copies.select("doc_id").distinct(), "doc_id", "left_anti"))
+    # A doc_id that has another text besides still needs its windows.
+    more = keyed.join(copies, ["doc_id", "k"], "left_anti").join(copies.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
+    marks = settled(marks.join(copies.select("doc_id").join(settled(more), "doc_id", "left_anti").distinct(), "doc_id", "left_anti"))
     windows = named.join(marks, "doc_id").mapInArrow(_window_rows(width), "h long, g int, doc_id long")
     lows = settled(windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low"))
     gone = settled(windows.join(lows, ["h", "g"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h").alias("gone")))
