@@ -137,8 +137,8 @@ def _close(n: str, at: str, m: str, to: str, percent: int) -> str:
     return f"100L * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent}L * least({n} - {at}, {m} - {to}) >= {percent}L * ({n} + {m})"
 
 
-def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row of docs."""
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, k (hash of the text), size (of the set) and c (a name of all that links reach; null without a set) of every row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
     survey = settled(docs.mapInArrow(_survey(width), "doc_id long, k long, size long, node long, block int, counts binary"))
@@ -155,7 +155,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     nodes = rows.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("first")).select("node", "first.*")
     wanted = nodes.join(posted.select("node").distinct(), "node", "left_semi")
     wanted = wanted.join(docs, ["doc_id", "k"]).select("node", "text")
-    texts = settled(wanted.dropDuplicates(["node"]) if _repeats(rows) else wanted)
+    texts = settled(wanted.dropDuplicates(["node"]) if _repeats(rows, "doc_id") else wanted)
 
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -178,18 +178,35 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links = links.unionByName(compared(opened))
 
     named = connected_components(links).select("node", "component")
-    full = rows.join(named, "node", "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "node")).alias("c"))
+    return rows.join(named, "node", "left").select("doc_id", "k", "size", F.when(F.col("size") > 0, F.coalesce("component", "node")).alias("c"))
+
+
+def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row of docs."""
+    full = _classes(docs, width, percent)
     least = settled(full.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id")))
     return full.join(least, "c", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    return not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+def _repeats(rows: DataFrame, *key: str) -> bool:
+    return not rows.where("doc_id is not null").groupBy(*key).count().where("count > 1").isEmpty()
 
 
 def keep_one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; of repeated rows one stays; all columns stay."""
-    found = settled(link_documents(docs, width, percent))
-    gone = found.where("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(found) else kept
+    """docs with one row of each group, that of the smallest doc_id; all columns stay.
+
+    It is the text that goes or stays: of a doc_id with several texts each is decided by its own group, and if the
+    smallest doc_id of a group has several texts in it, one of them stays.  Of rows of equal doc_id and text one stays.
+    Rows without a doc_id or without a set (null and empty texts) all stay.
+    """
+    found = settled(_classes(docs, width, percent))
+    named = found.where("doc_id is not null and c is not null")
+    first = settled(named.groupBy("c").agg(F.min(F.struct("doc_id", "k")).alias("first")))
+    gone = named.join(first, "c").where(F.struct("doc_id", "k") > F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("k").alias("_text")).distinct()
+    kept = docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_text"]), "left_anti")
+    if not _repeats(found, "doc_id", "k"):
+        return kept
+    # Rows that are repeated are few beside the others, which need not be dealt anew.
+    many = settled(found.where("doc_id is not null").groupBy("doc_id", "k").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")))
+    same = (kept["doc_id"].cast("long") == many["_id"]) & (F.xxhash64(kept["text"].cast("string")) == many["_k"])
+    return kept.join(many, same, "left_anti").unionByName(kept.join(many, same, "left_semi").dropDuplicates(["doc_id", "text"]))
