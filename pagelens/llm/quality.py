@@ -9,7 +9,8 @@ doc_id; weights bring the labels back to their shares among all labelled rows.
 
 Cases: a null text is an empty one, which scores as one window of padding; labels other than 0 and 1 and nulls teach
 nothing; without labels of both kinds every score is the share of label 1 (0.5 if there are none); several labels of
-one document count as the lowest; rows repeat as they are; an empty table gives an empty table.
+one document count as the lowest, and of several texts of one doc_id the least teaches; rows repeat as they are; an
+empty table gives an empty table; all columns stay.
 """
 
 from __future__ import annotations
@@ -139,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     key = F.xxhash64("doc_id")
     picked = [known.where(F.col("quality") == q).orderBy(key, "doc_id").limit(rows // 2) for q in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most ``rows`` ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = sorted((r.doc_id, r.quality, r.text or "") for r in texts.join(picked, "doc_id").toLocalIterator())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one of each id, however often it repeats
+    sample = sorted((r.doc_id, r.quality, r.text) for r in texts.toLocalIterator())
     y = np.array([q for _, q, _ in sample], np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -149,21 +151,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     return fit([t.encode() for _, _, t in sample], y, np.array([weight[int(q)] for q in y], np.float32))
 
 
-def _scores(net: Network | float):
+def _scores(net: Network | float, name: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.full(batch.num_rows, net if isinstance(net, float) else 0.0)
             if not isinstance(net, float):
                 for i, j, body, at in tokens.runs(batch.column("text")):
                     out[i:j] = score(net, body, at)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
 
     return rows
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with a column quality_score."""
+def score_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, name: str = "quality_score") -> DataFrame:
+    """docs with a column ``name``, the score; docs that have one already are refused."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have a column {name} already")
     net = train(docs, labels, rows)
-    docs = docs.drop("quality_score").withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
-    return docs.mapInArrow(_scores(net), schema)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_scores(net, name), schema)
