@@ -1,6 +1,11 @@
 """A training-corpus pipeline over ``documents``: STAGES in order, each on what its predecessor kept.
 
-The stages are one file's worth of calls into ``pagelens.llm``.  All but the last return the columns of documents.
+The stages are one file's worth of calls into ``pagelens.llm``.  All but the last return the columns of documents,
+whatever else these hold, and nothing from an empty table.
+
+Rows with a null or empty text are scored as such, never count as copies, contaminated or secret, and are packed as an
+end token.  Of rows of equal doc_id and text one stays; rows of one doc_id with different texts are decided each by its
+own text; a row without a doc_id is only dropped for its score or for what it shares with the benchmark.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below the threshold go."""
-    scored = score_documents(docs, _table(spark, sf_dir, "labels"))
-    return scored.where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    name = "_".join(["score", *docs.columns])  # longer than any other
+    scored = score_documents(docs, _table(spark, sf_dir, "labels"), name=name)
+    return scored.where(F.col(f"`{name}`") >= THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
