@@ -83,6 +83,29 @@ def meta_description(html: Column) -> Column:
     return F.substring(extract(html, r"""(?is)<meta[^>]+name=["']description["'][^>]*content=["']([^"']*)"""), 1, 300)
 
 
+def meta_robots(html: Column) -> Column:
+    return F.lower(F.trim(extract(html, r"""(?is)<meta[^>]+name=["']robots["'][^>]*content=["']([^"']*)""")))
+
+
+def canonicals(html: Column) -> Column:
+    """Addresses of the canonical links, in order."""
+    links = extract_all(html, r"""(?is)<link[^>]+rel=["']canonical["'][^>]*>""", 0)
+    return F.array_compact(F.transform(links, lambda c: extract(c, r"""(?i)href=["']([^"']+)""")))
+
+
+def images(html: Column, limit: int = 30) -> Column:
+    """array<struct<src, alt>> of the first images; alt is NULL without one and '' if it is empty."""
+    found = F.transform(extract_all(html, r"(?is)<img[^>]*>", 0), lambda i: F.struct(F.substring(F.regexp_extract(i, r"""(?i)src=["']([^"']+)""", 1), 1, 200).alias("src"), extract(i, r"""(?i)alt=["']([^"']*)""").alias("alt")))
+    return F.slice(found, 1, limit)
+
+
+def escaped(text: Column) -> Column:
+    """Text that stands in HTML as it is."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
 def hrefs(html: Column) -> Column:
     return extract_all(html, r"""(?i)<a[^>]+href=["']([^"'#][^"']*)["']""")
 
@@ -117,6 +140,27 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.concat(plain, F.filter(pairs, lambda w: ~w.isin(STOP))))
 
 
+def has_fact(block: Column) -> Column:
+    """A number with a unit or a date in the text of a block."""
+    return block["text"].rlike(FACT)
+
+
+def is_cited(block: Column) -> Column:
+    """A block with a link to elsewhere, in HTML or Markdown."""
+    links = F.concat(extract_all(block["html"], r"""(?i)<a[^>]+href=["']([^"']+)["']"""), extract_all(block["html"], r"\]\(([^)\s]+)\)"))
+    return F.exists(links, lambda h: h.rlike("^https?://"))
+
+
+def questions(text: Column, limit: int = 6) -> Column:
+    """Sentences that end with a question mark."""
+    return F.slice(F.filter(sentences(text), lambda s: s.rlike(r"[?？]$")), 1, limit)
+
+
+def quotable(blocks: Column, limit: int = 6) -> Column:
+    """Texts of the first blocks that hold a fact."""
+    return F.slice(F.transform(F.filter(blocks, has_fact), lambda b: F.substring(b["text"], 1, 220)), 1, limit)
+
+
 def nav_words(html: Column) -> Column:
     """Lower-cased words inside of header and nav elements."""
     return F.array_distinct(F.flatten(F.transform(extract_all(html, r"(?is)<(header|nav)[^>]*>(.*?)</\1>", 2), lambda h: words(F.lower(clean_text(h))))))

@@ -40,7 +40,45 @@ def norm_url(url: Column) -> Column:
 
 
 def lang_segment(url: Column) -> Column:
-    return extract(path(url), r"^/([a-z]{2}(?:-[A-Z]{2})?)(?:/|$)")
+    return extract(path(url), r"^/([a-z]{2}(?:-[a-zA-Z]{2,4})?)(?:/|$)")
+
+
+def origin_of(url: Column) -> Column:
+    """Scheme and host with its port; https where no scheme is given."""
+    full = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("https://"), url))
+    return extract(full, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)")
+
+
+def joined(base: Column, link: Column) -> Column:
+    """The address that a link on the page ``base`` means: absolute, without scheme, from the root, a query, a fragment or relative."""
+    link = F.trim(link)
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
+    bare = F.regexp_replace(base, "#.*$", "")
+    page = F.regexp_replace(bare, r"\?.*$", "")
+    rooted = F.regexp_replace(path(page), "[^/]*$", "")
+    tail = F.regexp_extract(link, r"([?#].*)$", 1)
+    plain = F.regexp_replace(link, r"[?#].*$", "")
+    whole = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.when(rooted == "", "/").otherwise(rooted), plain))
+    # Steps "." go, and ".." takes the step before it along.
+    steps = F.slice(F.split(whole, "/"), 2, 1 << 20)
+    last = F.element_at(steps, -1)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+    walked = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link == "", bare)
+        .when(link.startswith("#"), F.concat(bare, link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .otherwise(F.concat(origin, walked, tail))
+    )
+
+
+def domains(links: Column, limit: int = 30) -> Column:
+    """Sorted distinct hosts of absolute links."""
+    hosts = F.transform(F.filter(links, lambda u: u.rlike("(?i)^https?://[^/?#]")), bare_host)
+    return F.slice(F.array_sort(F.array_distinct(hosts)), 1, limit)
 
 
 def source_tier(url: Column, self_host: Column | None = None) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Agents by class.
+from ..functions import urls as U
+from ..sources.tables import reach
+
+# Where sitemaps are looked for, how large they may be, and how much of them is read; agents by class.
+CANDIDATES = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap")
+MAX_ENTRIES, MAX_BYTES, MAX_CHILDREN, MAX_URLS = 50_000, 50 * 1024 * 1024, 3, 2000
+LINE_ENDS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 AGENTS = {
     "search": ["Googlebot", "Bingbot"],
     "ai_search": ["OAI-SearchBot", "Claude-SearchBot", "PerplexityBot"],
@@ -15,14 +21,42 @@ AGENTS = {
 HOPS = 4
 
 
+def observed_robots(robots: DataFrame) -> DataFrame:
+    """(site, observed, body, reason) of (site, status, body): what the answer for robots.txt says about the rules.
+
+    A missing or blank file allows everything and is an observation; a refusal, a failure or an HTML page is none.
+    """
+    state, text = reach(F.col("status")), F.coalesce("body", F.lit(""))
+    reason = (
+        F.when(F.coalesce(F.col("status") == 404, F.lit(False)), "no file")
+        .when(state != "ok", "not fetched")
+        .when(F.lower(F.substring(text, 1, 400)).contains("<html"), "html")
+        .when(~text.rlike(r"\S"), "blank")
+        .otherwise("rules")
+    )
+    seen = robots.select("site", reason.alias("reason"), text.alias("text"))
+    return seen.select("site", F.col("reason").isin("no file", "blank", "rules").alias("observed"), F.when(F.col("reason") == "rules", F.col("text")).otherwise("").alias("body"), "reason")
+
+
+def robots_sitemaps(robots: DataFrame) -> DataFrame:
+    """(site, pos, line): the sitemaps that the rules of (site, body) declare, in order."""
+    return robots.select("site", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1))).alias("pos", "line"))
+
+
+def robots_noindex(robots: DataFrame) -> DataFrame:
+    """(site, path): noindex lines, which no crawler heeds."""
+    return robots.select("site", F.explode(F.regexp_extract_all("body", F.lit(r"(?im)^\s*noindex\s*:\s*(\S+)"), F.lit(1))).alias("path"))
+
+
 def robots_rules(robots: DataFrame) -> DataFrame:
     """(site, grp, agent, pos, kind, value): each rule of (site, body) under each agent of its group.
 
-    A group begins at a user-agent line whose previous kept line is none; lines before the first belong nowhere.
+    A group begins at a user-agent line whose previous kept line is none; lines before the first belong nowhere, and
+    lines without a colon say nothing.
     """
-    lines = robots.select("site", F.posexplode(F.split("body", r"\r\n|\n|\r")).alias("pos", "line"))
-    part = F.trim(F.regexp_replace("line", "#.*$", ""))
-    lines = lines.select("site", "pos", F.lower(F.trim(F.split_part(part, F.lit(":"), F.lit(1)))).alias("key"), F.trim(F.regexp_replace(part, "^[^:]*:", "")).alias("value")).where(F.col("key").isin("user-agent", "allow", "disallow"))
+    lines = robots.select("site", F.posexplode(F.split("body", LINE_ENDS)).alias("pos", "line"))
+    lines = lines.select("site", "pos", F.trim(F.regexp_replace("line", "#.*$", "")).alias("part")).where(F.col("part").contains(":"))
+    lines = lines.select("site", "pos", F.lower(F.trim(F.split_part("part", F.lit(":"), F.lit(1)))).alias("key"), F.trim(F.regexp_replace("part", "^[^:]*:", "")).alias("value")).where(F.col("key").isin("user-agent", "allow", "disallow"))
     order = Window.partitionBy("site").orderBy("pos")
     fresh = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(order), F.lit("")) != "user-agent")
     lines = lines.withColumn("fresh", fresh.cast("int")).withColumn("grp", F.sum("fresh").over(order)).where("grp > 0")
@@ -32,7 +66,10 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
 
 def robots_decisions(robots: DataFrame, agents: DataFrame, path: str = "/") -> DataFrame:
-    """(site, agent, grp_kind, allowed): the first group that names the agent, else the first for *, by longest match."""
+    """(site, agent, grp_kind, allowed, rule): the first group that names the agent, else the first for *, by longest match.
+
+    rule is the line that decides, NULL if none matches.
+    """
     rules = robots_rules(robots)
     sites = robots.select("site").distinct().crossJoin(F.broadcast(agents.select("agent")))  # agents are a short fixed list
     asked = sites.join(rules.withColumnRenamed("agent", "named"), "site", "left").where("named is null or named = lower(agent) or named = '*'")
@@ -42,34 +79,126 @@ def robots_decisions(robots: DataFrame, agents: DataFrame, path: str = "/") -> D
     escaped = F.regexp_replace(F.regexp_replace(F.col("value"), r"([.+?^(){}\[\]|\\])", r"\\$1"), r"\*", ".*")
     pattern = F.concat(F.lit("^"), escaped)
     match = (F.col("value") != "") & F.regexp_like(F.lit(path), pattern)
-    won = F.max(F.when(match, F.struct(F.length("value").alias("n"), (F.col("kind") == "allow").alias("allow")))).alias("won")
+    won = F.max(F.when(match, F.struct(F.length("value").alias("n"), (F.col("kind") == "allow").alias("allow"), F.col("value")))).alias("won")
     out = held.groupBy("site", "agent", "rank").agg(won)
-    return out.select("site", "agent", F.when(F.col("rank") == 0, "explicit").when(F.col("rank") == 1, "wildcard").otherwise("none").alias("grp_kind"), F.coalesce("won.allow", F.lit(True)).alias("allowed"))
+    rule = F.concat(F.when(F.col("won.allow"), "Allow: ").otherwise("Disallow: "), F.col("won.value"))
+    return out.select("site", "agent", F.when(F.col("rank") == 0, "explicit").when(F.col("rank") == 1, "wildcard").otherwise("none").alias("grp_kind"), F.coalesce("won.allow", F.lit(True)).alias("allowed"), F.when(F.col("won").isNotNull(), rule).alias("rule"))
+
+
+def agent_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, a) for c, names in AGENTS.items() for a in names], "class string, agent string")
+
+
+def robots_classes(robots: DataFrame) -> DataFrame:
+    """(site, class, allowed, blocked) of observed (site, status, body): whether all agents of a class may come, and which may not."""
+    seen = observed_robots(robots).where("observed").select("site", "body")
+    agents = agent_table(robots.sparkSession)
+    told = robots_decisions(seen, agents.select("agent")).join(F.broadcast(agents), "agent")  # twelve agents
+    blocked = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("allowed"), F.col("agent")))), ",")
+    return told.groupBy("site", "class").agg(F.bool_and("allowed").alias("allowed"), blocked.alias("blocked"))
+
+
+def blocked_by_server(probes: DataFrame) -> DataFrame:
+    """(site, agents) of (site, agent, status), NULL being the browser's row: agents that are turned away where a browser is not.
+
+    Sites that turn the browser away too, or do not answer, are left out: there is nothing to compare with.
+    """
+    state = reach(F.col("status"))
+    agents = F.array_join(F.array_sort(F.collect_list(F.when(F.col("agent").isNotNull() & (state == "blocked"), F.col("agent")))), ",")
+    told = probes.groupBy("site").agg(F.bool_or(F.col("agent").isNull() & (state == "ok")).alias("open"), agents.alias("agents"))
+    return told.where("open").select("site", "agents")
+
+
+def is_sitemap(body: Column) -> Column:
+    """Whether an answer is a sitemap and no page that stands in for one."""
+    head = F.lower(F.substring(body, 1, 3000))
+    return ~F.substring(head, 1, 400).contains("<html") & (head.contains("<urlset") | head.contains("<sitemapindex"))
+
+
+def sitemap_candidates(sites: DataFrame, declared: DataFrame) -> DataFrame:
+    """(site, pos, url, declared) of (site, origin) and (site, pos, line): where a sitemap may be, each address once."""
+    own = declared.join(sites, "site").select("site", "pos", U.joined(F.concat("origin", F.lit("/")), F.col("line")).alias("url"), F.lit(True).alias("declared"))
+    usual = sites.select("site", "origin", F.posexplode(F.array(*map(F.lit, CANDIDATES))).alias("pos", "path"))
+    usual = usual.select("site", (F.col("pos") + 1_000_000).alias("pos"), F.concat("origin", "path").alias("url"), F.lit(False).alias("declared"))
+    return own.unionByName(usual).groupBy("site", "url").agg(F.min("pos").alias("pos"), F.bool_or("declared").alias("declared")).select("site", "pos", "url", "declared")
+
+
+def tried_sitemaps(candidates: DataFrame, crawl: DataFrame) -> DataFrame:
+    """(site, pos, url, declared, status, usable): candidates with the answers of (url, status, body)."""
+    answers = crawl.select("url", "status", (F.coalesce(is_sitemap(F.col("body")), F.lit(False)) & (reach(F.col("status")) == "ok")).alias("usable"))
+    return candidates.join(answers, "url", "left").select("site", "pos", "url", "declared", "status", F.coalesce("usable", F.lit(False)).alias("usable"))
+
+
+def chosen_sitemaps(tried: DataFrame) -> DataFrame:
+    """(site, url): the first usable candidate of each site that has one."""
+    return tried.where("usable").groupBy("site").agg(F.min_by("url", "pos").alias("url"))
+
+
+def sitemap_files(chosen: DataFrame, crawl: DataFrame) -> DataFrame:
+    """(site, nth, url, status, body, children): each site's sitemap, or the first children of its index in their place."""
+    top = chosen.join(crawl, "url").select("site", "url", "status", "body", F.lower(F.substring("body", 1, 3000)).contains("<sitemapindex").alias("is_index"))
+    found = F.regexp_extract_all("body", F.lit(r"(?is)<sitemap>.*?<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
+    parts = top.where("is_index").select("site", found.alias("c")).select("site", F.size("c").alias("children"), F.posexplode(F.slice("c", 1, MAX_CHILDREN)).alias("nth", "url"))
+    parts = parts.join(crawl, "url", "left").select("site", "nth", "url", "status", "body", "children")
+    return top.where("not is_index").select("site", F.lit(0).alias("nth"), "url", "status", "body", F.lit(0).alias("children")).unionByName(parts)
+
+
+def _entries(body: Column) -> Column:
+    """array<struct<loc, lastmod>> of a sitemap's url elements; of one without any, all of its addresses."""
+    loc, when = r"(?is)<loc>\s*([^<]+?)\s*</loc>", r"(?is)<lastmod>\s*([^<]+?)\s*</lastmod>"
+    some = lambda u, p: F.when(u.rlike(p), F.regexp_extract(u, p, 1))
+    named = F.filter(F.transform(F.regexp_extract_all(body, F.lit("(?is)<url>(.*?)</url>"), F.lit(1)), lambda u: F.struct(some(u, loc).alias("loc"), some(u, when).alias("lastmod"))), lambda e: e["loc"].isNotNull())
+    loose = F.transform(F.regexp_extract_all(body, F.lit(loc), F.lit(1)), lambda x: F.struct(x.alias("loc"), F.lit(None).cast("string").alias("lastmod")))
+    return F.when(F.size(named) > 0, named).otherwise(loose)
+
+
+def sitemap_entries(files: DataFrame, most: int = MAX_URLS) -> DataFrame:
+    """(site, pos, loc, lastmod) from (site, nth, status, body), file by file; the first ``most`` of a site, as the audit reads no more."""
+    each = files.where(reach(F.col("status")) == "ok").select("site", "nth", F.posexplode(_entries(F.col("body"))).alias("at", "e"))
+    sizes = each.groupBy("site", "nth").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("site").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)  # MAX_CHILDREN files at most
+    begins = sizes.select("site", "nth", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    placed = each.join(begins, ["site", "nth"]).select("site", (F.col("begin") + F.col("at")).cast("int").alias("pos"), "e.loc", "e.lastmod")
+    return placed.where(F.col("pos") < most)
+
+
+def sitemap_limits(files: DataFrame) -> DataFrame:
+    """(site, issue) of (site, nth, url, status, body, children): what is too large, cut off or out of reach."""
+    ok, single = reach(F.col("status")) == "ok", F.col("children") == 0
+    issues = F.array(
+        F.when(single & (F.octet_length("body") > MAX_BYTES), F.lit("size")),
+        F.when(single & ok & (F.size(_entries(F.col("body"))) > MAX_ENTRIES), F.lit("too_many")),
+        F.when(F.col("children") > MAX_CHILDREN, F.lit("index_truncated")),
+        F.when(~single & ~F.coalesce(ok, F.lit(False)), F.lit("child_unreachable")),
+    )
+    return files.select("site", F.explode(F.array_compact(issues)).alias("issue")).distinct()
 
 
-def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
-    """(site, pos, loc, lastmod) from (site, body); bodies that are no sitemap give nothing."""
-    head = F.lower(F.substring("body", 1, 3000))
-    good = ~F.lower(F.substring("body", 1, 400)).contains("<html") & (head.contains("<urlset") | head.contains("<sitemapindex"))
-    each = sitemaps.where(good).select("site", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<url[\s>].*?</url>"), F.lit(0))).alias("pos", "u"))
-    some = lambda p: F.when(F.col("u").rlike(p), F.regexp_extract("u", p, 1))
-    return each.select("site", "pos", some(r"(?is)<loc>\s*(.*?)\s*</loc>").alias("loc"), some(r"(?is)<lastmod>\s*(.*?)\s*</lastmod>").alias("lastmod"))
+def is_date(text: Column) -> Column:
+    """A W3C date, or a date and time with seconds; a fraction needs a zone, and so does a time without seconds."""
+    text = F.trim(text)
+    day = F.try_to_timestamp(F.regexp_extract(text, r"^(\d{4}-\d{1,2}-\d{1,2})(?:T|$)", 1), F.lit("yyyy-M-d")).isNotNull()
+    zone = r"(?:Z|[+-]\d{2}:?[0-5]\d)"
+    timed = text.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:T(?:[01]?\d|2[0-3]):[0-5]?\d:(?:[0-5]?\d|6[01])(?:{zone}|\.\d{{1,6}}{zone})?)?$")
+    loose = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2})?(?:[+-]\d{2}:\d{2}|Z)$")
+    return F.coalesce((day & timed) | loose, F.lit(False))
 
 
 def sitemap_hygiene(entries: DataFrame) -> DataFrame:
-    """Counts of each kind of issue of a site's entries, in one aggregate."""
-    loc = F.col("loc")
+    """Counts of each kind of issue of a site's entries, with up to two examples of each, in one aggregate."""
+    loc, when = F.col("loc"), F.nullif("lastmod", F.lit(""))
     host = F.regexp_replace(F.regexp_extract(F.lower(loc), r"^https?://([^/?#:]*)", 1), r"^www\.", "")
-    valid = F.col("lastmod").rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-    return entries.groupBy("site").agg(
+    absolute = loc.rlike("^https?://")
+    kinds = {"relative": ~absolute, "cross_host": absolute & (host != F.col("site")), "fragment": loc.contains("#"), "lastmod_format": when.isNotNull() & ~is_date(when)}
+    shown = {k: F.col("lastmod") if k == "lastmod_format" else loc for k in kinds}
+    told = entries.groupBy("site").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(~loc.rlike("^https?://")).alias("relative"),
-        F.count_if(loc.rlike("^https?://") & (host != F.col("site"))).alias("cross_host"),
-        F.count_if(loc.contains("#")).alias("fragment"),
-        (F.count_distinct(F.when(loc.rlike("^https?://"), F.regexp_extract(loc, "^(https?)", 1))) > 1).alias("mixed_scheme"),
-        F.count_if(F.col("lastmod").isNotNull() & ~valid).alias("lastmod_format"),
-        ((F.count(F.lit(1)) >= 5) & (F.count("lastmod") == F.count(F.lit(1))) & (F.count_distinct("lastmod") == 1)).alias("lastmod_uniform"),
+        *(F.count_if(test).alias(k) for k, test in kinds.items()),
+        (F.count_distinct(F.when(absolute, F.regexp_extract(loc, "^(https?)", 1))) > 1).alias("mixed_scheme"),
+        ((F.count(F.lit(1)) >= 5) & (F.count(when) == F.count(F.lit(1))) & (F.count_distinct(when) == 1)).alias("lastmod_uniform"),
+        *(F.array_compact(F.array(F.min(F.when(test, shown[k])), F.nullif(F.max(F.when(test, shown[k])), F.min(F.when(test, shown[k]))))).alias(f"{k}_examples") for k, test in kinds.items()),
     )
+    return told
 
 
 def follow_redirects(starts: DataFrame, hops: DataFrame, limit: int = HOPS) -> DataFrame:

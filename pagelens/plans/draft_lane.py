@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jsonld as J
 from ..functions import text as T
 from ..functions import urls as U
 from ..sources.tables import reach
@@ -15,7 +16,6 @@ FALLBACK_LINE = 0.30
 PENDING = r"\[(待核|需核|未验证)\]"
 PENDING_SECTION = r"(?im)^#{1,4}\s*(待核|需核|needs?[ _-]?review)"
 MAX_SOURCES, MAX_NUMBERS = 8, 3
-LD = r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
 
 
 def links(html: Column) -> Column:
@@ -33,8 +33,13 @@ def is_numeric(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """Numbers to look up in a source; years alone say nothing."""
-    return F.filter(T.extract_all(text, r"[0-9][0-9,]*\.?[0-9]*", 0), lambda n: ~n.rlike("^(19|20)[0-9]{2}$"))
+    """Numbers to look up in a source; years alone say nothing, and neither does a single digit."""
+    return F.filter(T.extract_all(text, r"[0-9][0-9,]*\.?[0-9]*", 0), lambda n: ~n.rlike("^(19|20)[0-9]{2}$") & (F.regexp_count(n, F.lit("[0-9]")) >= 2))
+
+
+def content_block(draft: Column) -> Column:
+    """The first fenced block of HTML or Markdown of a draft: what is to be published; NULL without one."""
+    return T.extract(draft, r"(?s)```(?:html|markdown|md)\s*\n(.*?)```")
 
 
 def lines(densities: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def _facts(drafts: DataFrame) -> DataFrame:
         (F.size(images) + F.size(pictures) + F.regexp_count(block, F.lit(r"(?i)<(video|iframe)[^>]*>"))).alias("n_media"),
         (F.exists(images, lambda i: ~i.rlike(r"""(?i)alt=["'][^"']+""")) | F.exists(pictures, lambda a: F.trim(a) == "")).alias("no_alt"),
         block.rlike(r"(?is)<figcaption[^>]*>\s*\S").alias("captioned"),
-        T.extract_all(block, LD).alias("ld"),
+        J.draft_facts(block).alias("ld"),
         F.exists(T.extract_all(draft, r"(?s)```bash\s*\n(.*?)```"), lambda b: b.rlike(r"\b(curl|grep)\b")).alias("has_check"),
         (draft.rlike(PENDING_SECTION) & (F.regexp_count(block, F.lit(PENDING)) <= F.regexp_count(draft, F.lit(rf"(?im)^\s*[-*]\s*.*{PENDING}")))).alias("listed"),
     )
@@ -95,8 +100,11 @@ def traced_numbers(facts: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def draft_items(drafts: DataFrame, sources: DataFrame, densities: DataFrame) -> DataFrame:
-    """id and scores WG1, W1 to W9, D1 and D2 of (id, draft, block, question, self_host); NULL is unobserved."""
-    facts = _facts(drafts)
+    """id and scores WG1, W1 to W9, D1 and D2 of (id, draft, question, self_host); NULL is unobserved.
+
+    What is to be published is the column block, if there is one, and else the draft's fenced block.
+    """
+    facts = _facts(drafts if "block" in drafts.columns else drafts.withColumn("block", content_block(F.col("draft"))))
     first = F.slice("words", 1, 50)
     spaced, joined = F.lower(F.array_join(first, " ")), F.lower(F.array_join(first, ""))
     hit = F.size(F.filter("asked", lambda t: F.contains(spaced, t) | F.contains(joined, t)))
@@ -105,7 +113,7 @@ def draft_items(drafts: DataFrame, sources: DataFrame, densities: DataFrame) ->
     numeric = F.filter("blocks", lambda b: is_numeric(b["text"]))
     share = F.size(F.filter(numeric, lambda b: (F.size(outside(b["html"])) > 0) | b["html"].rlike(T.SOURCE_MARK))) / F.nullif(F.size(numeric), F.lit(0))
     dangling = F.size(F.filter("blocks", lambda b: b["tag"].isin("p", "blockquote") & b["text"].rlike(T.DANGLING)))
-    types = F.array_distinct(F.flatten(F.transform("ld", lambda r: T.extract_all(r, r'"@type"\s*:\s*"([A-Za-z]+)"'))))
+    types = F.col("ld.types")
     valid = F.size(F.array_intersect(types, F.array(*map(F.lit, VALID_TYPES))))
     media = F.arrays_overlap(types, F.array(F.lit("ImageObject"), F.lit("VideoObject")))
     n = F.size("internal")
@@ -116,7 +124,7 @@ def draft_items(drafts: DataFrame, sources: DataFrame, densities: DataFrame) ->
         F.when(share >= 0.6, 3).when(share >= 0.3, 2).when(share > 0, 1).when(share == 0, 0).alias("W2"),
         F.when(F.col("n_media") == 0, 0).when(F.col("no_alt") | ~F.col("captioned"), 1).when(media, 3).otherwise(2).alias("W6"),
         F.when(dangling == 0, 3).when(dangling == 1, 2).when(dangling <= 3, 1).otherwise(0).alias("W7"),
-        F.when(F.size(types) == 0, 0).when((valid == 0) & F.exists("ld", lambda r: F.try_parse_json(r).isNull()), 0).when(valid == 0, 1).when(valid >= 2, 3).otherwise(2).alias("W8"),
+        F.when(F.size(types) == 0, 0).when((valid == 0) & (F.col("ld.broken") > 0), 0).when(valid == 0, 1).when(valid >= 2, 3).otherwise(2).alias("W8"),
         F.when(n >= 5, 3).when(n >= 3, 2).when(n >= 1, 1).otherwise(0).alias("W9"),
         F.col("has_check").cast("int").alias("D1"),
         F.col("listed").cast("int").alias("D2"),

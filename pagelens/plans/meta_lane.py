@@ -33,7 +33,7 @@ def meta_items(pairs: DataFrame) -> DataFrame:
     found = F.filter(F.transform(wanted, lambda t: F.instr(F.lower(title), t)), lambda at: at > 0)
     place = T.wide_length(F.substring(title, F.lit(1), F.array_min(found) - 1)) / F.greatest(F.lit(1), n)
     both = F.concat_ws(" ", title, text)
-    hooks = sum(both.rlike(p).cast("int") for p in HOOKS.values())
+    hooks = sum(text.rlike(p).cast("int") for p in HOOKS.values())
     lower = F.lower(both)
     need = (
         F.when(F.col("page_type") == "home", (F.size(F.filter(wanted, lambda t: F.contains(lower, t))) > 0).cast("int") + both.rlike(AUDIENCE).cast("int"))
@@ -48,7 +48,7 @@ def meta_items(pairs: DataFrame) -> DataFrame:
         _length(m, (70, 155), (50, 175)).alias("M2"),
         F.when(F.size(wanted) <= 0, None).when(F.size(found) == 0, 0).when(place <= 1 / 3, 3).when(place <= 1 / 2, 2).otherwise(1).alias("M3"),
         F.when((F.size(a) == 0) | (F.size(b) == 0), None).when(alike <= 0.3, 3).when(alike <= 0.5, 2).when(alike <= 0.7, 1).otherwise(0).alias("M4"),
-        F.when(hooks >= 2, 3).when(hooks == 1, 2).when(both.rlike(VERB), 1).otherwise(0).alias("M5"),
+        F.when(hooks >= 2, 3).when(hooks == 1, 2).when(text.rlike(VERB), 1).otherwise(0).alias("M5"),
         F.when(need == 2, 3).when(need == 1, 2).when(need == 0, 0).alias("M6"),
         F.when(hype == 0, 3).when(hype == 1, 2).when(hype <= 3, 1).otherwise(0).alias("C4"),
     )

@@ -2,59 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jsonld as J
 from ..functions import text as T
 from ..functions import urls as U
+from ..sources.tables import reach
 
 # JSON-LD types that describe a page and not its site.
 PAGE_TYPES = "SoftwareApplication WebApplication Product Article FAQPage HowTo BlogPosting NewsArticle Course Recipe Quiz Dataset ItemList".split()
 ITEMS = ["G3", "T4", "T7", "T8", "C1", "C2", "C3", "C4", "I1", "I2", "I3"]
-LD = r"""(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"""
+# Fixed value: languages that are written from right to left.
+RIGHT_TO_LEFT = "(?i)^(ar|he|fa|ur)"
+_ALTERNATE = r"""(?is)<link[^>]+rel=["']alternate["'][^>]*hreflang=["'][^"']+["'][^>]*href=["']([^"']+)["']"""
+
+
+def observed(pages: DataFrame) -> Column:
+    """Whether there is a page to judge: some HTML, and a status, where one is given, of a page that answers."""
+    some = F.coalesce(F.col("html") != "", F.lit(False))
+    return some & (reach(F.col("status")) == "ok") if "status" in pages.columns else some
 
 
 def facts(pages: DataFrame) -> DataFrame:
-    """What a page says, without its HTML; every later step works on these columns."""
-    html = F.coalesce("html", F.lit(""))
+    """What a page says, without its HTML; every later step works on these columns.
+
+    A page that was not observed has its page_id, url and site, and NULL in all other columns.
+    """
+    html = F.when(observed(pages), F.col("html"))
     host = U.bare_host(F.col("url"))
-    base = pages.select("page_id", "url", host.alias("site"), T.title(html).alias("title"), T.meta_description(html).alias("description"), T.lang(html).alias("lang"), T.clean_text(html).alias("body"), T.tags(html, "h1").alias("h1"), T.distinct_tags(html, "h2").alias("h2"), T.nav_words(html).alias("nav"), T.blocks(html).alias("blocks"), F.size(T.internal_links(html, host)).alias("n_internal"), F.size(T.external_links(html, host)).alias("n_external"), F.regexp_count(html, F.lit(r"(?i)<(?:ul|ol)[\s>]")).alias("n_lists"), F.regexp_count(html, F.lit(r"(?i)<table[\s>]")).alias("n_tables"), F.regexp_count(html, F.lit(r"(?i)<img[^>]*>")).alias("n_images"), T.extract_all(html, r"""(?is)<link[^>]+rel=["']canonical["'][^>]*>""", 0).alias("canonical"), T.extract_all(html, LD).alias("ld"), T.extract_all(html, r"""(?i)hreflang=["']([^"']+)""").alias("hreflang"))
+    base = pages.select(
+        "page_id", "url", host.alias("site"), T.title(html).alias("title"), T.meta_description(html).alias("description"), T.lang(html).alias("lang"), T.clean_text(html).alias("body"),
+        T.tags(html, "h1").alias("h1"), T.distinct_tags(html, "h2").alias("h2"), T.nav_words(html).alias("nav"), T.blocks(html).alias("blocks"),
+        F.size(T.internal_links(html, host)).alias("n_internal"), F.size(T.external_links(html, host)).alias("n_external"), U.domains(T.external_links(html, host)).alias("domains"),
+        F.regexp_count(html, F.lit(r"(?i)<(?:ul|ol)[\s>]")).alias("n_lists"), F.regexp_count(html, F.lit(r"(?i)<table[\s>]")).alias("n_tables"), F.regexp_count(html, F.lit(r"(?i)<img[^>]*>")).alias("n_images"),
+        html.rlike("(?is)<(video|iframe)[^>]*>").alias("has_video"), T.canonicals(html).alias("canonical"), J.page_facts(html).alias("ld"),
+        T.extract_all(html, r"""(?is)<link[^>]+hreflang=["']([^"']+)["'][^>]*>""").alias("hreflang"), T.extract_all(html, _ALTERNATE).alias("alternate"), html.rlike(r"""(?i)<html[^>]+dir=["']?rtl""").alias("rtl"),
+    )
     return base.withColumn("words", T.words(F.col("body")))
 
 
 def audit_items(page: DataFrame) -> DataFrame:
-    """page_id and a score for each of ITEMS; NULL is unobserved."""
+    """page_id and a score for each of ITEMS; NULL is unobserved, and so are all items of a page that is."""
     size, title = F.size, F.coalesce("title", F.lit(""))
     first = F.slice("words", 1, 50)
     in_nav = F.size(F.filter(first, lambda w: F.array_contains(F.col("nav"), F.lower(w)))) / F.greatest(F.lit(1), F.size(first))
     hit = F.size(F.array_intersect(T.terms(F.concat_ws(" ", title, F.coalesce("description", F.lit("")))), T.terms(F.array_join(first, " "))))
     fact = F.size(F.filter("blocks", T.is_fact)) / F.nullif(size("blocks"), F.lit(0))
     hype = F.aggregate("blocks", F.lit(0), lambda n, b: n + F.regexp_count(b["text"], F.lit(T.MARKETING)))
-    types = F.array_distinct(F.flatten(F.transform("ld", lambda r: T.extract_all(r, r'"@type"\s*:\s*"([A-Za-z]+)"'))))
+    types, n_ld, broken = F.col("ld.types"), F.col("ld.blocks"), F.col("ld.broken")
     on_page, on_site = F.size(F.array_intersect(types, F.array(*map(F.lit, PAGE_TYPES)))), F.size(F.array_except(types, F.array(*map(F.lit, PAGE_TYPES))))
-    broken = F.size(F.filter("ld", lambda r: F.try_parse_json(r).isNull()))
     segment, wide = U.lang_segment(F.col("url")), T.wide_length(title)
     twins = F.col("twins")
-    href = T.extract(F.col("canonical")[0], r"""(?i)href=["']([^"']+)""")
-    same = F.split_part(href, F.lit("://"), F.lit(1)) == F.split_part(F.col("url"), F.lit("://"), F.lit(1))
-    own = F.size(F.filter("hreflang", lambda h: F.lower(h) == F.lower(F.col("lang")))) > 0
+    href = F.get("canonical", F.lit(0))
+    same = F.lower(F.split_part(href, F.lit("://"), F.lit(1))) == F.lower(F.split_part(F.col("url"), F.lit("://"), F.lit(1)))
+    own = F.exists("alternate", lambda h: U.norm_url(h) == U.norm_url(F.col("url")))
+    named = F.exists("hreflang", lambda h: F.lower(h) == "x-default")
     step = lambda x, *cuts: F.when(x >= cuts[0], 3).when(x >= cuts[1], 2).when(x > cuts[2], 1).otherwise(0)
+    spoken = F.when(F.col("lang").isNull(), 0).when(F.col("lang").contains("_"), 1).when(segment.isNotNull() & (F.lower(F.substring("lang", 1, 2)) != F.lower(F.substring(segment, 1, 2))), 2).otherwise(3)
     titled = page.where("title <> ''").groupBy("site", "title").agg((F.count(F.lit(1)) - 1).alias("twins"))
+    seen = lambda score, item: F.when(F.col("body").isNotNull(), score).alias(item)
     # Only scores, and no texts, go through the join with the titles.
     scored = page.select(
-        "page_id", "site", "title", wide.alias("wide"),
-        (size("words") >= 120).cast("int").alias("G3"),
-        F.when(size("canonical") != 1, 0).when(href.isNull() | ~href.rlike("^https?://"), 2).when(href.contains("#") | ~same, 1).otherwise(3).alias("T4"),
-        F.when(size("ld") == 0, 0).when(broken == 0, 3).when(broken == size("ld"), 0).when(broken == 1, 2).otherwise(1).alias("T7"),
-        F.when(size(types) == 0, 0).when((on_page > 0) & (on_site > 0), 3).when(on_page > 0, 2).otherwise(1).alias("T8"),
-        F.when(size("h1") == 1, 3).when(size("h1") > 1, 2).otherwise(0).alias("C1"),
-        F.when(hit >= 2, F.when(in_nav < 0.3, 3).when(in_nav <= 0.6, 2).otherwise(1)).when(hit == 1, 1).otherwise(0).alias("C2"),
-        step(F.coalesce(fact, F.lit(0.0)), 0.3, 0.15, 0).alias("C3"),
-        F.when(hype == 0, 3).when(hype == 1, 2).when(hype <= 3, 1).otherwise(0).alias("C4"),
-        F.when(F.col("lang").isNull(), 0).when(F.col("lang").contains("_"), 1).when(segment.isNotNull() & (F.lower(F.substring("lang", 1, 2)) != F.substring(segment, 1, 2)), 2).otherwise(3).alias("I2"),
-        F.when((size("hreflang") == 0) & segment.isNull(), None).when(size("hreflang") == 0, 0).when(own & F.array_contains("hreflang", "x-default"), 3).when(own, 2).otherwise(1).alias("I3"),
-    ).join(titled, ["site", "title"], "left")
-    return scored.withColumn("I1", F.when(title == "", 0).when(twins >= 2, 0).when(twins == 1, 1).when(F.col("wide").between(15, 60), 3).otherwise(2)).select("page_id", *ITEMS)
+        "page_id", "site", "title", wide.alias("wide"), F.col("body").isNotNull().alias("seen"),
+        seen((size("words") >= 120).cast("int"), "G3"),
+        seen(F.when(size("canonical") != 1, 0).when(~href.rlike("^https?://"), 2).when(href.contains("#") | ~same, 1).otherwise(3), "T4"),
+        seen(F.when(n_ld == 0, 0).when(broken == 0, 3).when(broken == n_ld, 0).when(broken == 1, 2).otherwise(1), "T7"),
+        seen(F.when(size(types) == 0, 0).when((on_page > 0) & (on_site > 0), 3).when(on_page > 0, 2).otherwise(1), "T8"),
+        seen(F.when(size("h1") == 1, 3).when(size("h1") > 1, 2).otherwise(0), "C1"),
+        seen(F.when(hit >= 2, F.when(in_nav < 0.3, 3).when(in_nav <= 0.6, 2).otherwise(1)).when(hit == 1, 1).otherwise(0), "C2"),
+        seen(step(F.coalesce(fact, F.lit(0.0)), 0.3, 0.15, 0), "C3"),
+        seen(F.when(hype == 0, 3).when(hype == 1, 2).when(hype <= 3, 1).otherwise(0), "C4"),
+        seen(F.when(F.col("lang").rlike(RIGHT_TO_LEFT) & ~F.col("rtl"), F.least(spoken, F.lit(2))).otherwise(spoken), "I2"),
+        seen(F.when((size("hreflang") == 0) & segment.isNull(), None).when(size("hreflang") == 0, 0).when(own & named, 3).when(own, 2).otherwise(1), "I3"),
+    ).join(titled, ["site", "title"], "left")
+    titles = F.when(title == "", 0).when(twins >= 2, 0).when(twins == 1, 1).when(F.col("wide").between(15, 60), 3).otherwise(2)
+    return scored.withColumn("I1", F.when(F.col("seen"), titles)).select("page_id", *ITEMS)
 
 
 def all_items(pages: DataFrame, by_page: list[DataFrame], by_site: list[DataFrame], items: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jsonld as J
 from ..functions import text as T
 from ..sources.tables import reach
 
@@ -33,10 +34,14 @@ def sitemap_found(tried: DataFrame) -> DataFrame:
     return seen.select("site", F.when(F.col("usable") & F.col("declared"), 3).when(F.col("usable"), 2).when(F.col("unusable"), 1).when(F.col("dead"), 0).alias("T1"))
 
 
-def sitemap_score(hygiene: DataFrame) -> DataFrame:
-    """T2 from the counts of issues: the worst class of issue decides."""
+def sitemap_score(hygiene: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """T2 from the counts of issues, and those of (site, issue): the worst class of issue decides."""
     bad = (F.col("relative") + F.col("cross_host") + F.col("fragment") > 0) | F.col("mixed_scheme")
-    return hygiene.select("site", F.when(F.col("n") > MAX_ENTRIES, 0).when(bad, 1).when((F.col("lastmod_format") > 0) | F.col("lastmod_uniform"), 2).otherwise(3).alias("T2"))
+    over = F.col("n") > MAX_ENTRIES
+    if limits is not None:
+        large = limits.where(F.col("issue").isin("too_many", "size")).select("site", F.lit(True).alias("large")).distinct()
+        hygiene, over = hygiene.join(large, "site", "left"), over | F.coalesce("large", F.lit(False))
+    return hygiene.select("site", F.when(over, 0).when(bad, 1).when((F.col("lastmod_format") > 0) | F.col("lastmod_uniform"), 2).otherwise(3).alias("T2"))
 
 
 def canonical_landing(landings: DataFrame) -> DataFrame:
@@ -47,11 +52,11 @@ def canonical_landing(landings: DataFrame) -> DataFrame:
 
 def declared_values(pages: DataFrame) -> DataFrame:
     """page_id and T9: whether values that JSON-LD declares stand in the text."""
-    ld = F.array_join(T.extract_all(F.coalesce("html", F.lit("")), r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), "\n")
-    values = T.extract_all(ld, rf'"(?:{"|".join(WATCHED)})"\s*:\s*"?([^",}}\]\s]+)')
-    told = pages.select("page_id", T.clean_text(F.coalesce("html", F.lit(""))).alias("body"), values.alias("values"))
-    miss = F.size(F.filter("values", lambda v: ~F.contains(F.col("body"), v)))
-    return told.select("page_id", F.when(F.size("values") == 0, None).when(miss == 0, 3).when(miss == 1, 2).when(miss == 2, 1).otherwise(0).alias("T9"))
+    html = F.col("html")
+    told = pages.select("page_id", T.clean_text(html).alias("body"), J.page_facts(html)["pairs"].alias("pairs"))
+    watched = F.filter("pairs", lambda p: p["key"].isin(*WATCHED))
+    miss = F.size(F.filter(watched, lambda p: ~F.contains(F.col("body"), p["value"])))
+    return told.select("page_id", F.when(F.size(watched) <= 0, None).when(miss == 0, 3).when(miss == 1, 2).when(miss == 2, 1).when(miss > 2, 0).alias("T9"))
 
 
 def keyword_overlap(pairs: DataFrame, peers: DataFrame) -> DataFrame:

@@ -205,13 +205,12 @@ _ROBOTS = [
 
 
 def robots_decision(spark, sf_dir):
-    agents = spark.createDataFrame([(a,) for names in C.AGENTS.values() for a in names], "agent string")
-    return C.robots_decisions(spark.createDataFrame(_ROBOTS, "site string, body string"), agents)
+    return C.robots_decisions(spark.createDataFrame(_ROBOTS, "site string, body string"), C.agent_table(spark).select("agent")).drop("rule")
 
 
 def sitemap_hygiene(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("site"), F.when(F.col("page_id") % 11 == 0, "/rel").otherwise(F.col("url")).alias("loc"), F.when(F.col("page_id") % 3 == 0, "2026-01-02").when(F.col("page_id") % 3 == 1, "02.01.2026").alias("lastmod"))
-    return C.sitemap_hygiene(p)
+    return C.sitemap_hygiene(p).select("site", "n", "relative", "cross_host", "fragment", "mixed_scheme", "lastmod_format", "lastmod_uniform")
 
 
 _HOPS = [("http://a/", 301, "https://a/"), ("https://a/", 302, "https://a/home"), ("https://a/home", 200, None), ("https://loop/", 301, "https://loop/"), ("https://gone/", 404, None)]

@@ -11,8 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages dealt over all cores: a few files of text keep few cores busy with regular expressions."""
-    return table(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism)
+    """Pages as their files are split; dealt anew only where there are fewer splits than cores, as with a few small files."""
+    found = table(spark, sf_dir, "pages")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
 
 
 # Statuses of a site that is up and turned this request away.
