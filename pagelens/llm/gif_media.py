@@ -60,20 +60,22 @@ def lzw_coded(samples: bytes, bits: int = 8) -> bytes:
     clear = 1 << bits
     table: dict[int, int] = {}
     codes, sizes, begun = [clear], [1], 1
-    add, known, base = codes.append, table.get, clear + 2
+    add, free = codes.append, clear + 2
     rest = iter(samples)
     run = next(rest, None)
     for s in rest:
-        if longer := known(run << 8 | s):
-            run = longer
+        key = run << 8 | s
+        if key in table:
+            run = table[key]
             continue
         add(run)
-        table[run << 8 | s] = base + len(table)
+        table[key] = free
+        free += 1
         run = s
-        if len(table) == FULL - base:
+        if free == FULL:
             add(clear)
             sizes.append(len(codes) - begun)
-            begun = len(codes)
+            begun, free = len(codes), clear + 2
             table.clear()
     if run is not None:
         add(run)
@@ -169,7 +171,7 @@ def encode(samples: np.ndarray, delay_cs: int = DELAY_CS) -> bytes:
     canvas = np.full((min(rows, ROWS), UNIT), -1, np.int16)  # -1: nothing is shown
     for page, after in zip(pages, [*pages[1:], None], strict=True):
         free, stored = None, page
-        if 2 * _right(canvas, page) >= page.size and (unused := np.flatnonzero(np.bincount(page.ravel(), minlength=256) == 0)).size:
+        if len(pages) > 1 and 2 * _right(canvas, page) >= page.size and (unused := np.flatnonzero(np.bincount(page.ravel(), minlength=256) == 0)).size:
             free = int(unused[0])
             stored = np.where(canvas[: len(page)] == page, np.uint8(free), page)
         disposal = LEAVE
