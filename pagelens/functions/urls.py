@@ -68,7 +68,7 @@ def joined(base: Column, link: Column) -> Column:
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link == "", bare)
+        .when(link == "", base)
         .when(link.startswith("#"), F.concat(bare, link))
         .when(link.startswith("?"), F.concat(page, link))
         .otherwise(F.concat(origin, walked, tail))

@@ -116,8 +116,11 @@ def is_sitemap(body: Column) -> Column:
 
 
 def sitemap_candidates(sites: DataFrame, declared: DataFrame) -> DataFrame:
-    """(site, pos, url, declared) of (site, origin) and (site, pos, line): where a sitemap may be, each address once."""
-    own = declared.join(sites, "site").select("site", "pos", U.joined(F.concat("origin", F.lit("/")), F.col("line")).alias("url"), F.lit(True).alias("declared"))
+    """(site, pos, url, declared) of (site, origin) and (site, pos, line): where a sitemap may be, each address once.
+
+    Only lines with an absolute address count as declared.
+    """
+    own = declared.join(sites, "site").select("site", "pos", U.joined(F.concat("origin", F.lit("/")), F.col("line")).alias("url"), F.col("line").startswith("http").alias("declared"))
     usual = sites.select("site", "origin", F.posexplode(F.array(*map(F.lit, CANDIDATES))).alias("pos", "path"))
     usual = usual.select("site", (F.col("pos") + 1_000_000).alias("pos"), F.concat("origin", "path").alias("url"), F.lit(False).alias("declared"))
     return own.unionByName(usual).groupBy("site", "url").agg(F.min("pos").alias("pos"), F.bool_or("declared").alias("declared")).select("site", "pos", "url", "declared")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import ranked
+
 
 def systematic_sample(rows: DataFrame, site: str, position: str, k: int) -> DataFrame:
-    """Every step-th row of a site from its first, k at most, step being its rows over k; never random."""
-    order, whole = Window.partitionBy(site).orderBy(position), Window.partitionBy(site)
-    numbered = rows.withColumns({"_at": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(whole)})
-    step = F.greatest(F.lit(1), F.expr(f"_n div {k}"))
-    return numbered.where((F.col("_at") % step == 0) & (F.col("_at") / step < k)).drop("_at", "_n")
+    """Every step-th row of a site from its first, k at most, step being its rows over k; never random.
+
+    Rows are numbered in one order of all sites, so that a site with many of them is no single task.
+    """
+    numbered = ranked(rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(site).alias("site"), F.col(position).alias("position")), "site", "position", name="at")
+    sizes = numbered.groupBy("site").agg(F.min("at").alias("begin"), F.count(F.lit(1)).alias("n"))
+    step, nth = F.greatest(F.lit(1), F.expr(f"n div {k}")), F.col("at") - F.col("begin")
+    return numbered.join(sizes, "site").where((nth % step == 0) & (nth / step < k)).select("row.*")
 
 
 def term_coverage(terms: DataFrame, least: int = 2) -> DataFrame:
@@ -28,17 +33,24 @@ def topic_gaps(coverage: DataFrame, mine: str, noise: DataFrame, top: int | None
 
 
 def similar_pairs(terms: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(site, a, b, jaccard) of pages of a site whose term sets are similar, through an inverted index of the terms.
+    """(site, a, b, jaccard) of pages of a site whose term sets are similar, by the rarest of their terms.
 
-    A pair at the threshold shares a term, so only pages that meet on a term are counted, once a shared term.
+    Of two sets of n and m terms that are this similar, one of the first n - ceil(threshold * n) + 1 terms of the one
+    is among those of the other, in any order that both share; with rare terms first few pages meet on one.
     """
     terms = terms.select("site", "page_id", "term").distinct()
-    sized = terms.join(terms.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id")
-    a = sized.select("site", "term", F.col("page_id").alias("a"), F.col("n").alias("na"))
-    b = sized.select("site", "term", F.col("page_id").alias("b"), F.col("n").alias("nb"))
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    met = a.join(b, ["site", "term"]).where(close).groupBy("site", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("i"))
-    return met.withColumn("jaccard", F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).where(F.col("jaccard") >= threshold).select("site", "a", "b", "jaccard")
+    common = terms.groupBy("site", "term").agg(F.count(F.lit(1)).alias("pages"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pages", "term"))), lambda x: x["term"])
+    sets = terms.join(common, ["site", "term"]).groupBy("site", "page_id").agg(ordered.alias("terms"))
+    n = F.size("terms")
+    prefix = F.slice("terms", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    posted = sets.select("site", "page_id", n.alias("n"), F.explode(prefix).alias("term"))
+    a = posted.select("site", "term", F.col("page_id").alias("a"), F.col("n").alias("na"))
+    b = posted.select("site", "term", F.col("page_id").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, ["site", "term"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("site", "a", "b").distinct()
+    met = met.join(sets.select(F.col("page_id").alias("a"), F.col("terms").alias("x")), "a").join(sets.select(F.col("page_id").alias("b"), F.col("terms").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.withColumn("jaccard", both / (F.size("x") + F.size("y") - both)).where(F.col("jaccard") >= threshold).select("site", "a", "b", "jaccard")
 
 
 def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -25,11 +25,11 @@ def _length(n: Column, good: tuple[int, int], fair: tuple[int, int]) -> Column:
 
 def meta_items(pairs: DataFrame) -> DataFrame:
     """id and scores MG1, M1 to M6 and C4 of (id, title, description, keyword, page_type); NULL is unobserved."""
-    title, text = F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))
+    title, text = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("description", F.lit("")))
     n, m = T.wide_length(title), T.wide_length(text)
     a, b = T.terms(title), T.terms(text)
     alike = F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
-    wanted = T.terms(F.col("keyword"))
+    wanted = T.terms(F.coalesce("keyword", F.lit("")))
     found = F.filter(F.transform(wanted, lambda t: F.instr(F.lower(title), t)), lambda at: at > 0)
     place = T.wide_length(F.substring(title, F.lit(1), F.array_min(found) - 1)) / F.greatest(F.lit(1), n)
     both = F.concat_ws(" ", title, text)

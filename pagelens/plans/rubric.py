@@ -14,7 +14,8 @@ AUDIT_WEIGHTS = {
 }
 ACTION_ORDER = "G1 G2 G3 T1 T5 T4 T7 T3 T2 T6 T8 T9 C1 C2 K2 C3 C4 K1 I1 I2 I3 W6".split()
 PASS_AT = 2
-#: Our own: the weights of the two other lanes are not published.
+#: Our own: the weights of the two other lanes are not published, but for that of C4.
+WRITE_WEIGHTS = {"WG1": None, "D1": None, "D2": None, **dict.fromkeys(("C4", "W1", "W2", "W3", "W4", "W5", "W6", "W7", "W8", "W9"), 2)}
 META_WEIGHTS = {"MG1": None, **dict.fromkeys(("M1", "M2", "M3", "M4", "M5", "M6", "M7", "C4"), 2)}
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import site_queries
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
@@ -351,10 +352,11 @@ _QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_struc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in [*_QUERIES, *site_queries._QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
     from .oracles import ORACLES
+    from .site_oracles import SITE_ORACLES
 
-    return dict(ORACLES)
+    return ORACLES | SITE_ORACLES
