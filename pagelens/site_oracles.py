@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .operators.crawl import AGENTS
 from .operators.teardown import LANG_CODES, UNIT_WORDS
-from .oracles import _DATED, _HOST, _PAGE, _terms
+from .oracles import _DATED, _HOST, _LONG, _PAGE, ORACLES, _terms
+from .plans.rubric import ACTION_ORDER, AUDIT_WEIGHTS
 
 
 def _rows(columns: str, *rows: tuple) -> str:
@@ -112,3 +114,21 @@ SELECT id, got::BIGINT AS got, "full", failed_gates, below_floor, unobserved, CA
     ),
     "run_changes": _rows("item old new change", ("C1", 3, 2, "worse"), ("C2", 1, 3, "fixed"), ("C3", None, None, "still_unobserved"), ("C4", None, 0, "observability_changed")),
 }
+
+# --- queries of ``queries`` that need these rows ---------------------------------------------------------------------
+
+_RULED = {"a": ("wildcard", True), "b": ("wildcard", True), "c": ("none", True), "d": ("wildcard", False)}
+_NAMED = {("a", "Googlebot"): ("explicit", True), ("a", "GPTBot"): ("explicit", False), ("a", "CCBot"): ("explicit", False), ("d", "Bingbot"): ("explicit", True)}
+SITE_ORACLES["robots_decision"] = _rows("site agent grp_kind allowed", *((site, a, *_NAMED.get((site, a), told)) for site, told in _RULED.items() for names in AGENTS.values() for a in names))
+SITE_ORACLES["meta_items"] = _rows(
+    "id MG1 M1 M2 M3 M4 M5 M6 C4",
+    (1, 1, 3, 3, 3, 3, 3, 3, 3), (2, 0, 1, 1, 0, 2, 0, 0, 3), (3, 1, 3, 3, 1, 3, 2, 3, 0), (4, 1, 1, 3, 0, 3, 0, None, 3), (5, 0, 0, 0, None, None, 0, 0, 3), (6, 1, 3, 1, 1, 0, 0, 2, 3),
+)
+
+_UNSEEN = ("G1", "G2", "T1", "T2", "T3", "T5", "T6")
+_FULL = f"""WITH wide AS (SELECT i.*, "T9", "K2", "K1", {", ".join(f'NULL::INT AS "{i}"' for i in _UNSEEN)} FROM ({ORACLES["audit_items"]}) i LEFT JOIN ({ORACLES["declared_values"]}) USING (page_id) LEFT JOIN ({ORACLES["shared_term"]}) USING (page_id) LEFT JOIN (SELECT page_id, {_HOST} AS site FROM pages) USING (page_id) LEFT JOIN ({ORACLES["keyword_overlap"]}) USING (site)),
+rubric AS (SELECT * FROM (VALUES {", ".join(f"('{i}', {w or 'NULL'}, {2 if w else 1}, {ACTION_ORDER.index(i)})" for i, w in AUDIT_WEIGHTS.items())}) v(item, weight, pass_at, action_rank)),
+long AS (SELECT page_id, item, score FROM wide UNPIVOT INCLUDE NULLS (score FOR item IN ({", ".join(f'"{i}"' for i in AUDIT_WEIGHTS)}))), s AS (SELECT * FROM long JOIN rubric USING (item))"""
+# The three queries on all items follow the three on page items, with these rows in place of theirs.
+for _name in ("lane_scorecard", "next_action", "run_compare"):
+    SITE_ORACLES[_name.replace("lane_", "full_") if "lane" in _name else f"full_{_name}"] = _FULL + ORACLES[_name].removeprefix(_LONG)
