@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders of this process's settled tables, for ``drop_settled``.
+_SETTLED: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; one of our own only in local mode, as in tests."""
     context = spark.sparkContext
@@ -24,6 +28,7 @@ def settled(df: DataFrame) -> DataFrame:
     """df, computed once and read from the shared folder from here on, so that a lost executor costs no lineage."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    _SETTLED.append(path)
     # Once written, the shuffles behind df are of no more use; their files go at once.
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, None)
@@ -35,6 +40,14 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_settled(spark: SparkSession) -> None:
+    """Deletes the tables that were settled so far, once all results that are read from them are written."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    while _SETTLED:
+        path = hadoop.Path(_SETTLED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ranked(df: DataFrame, *keys, name: str = "rank") -> DataFrame:
     """df with its position (from 0) in the order of keys, which should tell different rows apart.
 

@@ -10,6 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drafts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, draft): each Markdown file of a folder as one row, named by its file."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("id"), F.col("value").alias("draft"))
+
+
+def results(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Results of an earlier run, by their columns; what a row lacks is NULL."""
+    return spark.read.schema(columns).json(path)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as their files are split; dealt anew only where there are fewer splits than cores, as with a few small files."""
     found = table(spark, sf_dir, "pages")
