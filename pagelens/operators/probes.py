@@ -24,6 +24,15 @@ def sample_liveness(sample: DataFrame) -> DataFrame:
     return counts.withColumn("T3", score)
 
 
+def entry_points(sites: DataFrame, crawl: DataFrame) -> DataFrame:
+    """(site, variant, final) of (site) and (url, final, status): with and without www, by both schemes; NULL where none answered."""
+    bare = U.bare_host(F.col("site"))
+    variants = F.array(*(F.concat(F.lit(f"{scheme}://{prefix}"), bare) for scheme in ("http", "https") for prefix in ("", "www.")))
+    tried = sites.select("site", F.explode(variants).alias("variant"))
+    answers = crawl.select(F.col("url").alias("variant"), F.when(reach(F.col("status")) == "ok", F.col("final")).alias("final"))
+    return tried.join(answers, "variant", "left").select("site", "variant", "final")
+
+
 def variant_landings(variants: DataFrame) -> DataFrame:
     """T6 of each site from (site, variant, final): on how many addresses its entry points land."""
     counts = variants.groupBy("site").agg(F.count("final").alias("seen"), F.count_if(F.col("final").isNull()).alias("missing"), F.count_distinct(U.norm_url(F.col("final"))).alias("places"))

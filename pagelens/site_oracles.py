@@ -126,9 +126,20 @@ SITE_ORACLES["meta_items"] = _rows(
 )
 
 _UNSEEN = ("G1", "G2", "T1", "T2", "T3", "T5", "T6")
-_FULL = f"""WITH wide AS (SELECT i.*, "T9", "K2", "K1", {", ".join(f'NULL::INT AS "{i}"' for i in _UNSEEN)} FROM ({ORACLES["audit_items"]}) i LEFT JOIN ({ORACLES["declared_values"]}) USING (page_id) LEFT JOIN ({ORACLES["shared_term"]}) USING (page_id) LEFT JOIN (SELECT page_id, {_HOST} AS site FROM pages) USING (page_id) LEFT JOIN ({ORACLES["keyword_overlap"]}) USING (site)),
-rubric AS (SELECT * FROM (VALUES {", ".join(f"('{i}', {w or 'NULL'}, {2 if w else 1}, {ACTION_ORDER.index(i)})" for i, w in AUDIT_WEIGHTS.items())}) v(item, weight, pass_at, action_rank)),
+_ALL = f"""rubric AS (SELECT * FROM (VALUES {", ".join(f"('{i}', {w or 'NULL'}, {2 if w else 1}, {ACTION_ORDER.index(i)})" for i, w in AUDIT_WEIGHTS.items())}) v(item, weight, pass_at, action_rank)),
 long AS (SELECT page_id, item, score FROM wide UNPIVOT INCLUDE NULLS (score FOR item IN ({", ".join(f'"{i}"' for i in AUDIT_WEIGHTS)}))), s AS (SELECT * FROM long JOIN rubric USING (item))"""
+_FULL = f"""WITH wide AS (SELECT i.*, "T9", "K2", "K1", {", ".join(f'NULL::INT AS "{i}"' for i in _UNSEEN)} FROM ({ORACLES["audit_items"]}) i LEFT JOIN ({ORACLES["declared_values"]}) USING (page_id) LEFT JOIN ({ORACLES["shared_term"]}) USING (page_id) LEFT JOIN (SELECT page_id, {_HOST} AS site FROM pages) USING (page_id) LEFT JOIN ({ORACLES["keyword_overlap"]}) USING (site)),
+{_ALL}"""
 # The three queries on all items follow the three on page items, with these rows in place of theirs.
 for _name in ("lane_scorecard", "next_action", "run_compare"):
     SITE_ORACLES[_name.replace("lane_", "full_") if "lane" in _name else f"full_{_name}"] = _FULL + ORACLES[_name].removeprefix(_LONG)
+
+SITE_ORACLES["entry_points"] = _rows(
+    "site variant final",
+    ("x.com", "http://x.com", "https://x.com/"), ("x.com", "https://x.com", "https://x.com:443"), ("x.com", "http://www.x.com", None), ("x.com", "https://www.x.com", None),
+    ("www.y.org", "http://y.org", "http://y.org/"), ("www.y.org", "https://y.org", None), ("www.y.org", "http://www.y.org", None), ("www.y.org", "https://www.y.org", "https://www.y.org/"),
+)
+# The site has no declared sitemap (2), both schemes in it (1), one dead address (1), and two of its entry points answer, as one (2).
+_EVIDENCE = f"""WITH wide AS (SELECT i.*, "T9", NULL::INT AS "K1", NULL::INT AS "K2", CASE WHEN page_id = 8 THEN 0 WHEN page_id <> 10 THEN 1 END AS "G1", 1 AS "G2", 2 AS "T1", 1 AS "T2", 1 AS "T3", CASE page_id WHEN 1 THEN 3 WHEN 3 THEN 0 WHEN 4 THEN 3 END AS "T5", 2 AS "T6" FROM ({SITE_ORACLES["inline_audit_items"]}) i LEFT JOIN ({SITE_ORACLES["jsonld_consistency"]}) USING (page_id)),
+{_ALL}"""
+SITE_ORACLES["evidence_scorecard"] = _EVIDENCE + ORACLES["lane_scorecard"].removeprefix(_LONG)

@@ -10,6 +10,7 @@ from .functions import jsonld as J
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
+from .operators import probes as P
 from .operators import relational as R
 from .operators import teardown as D
 from .plans import draft_lane, fixes, meta_lane, page_audit, rubric, site_items
@@ -221,10 +222,8 @@ _META = [(1, "<html><meta name='robots' content=' NoIndex, follow'>", None), (2,
 
 
 def noindex_of_answers(spark, sf_dir):
-    from .operators.probes import noindex_signals
-
     rows = spark.createDataFrame(_META, "id int, html string, header string")
-    return noindex_signals(rows.select("id", T.meta_robots(F.col("html")).alias("meta_robots"), "header"))
+    return P.noindex_signals(rows.select("id", T.meta_robots(F.col("html")).alias("meta_robots"), "header"))
 
 
 _RAW = [
@@ -241,6 +240,47 @@ def decoded_answers(spark, sf_dir):
     return rows.select("id", decoded(F.col("raw"), F.col("encoding"), F.col("content_type")).alias("text"))
 
 
+_ANSWERS = [("http://x.com", "https://x.com/", 200), ("https://x.com", "https://x.com:443", 200), ("http://www.x.com", None, None), ("https://www.x.com", "https://blocked/", 403), ("http://y.org", "http://y.org/", 200), ("https://www.y.org", "https://www.y.org/", 200)]
+
+
+def _entry_points(spark):
+    return P.entry_points(spark.createDataFrame([("x.com",), ("www.y.org",)], "site string"), spark.createDataFrame(_ANSWERS, "url string, final string, status int"))
+
+
+def entry_points(spark, sf_dir):
+    return _entry_points(spark)
+
+
+#: For the site of PAGES: robots.txt, the crawl of its sitemap, its sample and what its canonical addresses answer.
+_SITE = "x.com"
+_HOPS = [("https://x.com/a", 200, None), ("https://x.com/c", 404, None), ("http://x.com/d", 301, "https://x.com/d"), ("https://x.com/d", 200, None)]
+_MAP = [("https://x.com/sitemap.xml", 200, _SET.format("<url><loc>https://x.com/a</loc></url><url><loc>http://x.com/b</loc></url>"))]
+_SAMPLE = [(_SITE, 200, False), (_SITE, 404, False), (_SITE, 403, False)]
+
+
+def _evidence(spark):
+    """Every item of each page of PAGES, from all its evidence; K1 and K2 have none."""
+    pages_ = _inline_pages(spark)
+    seen = page_audit.facts(pages_).select("page_id", U.joined(F.col("url"), F.get("canonical", F.lit(0))).alias("start")).where("start is not null")
+    hops = spark.createDataFrame(_HOPS, "url string, status int, location string")
+    t5 = seen.join(site_items.canonical_landing(C.follow_redirects(seen.select("start").distinct(), hops)), "start").select("page_id", "T5")
+    g1 = site_items.reach_gate(pages_.select(F.col("page_id").alias("id"), "status")).withColumnRenamed("id", "page_id")
+    robots = spark.createDataFrame([(_SITE, 200, "User-agent: GPTBot\nDisallow: /\n")], "site string, status int, body string")
+    g2 = site_items.index_gate(C.robots_classes(robots), spark.createDataFrame([], "site string, place string"))
+    crawl = spark.createDataFrame(_MAP, "url string, status int, body string")
+    tried = C.tried_sitemaps(C.sitemap_candidates(spark.createDataFrame([(_SITE, "https://x.com")], "site string, origin string"), spark.createDataFrame([], "site string, pos int, line string")), crawl)
+    files = C.sitemap_files(C.chosen_sitemaps(tried), crawl)
+    t2 = site_items.sitemap_score(C.sitemap_hygiene(C.sitemap_entries(files)), C.sitemap_limits(files))
+    t3 = P.sample_liveness(spark.createDataFrame(_SAMPLE, "site string, status int, redirected boolean")).select("site", "T3")
+    t6 = P.variant_landings(_entry_points(spark)).select("site", "T6")
+    return page_audit.all_items(pages_, [site_items.declared_values(pages_.where("status = 200")), g1, t5], [g2, site_items.sitemap_found(tried), t2, t3, t6], list(rubric.AUDIT_WEIGHTS))
+
+
+def evidence_scorecard(spark, sf_dir):
+    card = rubric.scorecard(rubric.long_scores(_evidence(spark), "page_id", list(rubric.AUDIT_WEIGHTS)), rubric.rubric(spark))
+    return card.select(F.col("entity").alias("page_id"), "got", "full", "failed_gates", "below_floor", "unobserved", F.round("ratio", 9).alias("ratio"), "verdict")
+
+
 # --- other sites -----------------------------------------------------------------------------------------------------
 
 MINE = "ththth.example.net"
@@ -402,6 +442,6 @@ def run_changes(spark, sf_dir):
 _QUERIES = [
     robots_observation, robots_groups, robots_rule_lines, blocked_classes, robots_sitemap_lines, robots_noindex_lines, blocked_by_server, index_gate_of_robots,
     sitemap_discovery, sitemap_found_in_crawl, sitemap_parse, sitemap_limits, lastmod_dates, joined_links, origins, inline_audit_items, jsonld_types, jsonld_values,
-    jsonld_consistency, page_images, external_domains, winner_pages, noindex_of_answers, decoded_answers, site_topics, bench_gaps, inline_topics, topic_pages, inline_bench,
+    jsonld_consistency, page_images, external_domains, winner_pages, noindex_of_answers, decoded_answers, entry_points, evidence_scorecard, site_topics, bench_gaps, inline_topics, topic_pages, inline_bench,
     fix_lookup, next_fix, fix_first, check_commands, meta_branches, meta_scorecard, draft_block_extract, draft_branches, draft_scorecard, rubric_lines, html_reports, run_changes,
 ]
