@@ -12,9 +12,9 @@ A document's set has its distinct shingles of ``width`` words (5), A-Z lower-cas
 3. Groups: each token names as pivot the node in which it comes earliest, that is the one with the fewest tokens of
    its own; nodes that truly link with a pivot form groups.  A group of m copies takes m pairs.
 4. The matrix holds a row for each token and group: the union of the members' tokens with bounds of their sizes and of
-   the tokens that can follow.  A node outside of the group is held against these bounds, and only groups that could
-   reach the overlap are opened, where pairs meet size and position bounds before their whole sets are compared.
-   Pairs inside of a group are known to be connected and are never made.
+   the tokens that can follow.  A node outside of the group meets it only within the sizes that could link, is held
+   against these bounds, and only groups that could reach the overlap are opened, where pairs meet size and position
+   bounds before their whole sets are compared.  Pairs inside of a group are known to be connected and are never made.
 
 Cases: a null or empty text has no set and links with nothing; rows of one doc_id count as one document if their
 texts are equal and otherwise as rows with that id; a null doc_id stays in the result with a null component unless it
@@ -23,6 +23,7 @@ links; an empty table gives an empty table; other columns are ignored.  Hashes o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import settled
 from . import tokens
 from .components import connected_components
-from .session import settled
 
 WIDTH, PERCENT = 5, 80
 #: Cells of the sketch that orders tokens: 8 MB of counts, whatever the corpus.
@@ -171,7 +172,11 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     held = settled(held.join(mixed, "token", "left_semi"))
     matrix = held.groupBy("token", "g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
     asked = held.join(matrix.select("token", "g", F.col("members").alias("own")), ["token", "g"])
-    groups_met = asked.join(matrix.withColumnRenamed("g", "h"), "token").where("g <> h and (own < members or own = members and g < h)")
+    # Sizes fall into classes of the ratio that linked sets may differ by; a node meets the groups of its class alone, so
+    # that a token of many groups is dealt out by their sizes and meets no group that is too small or too large.
+    level = lambda x: F.log(F.col(x)) / math.log(100 / min(percent, 99))
+    classed = matrix.withColumnRenamed("g", "h").select("*", F.explode(F.sequence(F.floor(level("fewest") - 1 - 1e-9).cast("int"), F.floor(level("most") + 1 + 1e-9).cast("int"))).alias("class"))
+    groups_met = asked.withColumn("class", F.floor(level("n")).cast("int")).join(classed, ["token", "class"]).where("g <> h and (own < members or own = members and g < h)")
     # The smallest partner that could link bounds the overlap that is needed; the largest rest bounds the overlap there is.
     groups_met = groups_met.where(f"100L * most >= {percent} * n and 100L * n >= {percent} * fewest and {100 + percent}L * least(n - at, rest) >= {percent}L * (n + greatest(fewest, ceil({percent} * n / 100)))")
     opened = groups_met.select("token", "node", "n", "at", "h").join(held.select("token", F.col("g").alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("to")), ["token", "h"]).where(_close("n", "at", "m", "to", percent))
