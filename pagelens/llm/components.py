@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import settled
-
-ROUNDS = 64
+from ..operators.ordering import settled
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = settled(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component"))
     labels = settled(labels)
-    for _ in range(ROUNDS):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("low"))
         spread = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
         spread = settled(spread)
@@ -29,4 +27,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
         if new.where("old <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components have not settled in {ROUNDS} rounds")

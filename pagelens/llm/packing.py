@@ -30,9 +30,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ranked, settled
 from . import tokens
-from .ranks import ranked
-from .session import settled
 from .token_counts import loaded
 
 #: The program ends when no plan could use fewer sequences than this share less.

@@ -20,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ranked, settled
 from .columns import bounded
-from .ranks import ranked
-from .session import settled
 
 BITS, SHARDS, TEXTS = 4, 40, ("lang", "source")
 #: Texts that stand in several places up to which their table is broadcast; beyond them it is joined by a shuffle.
