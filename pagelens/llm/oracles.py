@@ -5,12 +5,13 @@ from __future__ import annotations
 import string
 
 from .license_scan import TEMPLATES
+from .secret_scan import RULES
 
 _LOW = f"translate({{}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _SPACED = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
 _PLAIN = r"coalesce(regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 _PLAIN_TEXT = _PLAIN.format(_LOW.format("text"))
-_NOTICES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
+_NOTICES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
 
 ORACLES = {
     "op1_substring_dedup": f"""WITH d AS MATERIALIZED (SELECT doc_id, {_SPACED.format("text")} AS w FROM documents),
@@ -45,3 +46,14 @@ reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JO
 low AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = d.doc_id""",
 }
+
+
+def _matches(order: int, kind: str, regex: str, group: int, least: int) -> str:
+    """Spans of a rule: lengths of what stands between matches and of the matches add up to their places."""
+    regex = regex.replace("'", "''")
+    return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, begin, begin + len(w[i]) AS stop FROM (SELECT *, list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: len(x))), 0) AS begin FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{regex}') AS w, regexp_extract_all(t, '{regex}', {group}) AS h, string_split_regex(t, '{regex}') AS p FROM d))) WHERE len(h[i]) >= {least}"""
+
+
+_SPAN = "kind || ':' || begin::BIGINT || ':' || stop::BIGINT"
+ORACLES["op7_secret_scans"] = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(_matches(k, r.kind, r.regex, r.group, r.least) for k, r in enumerate(RULES))})
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)}, sha256(coalesce(string_agg({_SPAN}, ',' ORDER BY begin, o) FILTER (WHERE o < {sum(r.base for r in RULES)}), '')) AS base_sha256, coalesce(string_agg({_SPAN}, ',' ORDER BY begin, o) FILTER (WHERE kind IS NOT NULL), '') AS spans FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""

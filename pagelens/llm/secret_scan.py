@@ -21,8 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import settled
 from .columns import bounded, keyed
-from .session import settled
 
 OPTIONS = 64
 #: Rows of ids up to which they are broadcast; beyond them texts are joined with them by a shuffle.
@@ -144,7 +144,7 @@ def _any_of(trigrams: list[str]) -> str:
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """(trigram, _id, _k): the index of these trigrams, from one pass over the lower-cased texts; in a table."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(trigrams)), F.lit(1)))
-    return settled(docs.where("text is not null").select(F.explode_outer(found).alias("trigram"), "_id", "_k").where("trigram is not null").repartition("_id", "_k").sortWithinPartitions("trigram"))
+    return settled(docs.where("text is not null").select(F.explode_outer(found).alias("trigram"), "_id", "_k").where("trigram is not null").distinct())
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pagelens.llm import license_scan, quality
 from pagelens.llm.decontaminate import overlap_report
 from pagelens.llm.ngram_join import keep_one_of_each_group
 from pagelens.llm.registry import queries
@@ -211,3 +212,69 @@ def test_pipeline(spark):
     for r in packed:
         whole[r.doc_id] += r.length
     assert all(whole[r.doc_id] == r.doc_tokens for r in packed)
+
+
+def _licenses(text, templates, width=5):
+    """Templates of which a window of the text holds four fifths, by looking at every window."""
+    low = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w: [tuple(w[i : i + width]) for i in range(len(w) - width + 1)]
+    found, own = set(), grams(low(text))
+    for name, template in templates:
+        wanted = set(grams(low(template)))
+        side = 1 << (len(wanted) - 1).bit_length()
+        for i in range(0, len(own), side):
+            if 100 * len(wanted & set(own[i : i + (1 if side == 1 else 2 * side)])) >= 80 * len(wanted):
+                found.add(name)
+    return ",".join(sorted(found))
+
+
+def test_licenses_against_plain_python(spark):
+    rng = np.random.default_rng(12)
+    long = [(f"long{k}", " ".join(f"t{k}w{rng.integers(0, 400)}" for _ in range(n))) for k, n in enumerate((5, 6, 22, 60, 300, 700))]
+    templates = [*license_scan.TEMPLATES, *long, ("twin", long[2][1]), (long[3][0], "another text of the same name")]
+    texts = [None, "", "four words are few"]
+    for _, template in templates:
+        words = template.split()
+        for share in (0, 0.01, 0.04, 0.3):
+            near = [w if rng.random() >= share else "changed" for w in words]
+            texts.append(" ".join([*(f"f{rng.integers(0, 50)}" for _ in range(int(rng.integers(0, 90)))), *near, *("tail",) * int(rng.integers(0, 20))]))
+    texts.append(" ".join(t for _, t in templates))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.license_report(docs.unionAll(docs.limit(9)), spark.createDataFrame(templates, "license string, text string")).collect()
+    want = {k: _licenses(t, templates) for k, t in enumerate(texts)}
+    assert {(r.doc_id, r.licenses, r.n_licenses) for r in got} == {(k, v, len(v.split(",")) if v else 0) for k, v in want.items()} and len(got) == len(texts) + 9
+
+
+def test_many_templates(spark):
+    templates = [(f"n{k}", " ".join(f"a{(k * 31 + j * 7) % 997}b{k % 13}" for j in range(40))) for k in range(1500)]
+    docs = spark.createDataFrame([(k, f"x y {templates[k * 90][1]} z") for k in range(16)], "doc_id long, text string")
+    found = license_scan.license_report(docs, spark.createDataFrame(templates, "license string, text string")).collect()
+    assert all(f"n{r.doc_id * 90}" in r.licenses.split(",") for r in found)
+    with pytest.raises(ValueError):
+        license_scan.license_report(docs, spark.createDataFrame([(f"n{k}", f"{k} b c d e f") for k in range(2001)], "license string, text string"))
+
+
+def _slow_score(net, text):
+    """The network's layers one after the other, number by number."""
+    count = max(1, -(-len(text) // quality.STRIDE))
+    padded = text + bytes(quality.STRIDE * count + quality.WINDOW - len(text))
+    blocks = []
+    for k in range(0, count, quality.BLOCK):
+        best = [-np.inf] * quality.FILTERS
+        for w in range(k, min(count, k + quality.BLOCK)):
+            seen = np.concatenate([net.embed[b] for b in padded[w * quality.STRIDE : w * quality.STRIDE + quality.WINDOW]]).astype(float)
+            for f in range(quality.FILTERS):
+                best[f] = max(best[f], float(seen @ net.filters[:, f].astype(float)))
+        blocks.append([max(0.0, b + float(net.bias[f])) for f, b in enumerate(best)])
+    features = [max(b[f] for b in blocks) for f in range(quality.FILTERS)] + [sum(b[f] for b in blocks) / len(blocks) for f in range(quality.FILTERS)]
+    return 1 / (1 + np.exp(-(sum(x * float(w) for x, w in zip(features, net.weights, strict=True)) + net.base)))
+
+
+def test_scores_layer_by_layer(spark):
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    net = quality.train(docs, labels)
+    texts = [b"", b"a", b"abcd" * 3, "é and more".encode(), b"x" * (quality.STRIDE * quality.BLOCK), b"last block " * 500, bytes(range(256)) * 9]
+    body, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert np.allclose(quality.score(net, body, at), [_slow_score(net, t) for t in texts], atol=1e-5)
+    for r in queries()["op2_quality_classifier"](spark, DIR).join(docs, "doc_id").limit(40).collect():
+        assert abs(r.score - _slow_score(net, (r.text or "").encode())) < 1e-5 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
