@@ -19,7 +19,7 @@ from pagelens.llm.packing import pack
 from pagelens.llm.quality import THRESHOLD, score_documents
 from pagelens.llm.registry import tokenizer
 from pagelens.llm.secret_scan import redact
-from pagelens.llm.session import settled
+from pagelens.operators.ordering import settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
