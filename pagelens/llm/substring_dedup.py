@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import settled
 from . import tokens
-from .session import settled
 
 WIDTH = 50
 #: A perfect difference set: every residue modulo 31 but 0 is the difference of exactly one pair.
@@ -145,7 +145,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     # A doc_id that has another text besides still needs its windows.
     more = keyed.join(copies, ["doc_id", "k"], "left_anti").join(copies.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
     marks = settled(marks.join(copies.select("doc_id").join(settled(more), "doc_id", "left_anti").distinct(), "doc_id", "left_anti"))
-    windows = named.join(marks, "doc_id").mapInArrow(_window_rows(width), "h long, g int, doc_id long")
+    # Both steps on windows read them from a table: 20 bytes each, less than to deal out and hash the texts anew.
+    windows = settled(named.join(marks, "doc_id").mapInArrow(_window_rows(width), "h long, g int, doc_id long"))
     lows = settled(windows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low"))
     gone = settled(windows.join(lows, ["h", "g"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h").alias("gone")))
     info = gone.select("doc_id", "gone", F.lit(None).cast("string").alias("k")).unionByName(copies.select("doc_id", F.lit(None).cast("array<long>").alias("gone"), "k"))
