@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import ranked
+from .ordering import ranked, settled
 
 
 def systematic_sample(rows: DataFrame, site: str, position: str, k: int) -> DataFrame:
@@ -38,10 +38,11 @@ def similar_pairs(terms: DataFrame, threshold: float = 0.6) -> DataFrame:
     Of two sets of n and m terms that are this similar, one of the first n - ceil(threshold * n) + 1 terms of the one
     is among those of the other, in any order that both share; with rare terms first few pages meet on one.
     """
-    terms = terms.select("site", "page_id", "term").distinct()
+    # Terms come from pages' HTML, which is to be read once.
+    terms = settled(terms.select("site", "page_id", "term").distinct())
     common = terms.groupBy("site", "term").agg(F.count(F.lit(1)).alias("pages"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pages", "term"))), lambda x: x["term"])
-    sets = terms.join(common, ["site", "term"]).groupBy("site", "page_id").agg(ordered.alias("terms"))
+    sets = settled(terms.join(common, ["site", "term"]).groupBy("site", "page_id").agg(ordered.alias("terms")))
     n = F.size("terms")
     prefix = F.slice("terms", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
     posted = sets.select("site", "page_id", n.alias("n"), F.explode(prefix).alias("term"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordering import settled
 from .relational import term_coverage
 
 # Codes of languages and countries, and words of measure and of anything, that are no topics.
@@ -90,6 +91,7 @@ def topics(traits: DataFrame, mine: str, top: int | None = TOP) -> DataFrame:
 
     The pages counted are those of the first rival that covers the topic; the page is the best of all rivals.
     """
+    traits = settled(traits)  # pages are parsed once, for all that follows
     brands = brand_words(traits.select("site").distinct())
     own = page_terms(traits.where(F.col("site") == mine)).select("term").distinct()
     rivals = traits.where(F.col("site") != mine)
