@@ -9,6 +9,7 @@ from ..functions import jsonld as J
 from ..functions import text as T
 from ..functions import urls as U
 from ..sources.tables import reach
+from .site_items import declared_score, shared_score
 
 # JSON-LD types that describe a page and not its site.
 PAGE_TYPES = "SoftwareApplication WebApplication Product Article FAQPage HowTo BlogPosting NewsArticle Course Recipe Quiz Dataset ItemList".split()
@@ -42,8 +43,9 @@ def facts(pages: DataFrame) -> DataFrame:
     return base.withColumn("words", T.words(F.col("body")))
 
 
-def audit_items(page: DataFrame) -> DataFrame:
-    """page_id and a score for each of ITEMS; NULL is unobserved, and so are all items of a page that is."""
+def audit_items(page: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """page_id and a score for each of ITEMS and of ``more``; NULL is unobserved, and so are all items of a page that is."""
+    more = more or {}
     size, title = F.size, F.coalesce("title", F.lit(""))
     first = F.slice("words", 1, 50)
     in_nav = F.size(F.filter(first, lambda w: F.array_contains(F.col("nav"), F.lower(w)))) / F.greatest(F.lit(1), F.size(first))
@@ -75,14 +77,20 @@ def audit_items(page: DataFrame) -> DataFrame:
         seen(F.when(hype == 0, 3).when(hype == 1, 2).when(hype <= 3, 1).otherwise(0), "C4"),
         seen(F.when(F.col("lang").rlike(RIGHT_TO_LEFT) & ~F.col("rtl"), F.least(spoken, F.lit(2))).otherwise(spoken), "I2"),
         seen(F.when((size("hreflang") == 0) & segment.isNull(), None).when(size("hreflang") == 0, 0).when(own & named, 3).when(own, 2).otherwise(1), "I3"),
+        *(seen(score, item) for item, score in more.items()),
     ).join(titled, ["site", "title"], "left")
     titles = F.when(title == "", 0).when(twins >= 2, 0).when(twins == 1, 1).when(F.col("wide").between(15, 60), 3).otherwise(2)
-    return scored.withColumn("I1", F.when(F.col("seen"), titles)).select("page_id", *ITEMS)
+    return scored.withColumn("I1", F.when(F.col("seen"), titles)).select("page_id", *ITEMS, *more)
 
 
 def all_items(pages: DataFrame, by_page: list[DataFrame], by_site: list[DataFrame], items: list[str]) -> DataFrame:
-    """page_id and each of ``items``: those of audit_items, of tables by page_id and of tables by site; NULL is unobserved, as are items without a table."""
-    wide = audit_items(facts(pages)).join(pages.select("page_id", U.bare_host(F.col("url")).alias("site")), "page_id")
+    """page_id and each of ``items``: those of audit_items with K2 and T9, from one reading of the pages, and those of tables by page_id and by site.
+
+    NULL is unobserved, as are items without a table.
+    """
+    places = (F.col("title"), F.array_join("h1", " "), F.regexp_replace(U.path(F.col("url")), "[-_/]+", " "), F.get(T.sentences(F.col("body")), F.lit(0)))
+    more = {"K2": shared_score(*places), "T9": declared_score(F.col("body"), F.col("ld.pairs"))}
+    wide = audit_items(facts(pages), more).join(pages.select("page_id", U.bare_host(F.col("url")).alias("site")), "page_id")
     for found in by_page:
         wide = wide.join(found, "page_id", "left")
     for found in by_site:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonld as J
@@ -50,13 +50,18 @@ def canonical_landing(landings: DataFrame) -> DataFrame:
     return landings.select("start", F.when(status.isNull(), None).when(status == 200, 3).when((status == 404) | (status >= 500), 0).when(F.col("hops") <= 1, 2).otherwise(1).alias("T5"))
 
 
+def declared_score(body: Column, pairs: Column) -> Column:
+    """T9 of a text and the values that its JSON-LD declares."""
+    watched = F.filter(pairs, lambda p: p["key"].isin(*WATCHED))
+    miss = F.size(F.filter(watched, lambda p: ~F.contains(body, p["value"])))
+    return F.when(F.size(watched) <= 0, None).when(miss == 0, 3).when(miss == 1, 2).when(miss == 2, 1).when(miss > 2, 0)
+
+
 def declared_values(pages: DataFrame) -> DataFrame:
     """page_id and T9: whether values that JSON-LD declares stand in the text."""
     html = F.col("html")
     told = pages.select("page_id", T.clean_text(html).alias("body"), J.page_facts(html)["pairs"].alias("pairs"))
-    watched = F.filter("pairs", lambda p: p["key"].isin(*WATCHED))
-    miss = F.size(F.filter(watched, lambda p: ~F.contains(F.col("body"), p["value"])))
-    return told.select("page_id", F.when(F.size(watched) <= 0, None).when(miss == 0, 3).when(miss == 1, 2).when(miss == 2, 1).when(miss > 2, 0).alias("T9"))
+    return told.select("page_id", declared_score(F.col("body"), F.col("pairs")).alias("T9"))
 
 
 def keyword_overlap(pairs: DataFrame, peers: DataFrame) -> DataFrame:
@@ -67,12 +72,16 @@ def keyword_overlap(pairs: DataFrame, peers: DataFrame) -> DataFrame:
     return seen.select("site", F.when(F.col("peers") < 3, None).when(n == 0, 3).when(n == 1, 2).when(n <= 3, 1).otherwise(0).alias("K1"))
 
 
+def shared_score(*places: Column) -> Column:
+    """K2 of the four places where a keyword may stand: in how many of them one term does."""
+    terms = F.array(*(T.terms(F.coalesce(c, F.lit(""))) for c in places))
+    most = F.array_max(F.transform(F.array_distinct(F.flatten(terms)), lambda t: F.size(F.filter(terms, lambda p: F.array_contains(p, t)))))
+    return F.when(most >= 4, 3).when(most == 3, 2).when(most == 2, 1).otherwise(0)
+
+
 def shared_term(page: DataFrame) -> DataFrame:
-    """page_id and K2 of (page_id, title, h1, path, first): in how many of the four places one term stands."""
-    places = F.array(*(T.terms(F.coalesce(c, F.lit(""))) for c in ("title", "h1", "path", "first")))
-    both = page.select("page_id", places.alias("places"))
-    most = F.array_max(F.transform(F.array_distinct(F.flatten("places")), lambda t: F.size(F.filter("places", lambda p: F.array_contains(p, t)))))
-    return both.select("page_id", F.when(most >= 4, 3).when(most == 3, 2).when(most == 2, 1).otherwise(0).alias("K2"))
+    """page_id and K2 of (page_id, title, h1, path, first)."""
+    return page.select("page_id", shared_score(*(F.col(c) for c in ("title", "h1", "path", "first"))).alias("K2"))
 
 
 def repeated_heads(page: DataFrame) -> DataFrame:

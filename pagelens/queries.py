@@ -134,7 +134,7 @@ def audit_items(spark, sf_dir):
 def _all_scores(spark, sf_dir):
     """Every item of the rubric; those on probes, robots rules, sitemaps and redirects have no table here and are unobserved."""
     items = list(rubric.AUDIT_WEIGHTS)
-    wide = page_audit.all_items(pages(spark, sf_dir), [shared_term(spark, sf_dir), site_items.declared_values(table(spark, sf_dir, "pages"))], [keyword_overlap(spark, sf_dir)], items)
+    wide = page_audit.all_items(pages(spark, sf_dir), [], [keyword_overlap(spark, sf_dir)], items)
     return rubric.long_scores(wide, "page_id", items)
 
 

@@ -140,6 +140,6 @@ SITE_ORACLES["entry_points"] = _rows(
     ("www.y.org", "http://y.org", "http://y.org/"), ("www.y.org", "https://y.org", None), ("www.y.org", "http://www.y.org", None), ("www.y.org", "https://www.y.org", "https://www.y.org/"),
 )
 # The site has no declared sitemap (2), both schemes in it (1), one dead address (1), and two of its entry points answer, as one (2).
-_EVIDENCE = f"""WITH wide AS (SELECT i.*, "T9", NULL::INT AS "K1", NULL::INT AS "K2", CASE WHEN page_id = 8 THEN 0 WHEN page_id <> 10 THEN 1 END AS "G1", 1 AS "G2", 2 AS "T1", 1 AS "T2", 1 AS "T3", CASE page_id WHEN 1 THEN 3 WHEN 3 THEN 0 WHEN 4 THEN 3 END AS "T5", 2 AS "T6" FROM ({SITE_ORACLES["inline_audit_items"]}) i LEFT JOIN ({SITE_ORACLES["jsonld_consistency"]}) USING (page_id)),
+_EVIDENCE = f"""WITH wide AS (SELECT i.*, "T9", NULL::INT AS "K1", CASE WHEN page_id = 1 THEN 1 WHEN page_id NOT IN (8, 9, 10) THEN 0 END AS "K2", CASE WHEN page_id = 8 THEN 0 WHEN page_id <> 10 THEN 1 END AS "G1", 1 AS "G2", 2 AS "T1", 1 AS "T2", 1 AS "T3", CASE page_id WHEN 1 THEN 3 WHEN 3 THEN 0 WHEN 4 THEN 3 END AS "T5", 2 AS "T6" FROM ({SITE_ORACLES["inline_audit_items"]}) i LEFT JOIN ({SITE_ORACLES["jsonld_consistency"]}) USING (page_id)),
 {_ALL}"""
 SITE_ORACLES["evidence_scorecard"] = _EVIDENCE + ORACLES["lane_scorecard"].removeprefix(_LONG)

@@ -259,7 +259,7 @@ _SAMPLE = [(_SITE, 200, False), (_SITE, 404, False), (_SITE, 403, False)]
 
 
 def _evidence(spark):
-    """Every item of each page of PAGES, from all its evidence; K1 and K2 have none."""
+    """Every item of each page of PAGES, from all its evidence; K1 has none."""
     pages_ = _inline_pages(spark)
     seen = page_audit.facts(pages_).select("page_id", U.joined(F.col("url"), F.get("canonical", F.lit(0))).alias("start")).where("start is not null")
     hops = spark.createDataFrame(_HOPS, "url string, status int, location string")
@@ -273,7 +273,7 @@ def _evidence(spark):
     t2 = site_items.sitemap_score(C.sitemap_hygiene(C.sitemap_entries(files)), C.sitemap_limits(files))
     t3 = P.sample_liveness(spark.createDataFrame(_SAMPLE, "site string, status int, redirected boolean")).select("site", "T3")
     t6 = P.variant_landings(_entry_points(spark)).select("site", "T6")
-    return page_audit.all_items(pages_, [site_items.declared_values(pages_.where("status = 200")), g1, t5], [g2, site_items.sitemap_found(tried), t2, t3, t6], list(rubric.AUDIT_WEIGHTS))
+    return page_audit.all_items(pages_, [g1, t5], [g2, site_items.sitemap_found(tried), t2, t3, t6], list(rubric.AUDIT_WEIGHTS))
 
 
 def evidence_scorecard(spark, sf_dir):
