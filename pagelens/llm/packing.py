@@ -37,7 +37,7 @@ from .token_counts import loaded
 #: The program ends when no plan could use fewer sequences than this share less.
 LENGTH, GRAIN, END_ID, STEPS, SLACK = 2048, 8, 1, 4000, 0.0005
 #: Words, and bytes of them, whose ids a worker keeps; it starts anew when there are more.
-CACHE, CACHE_BYTES, JOINED = 1_000_000, 64 << 20, 1000
+CACHE, CACHE_BYTES, JOINED = 600_000, 64 << 20, 1000
 # Fixed value: the pattern of a tokenizer whose words are cut further, where this pattern begins a new match.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTER, DIGIT, MARK = 1, 2, 3
