@@ -30,3 +30,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it is counted to have at most ``rows`` rows, and joined by a shuffle otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Bits of a bitmap of keys: 262,144 rows of 64 at most, whatever the number of keys.
+BITS = 1 << 24
+
+
+def bitmap(keys: Column, df: DataFrame) -> DataFrame:
+    """(_word, _bits): the bits that 64-bit keys of df set, combined before they are shuffled."""
+    place = F.pmod(keys, F.lit(BITS))
+    spread = df.select((place / 64).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("_bit"))
+    return spread.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def maybe_in(df: DataFrame, keys: Column, bits: DataFrame) -> DataFrame:
+    """Rows of df whose key may be among those of the bitmap: all that are and few others, before anything moves."""
+    place = F.pmod(keys, F.lit(BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    return df.join(F.broadcast(bits), ((place / 64).cast("int") == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")  # at most BITS / 64 rows

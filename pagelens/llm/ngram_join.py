@@ -24,7 +24,7 @@ links; an empty table gives an empty table; other columns are ignored.  Hashes o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,51 +34,23 @@ from pyspark.sql import functions as F
 from ..operators.ordering import settled
 from . import tokens
 from .components import connected_components
+from .shingles import OVERLAPS, overlaps, set_name, sets
 
 WIDTH, PERCENT = 5, 80
 #: Cells of the sketch that orders tokens: 8 MB of counts, whatever the corpus.
 SKETCH_BITS, BLOCKS = 21, 64
 
 
-def _sets(column: pa.Array, width: int):
-    """(first row, end row, row, token): the distinct tokens of each row of a run, sorted by row and token."""
-    for i, j, body, at in tokens.runs(column):
-        body = tokens.LOWER[body]
-        starts, ends, first = tokens.words(body, at)
-        hashes = tokens.hashed(body, starts, ends)
-        begin = tokens.within_rows(first, width)
-        token = tokens.rolling(hashes, width)[begin] if len(begin) else np.empty(0, np.uint64)
-        row = np.searchsorted(first, begin, "right") - 1
-        count = np.diff(first)
-        for few in range(1, width):
-            alone = np.flatnonzero(count == few)
-            if len(alone):
-                token = np.concatenate([token, tokens.rolling(hashes, few, 0x8CB92BA72F3D8DD7 + 2 * few)[first[:-1][alone]]])
-                row = np.concatenate([row, alone])
-        order = np.lexsort((token, row))
-        token, row = token[order], row[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
-        yield i, j, row[new], token[new]
-
-
-def _node(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each row's set."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens.mix(token ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
-    end = np.cumsum(size)
-    return tokens.mix((sums[end] - sums[end - size]) + size.astype(np.uint64)).view(np.int64)
-
-
 def _survey(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         names = ["doc_id", "k", "size", "node", "block", "counts"]
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("k")
-            for i, j, row, token in _sets(batch.column("text"), width):
+            for i, j, row, token in sets(batch.column("text"), width):
                 np.add.at(cells, (token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 size = np.bincount(row, minlength=j - i)
-                yield pa.record_batch([ids.slice(i, j - i), keys.slice(i, j - i), pa.array(size), pa.array(_node(row, token, size)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+                yield pa.record_batch([ids.slice(i, j - i), keys.slice(i, j - i), pa.array(size), pa.array(set_name(row, token, size)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
         if cells.any():
             for k, part in enumerate(cells.reshape(BLOCKS, -1)):
                 yield pa.record_batch([*[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
@@ -100,9 +72,9 @@ def _postings(width: int, percent: int, sketch):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_of = sketch.value
         for batch in batches:
-            for i, j, row, token in _sets(batch.column("text"), width):
+            for i, j, row, token in sets(batch.column("text"), width):
                 size = np.bincount(row, minlength=j - i)
-                node = _node(row, token, size)
+                node = set_name(row, token, size)
                 token = token[np.lexsort((token, order_of[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], row))]
                 at = np.arange(len(row)) - (np.cumsum(size) - size)[row]
                 keep = at < (size - -(-percent * size // 100) + 1)[row]
@@ -112,33 +84,12 @@ def _postings(width: int, percent: int, sketch):
     return rows
 
 
-def _linked(width: int, percent: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            for k in range(0, len(a), 64):
-                sets = []
-                for name in ("text_a", "text_b"):
-                    own: list[np.ndarray] = []
-                    for i, j, row, token in _sets(batch.column(name).slice(k, 64), width):
-                        own += np.split(token, np.searchsorted(row, np.arange(1, j - i)))
-                    sets.append(own)
-                ok = []
-                for x, y in zip(*sets, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                keep = np.flatnonzero(ok) + k
-                yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    return rows
-
-
 def _close(n: str, at: str, m: str, to: str, percent: int) -> str:
     """If sets of n and m tokens that first meet at positions at and to can overlap enough."""
     return f"100L * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent}L * least({n} - {at}, {m} - {to}) >= {percent}L * ({n} + {m})"
 
 
-def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def linked_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, k (hash of the text), size (of the set) and c (a name of all that links reach; null without a set) of every row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
@@ -161,7 +112,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return settled(pairs.mapInArrow(_linked(width, percent), "a long, b long"))
+        return settled(pairs.mapInArrow(overlaps(width), OVERLAPS).where(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b"))
 
     pivots = posted.groupBy("token").agg(F.min(F.struct("at", "n", "node")).alias("p")).select("token", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.at").alias("to"))
     links = compared(posted.join(pivots, "token").where("node <> other").where(_close("n", "at", "m", "to", percent)))
@@ -188,7 +139,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row of docs."""
-    full = _classes(docs, width, percent)
+    full = linked_classes(docs, width, percent)
     least = settled(full.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id")))
     return full.join(least, "c", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -197,14 +148,14 @@ def _repeats(rows: DataFrame, *key: str) -> bool:
     return not rows.where("doc_id is not null").groupBy(*key).count().where("count > 1").isEmpty()
 
 
-def keep_one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, classes: Callable[[DataFrame, int, int], DataFrame] = linked_classes) -> DataFrame:
     """docs with one row of each group, that of the smallest doc_id; all columns stay.
 
     It is the text that goes or stays: of a doc_id with several texts each is decided by its own group, and if the
     smallest doc_id of a group has several texts in it, one of them stays.  Of rows of equal doc_id and text one stays.
-    Rows without a doc_id or without a set (null and empty texts) all stay.
+    Rows without a doc_id or without a set (null and empty texts) all stay.  ``classes`` finds the groups.
     """
-    found = settled(_classes(docs, width, percent))
+    found = settled(classes(docs, width, percent))
     named = found.where("doc_id is not null and c is not null")
     first = settled(named.groupBy("c").agg(F.min(F.struct("doc_id", "k")).alias("first")))
     gone = named.join(first, "c").where(F.struct("doc_id", "k") > F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("k").alias("_text")).distinct()

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_repair import damaged, repair_report
 from .decontaminate import overlap_report
 from .gif_media import media_columns
 from .license_scan import license_report
+from .minmax_dedup import mark_near_duplicates
 from .ngram_join import link_documents
 from .packing import pack
 from .quality import THRESHOLD, held_out, score_documents
@@ -72,6 +74,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), conversations)
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
