@@ -17,7 +17,8 @@ A document's set has its distinct shingles of ``width`` words (5), A-Z lower-cas
 Texts move only for nodes that share a bucket: a bitmap of fixed size drops the others as they are read.
 
 Cases: a null or empty text has no set and links with nothing; rows of one doc_id count as one document if their texts
-are equal and otherwise as rows with that id; a null doc_id stays in the result, with a null component unless it links;
+are equal and otherwise as rows with that id; a null doc_id stays in the result, with a null kept and, unless it links, a null
+component;
 an empty table gives an empty table; other columns are ignored.  Hashes of 64 bits stand for shingles.
 """
 

@@ -103,3 +103,17 @@ o AS (SELECT m.conv_id, nth, edit, CASE WHEN edit <> 'I' THEN role END AS role,
 x AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY nth) AS whole FROM o GROUP BY conv_id)
 SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(struct_extract(best, 'c'), 0) AS cost, coalesce(struct_extract(best, 'a'), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+ORACLES["op11_spelling_variants"] = rf"""WITH RECURSIVE {_CRC_TABLE},
+w AS (SELECT doc_id, unnest(regexp_extract_all({_LOW.format("text")}, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+h AS (SELECT w, n, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM u, t),
+d AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM h),
+n AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS MATERIALIZED (SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS x FROM (SELECT word, n, unnest(range(length(word))) AS i FROM n)),
+l AS (SELECT DISTINCT n.word AS short, n.n AS short_n, x.word AS long, x.n AS long_n FROM n JOIN x ON n.word = x.x),
+p AS (SELECT a.word AS a, b.word AS b, b.n AS m FROM x a JOIN x b ON a.x = b.x AND a.i = b.i AND a.word <> b.word UNION ALL SELECT short, long, long_n FROM l UNION ALL SELECT long, short, short_n FROM l),
+b AS (SELECT a, count(*) AS n_near, max(m) AS m FROM p GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(b.n_near, 0) AS n_near, form, CASE WHEN form IS NOT NULL THEN b.m END AS form_n FROM n LEFT JOIN b ON b.a = n.word LEFT JOIN (SELECT p.a, min(p.b) AS form FROM p JOIN b ON b.a = p.a AND b.m = p.m JOIN n ON n.word = p.a WHERE p.m >= 10 * n.n GROUP BY p.a) q ON q.a = n.word),
+r AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT r.word, f.form, depth + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.*, root FROM f JOIN (SELECT word, max_by(root, depth) AS root FROM r GROUP BY word) USING (word)"""

@@ -17,6 +17,7 @@ from .packing import pack
 from .quality import THRESHOLD, held_out, score_documents
 from .secret_scan import secret_report
 from .sharding import assign
+from .spelling_variants import DAMAGE, count_words, group_variants
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
@@ -74,6 +75,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(_table(spark, sf_dir, "documents"), damage=DAMAGE))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _table(spark, sf_dir, "conversations")
     return repair_report(damaged(conversations), conversations)

@@ -1,0 +1,264 @@
+"""Spelling variants, conversation repair and min-max dedup against plain Python, with nulls, ties, repeats and empty tables."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagelens.llm import conversation_repair as repair
+from pagelens.llm import minmax_dedup, spelling_variants
+from pagelens.llm.ngram_join import keep_one_of_each_group
+
+# Conversations
+
+
+def _marked(rows):
+    """(role, text, blank, duplicate, truncated) of one conversation's rows in order."""
+    seen, out = set(), []
+    for role, text in rows:
+        shown = re.sub(r"[\x20\x09-\x0D]+", "", text)
+        again = (role, text) in seen
+        seen.add((role, text))
+        out.append((role, text, not shown, bool(shown) and again, bool(shown) and not again and shown[-1] not in ".!?"))
+    return out
+
+
+def _cheapest(rows):
+    """Least (cost, audit) with its repaired lines, by trying every edit of every row and inserts in every place."""
+    fills = ["", "u", "a", "ua", "au"]
+    best = None
+    choices = ["D" if blank or twice else "DKUA" for _, _, blank, twice, _ in rows]
+    for edits in itertools.product(*choices):
+        base = sum({"D": 2, "K": 0, "U": 1, "A": 1}[e] + (5 if e != "D" and r[4] else 0) for e, r in zip(edits, rows, strict=True))
+        if best and base > best[0]:
+            continue
+        for gaps in itertools.product(fills, repeat=len(rows) + 1):
+            cost = base + 5 * sum(map(len, gaps))
+            if best and cost > best[0]:
+                continue
+            audit, initials, lines = "", "", []
+            for k, gap in enumerate(gaps):
+                for x in gap:
+                    audit, initials = audit + "I", initials + x
+                    lines.append({"u": "user:", "a": "assistant:"}[x])
+                if k < len(rows):
+                    role, text = rows[k][:2]
+                    audit += edits[k] if edits[k] in "KD" else "R"
+                    if edits[k] != "D":
+                        role = {"U": "user", "A": "assistant"}.get(edits[k], role)
+                        initials += role[:1] or "?"
+                        lines.append(f"{role}:{text}")
+            if re.fullmatch("(s?(ua)+)?", initials) and (best is None or (cost, audit) < best[:2]):
+                best = (cost, audit, lines)
+    return best
+
+
+def _report(spark, rows, schema="conv_id long, turn long, role string, text string"):
+    df = spark.createDataFrame(rows, schema)
+    return {r.conv_id: r for r in repair.repair_report(repair.messages(df), df).collect()}
+
+
+def test_cheapest_edits_against_all_edits(spark):
+    rng = random.Random(5)
+    texts = ["Yes.", "No!", "cut", "", " \t", "Why?"]
+    convs = {c: [(rng.choice(["system", "user", "user", "assistant", "assistant", "tool"]), rng.choice(texts)) for _ in range(rng.randint(1, 3))] for c in range(60)}
+    got = _report(spark, [(c, t, *x) for c, rows in convs.items() for t, x in enumerate(rows)])
+    for c, rows in convs.items():
+        marked = _marked(rows)
+        cost, audit, lines = _cheapest(marked)
+        r = got[c]
+        assert (r.cost, r.audit, r.repaired_sha256) == (cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()), rows
+        assert (r.blank, r.duplicate, r.truncated) == tuple(sum(m[k] for m in marked) for k in (2, 3, 4))
+        assert r.illegal == sum(a[0][0] + b[0][0] not in ("su", "ua", "au") for a, b in itertools.pairwise(rows)) and r.gaps == 0
+
+
+def _plain_pass(marked):
+    """The same pass with whole audits carried as strings."""
+
+    def close(s):
+        for _ in range(2):
+            for a, b in ((0, 2), (1, 2), (3, 2), (2, 3)):
+                if a in s:
+                    s[b] = min(s.get(b, (9**9, "")), (s[a][0] + 5, s[a][1] + "I"))
+        return s
+
+    s = close({0: (0, "")})
+    for role, _, blank, twice, cut in marked:
+        new = {}
+        for a, (cost, audit) in s.items():
+            ways = [(a, cost + 2, audit + "D")]
+            if not (blank or twice):
+                ways += [(3 if a == 2 else 2, cost + 1 + 5 * cut, audit + "R")]
+                to = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}.get((a, role[:1]))
+                ways += [(to, cost + 5 * cut, audit + "K")] if to is not None else []
+            for to, c, x in ways:
+                new[to] = min(new.get(to, (9**9, "")), (c, x))
+        s = close(new)
+    return min(s[x] for x in (0, 3) if x in s)
+
+
+def test_long_conversation_with_linked_audits(spark, monkeypatch):
+    monkeypatch.setattr(repair, "TAIL", 8)  # for the driver's own calls below
+    rng = random.Random(9)
+    rows = [(rng.choice(["user", "assistant", "system", "x"]), rng.choice(["a.", "b.", "c", ""]) if rng.random() < 0.4 else f"{i}{rng.choice('.,')}") for i in range(2000)]
+    got = _report(spark, [(7, t, *x) for t, x in enumerate(rows)])[7]
+    assert (got.cost, got.audit) == _plain_pass(_marked(rows))
+    layer = repair.start()
+    for k, (role, _, blank, twice, cut) in enumerate(_marked(rows)):
+        layer = repair.advanced(layer, "sua".find(role[0]) % 4, blank or twice, cut, 1)
+        layer = repair.linked(layer) if k % 8 == 7 else layer
+    assert repair.ended(layer) == (got.cost, got.audit)
+
+
+def test_odd_conversations(spark):
+    rows = [(None, 1, "user", "Hm."), (None, None, "assistant", "Ha."), (1, None, None, None), (2, 0, "user", "q?"), (2, 0, "user", "q?"), (2, 9, "assistant", "a."), (3, 5, "", "x."), (None, 2, "assistant", "So.")]
+    got = _report(spark, rows)
+    assert len(got) == 4
+    assert (got[None].audit, got[None].gaps) == ("DKK", 0)
+    assert (got[1].audit, got[1].blank, got[1].gaps, got[1].cost) == ("D", 1, 0, 2)
+    assert (got[2].audit, got[2].duplicate, got[2].gaps, got[2].illegal) == ("KDK", 1, 8, 1)
+    assert (got[3].audit, got[3].cost) == ("D", 2)
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, edit string, audit int")
+    assert repair.repair_report(repair.damaged(empty), empty).collect() == []
+
+
+def test_repaired_turns_and_damage(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"Turn {t} of {c}.", "x") for c in range(40) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, copies string")
+    hurt = repair.damaged(df)
+    want = []
+    for c, t, role, text, _ in rows:
+        kind = zlib.crc32(f"{c}:{t}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        want += [] if kind == 0 else [(c, t, "user" if kind == 4 else role, text, 2 if kind == 3 else 1)]
+    assert sorted(tuple(r) for r in hurt.collect()) == sorted(want)
+    turns = repair.repaired_turns(hurt, repair.audit_conversations(hurt)).collect()
+    by = {}
+    for r in sorted(turns, key=lambda r: (r.conv_id, r.place)):
+        by.setdefault(r.conv_id, []).append(r)
+    assert by and all(re.fullmatch("(s?(ua)+)?", "".join(r.role[0] for r in x)) and [r.place for r in x] == list(range(len(x))) for x in by.values())
+    assert all((r.edit == "I") == (r.text == "") for r in turns)
+
+
+# Words
+
+
+def _near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def _grouped(counts, times=10):
+    out = {}
+    for w, n in counts.items():
+        near = sorted((-m, v) for v, m in counts.items() if v != w and _near(v, w))
+        form = near[0][1] if near and -near[0][0] >= times * n else None
+        out[w] = [n, len(near), form, counts[form] if form else None]
+    rows = []
+    for w, r in out.items():
+        root = w
+        while out[root][2]:
+            root = out[root][2]
+        rows.append((w, *r, root))
+    return sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_variants_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    counts = {"".join(rng.choice("abé") for _ in range(rng.randint(3, 6))): rng.choice([2, 3, 20, 200, 3000]) for _ in range(400)}
+    got = spelling_variants.group_variants(spark.createDataFrame(list(counts.items()), "word string, n long")).select("word", "n", "n_near", "form", "form_n", "root")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _grouped(counts)
+
+
+def test_words_are_counted_as_damaged(spark):
+    rng = random.Random(3)
+    rows = [(d, " ".join(rng.choice(["Ünterwegs", "unterwegs", "Ærodrome-field", "straßenbahn", "short", "ABCDEFG", "abcdefg1hijklmn"]) for _ in range(60))) for d in range(80)]
+    rows += [(None, "nulldoc nulldoc"), (5, None), (6, ""), (7, "once only"), (8, "ab" * 4000 + " " + "ab" * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("x")).withColumn("n", F.lit(1))
+    want = {}
+    for d, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c < "\x7f" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            run = run if h % 31 else run[: h % len(run)] + run[h % len(run) + 1 :]
+            want[run] = want.get(run, 0) + 1
+    want = {w: n for w, n in want.items() if len(w) >= 7 and n >= 2}
+    counted = spelling_variants.count_words(df, damage=31)
+    assert {r.word: r.n for r in counted.collect()} == want
+    assert spelling_variants.group_variants(counted).count() == len(want)
+
+
+def test_no_words(spark):
+    docs = spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")
+    assert spelling_variants.group_variants(spelling_variants.count_words(docs)).collect() == []
+
+
+def test_keys_agree_with_strings():
+    words = ["aab", "ab", "aaab", "é", "bb", "b"]
+    keys, word, at = spelling_variants.deletion_keys(words)
+    seen = {}
+    for key, w, a in zip(keys.tolist(), word.tolist(), at.tolist(), strict=True):
+        text = (a if a >= 0 else -1, spelling_variants._without(words[w], a))
+        assert seen.setdefault(key, text) == text
+    assert len(set(seen.values())) == len(seen)
+
+
+# Near-duplicates
+
+
+def _components(rows, width=4, percent=80):
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x7f" else c for c in text or ""))
+        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for _, t in rows]
+    low = [d for d, _ in rows]
+    for _ in rows:
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                low[a] = low[b] = min(low[a], low[b])
+    return sorted((d, len(s), c, c == d) for (d, _), s, c in zip(rows, sets, low, strict=True))
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(60)]
+    rows = [(1000, None), (1001, ""), (1002, "  "), (1003, "one two"), (1004, "One  Two"), (1005, "one two three")]
+    for d in range(90):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 8])):
+            words[rng.randrange(60)] = f"x{rng.randint(0, 99)}"
+        rows.append((d, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("k", F.lit(1))
+    got = minmax_dedup.mark_near_duplicates(df, width=4, percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == _components(rows)
+    kept = keep_one_of_each_group(df, 4, 80, classes=minmax_dedup.near_classes)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, n, c, k in _components(rows) if k)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(3, text), (3, text), (None, text), (None, "other words stand here alone"), (4, text + " end"), (4, "a b c d e f g h"), (9, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.mark_near_duplicates(df, 4, 80).collect()), key=repr)
+    assert got == sorted([(3, 27, 3, True), (3, 27, 3, True), (None, 27, 3, None), (None, 2, None, None), (4, 28, 3, False), (4, 5, 4, True), (9, 0, 9, True)], key=repr)
+    assert minmax_dedup.mark_near_duplicates(df.where("false")).collect() == []
+
+
+def test_signatures_agree_as_often_as_jaccard_says():
+    rng = np.random.default_rng(1)
+    universe = rng.integers(0, 2**63, 12_000, dtype=np.uint64)
+    a, b = universe[:10_000], universe[2_000:]  # 8,000 of 12,000 shared
+    both = np.concatenate([a, b])
+    low = [(np.minimum.reduceat(both * t, [0, 10_000]), np.maximum.reduceat(both * t, [0, 10_000])) for t in minmax_dedup._TIMES]
+    share = np.mean([x[0] == x[1] for pair in low for x in pair])
+    assert abs(share - 2 / 3) < 0.12
+    assert minmax_dedup.signatures(both, np.array([0, 10_000])).shape == (2, 2 * minmax_dedup.PERMUTATIONS // minmax_dedup.ROWS)
