@@ -32,6 +32,11 @@ MARKETING = (
 DANGLING = r"(?i)^\s*(它们|它|他们|该方案|该功能|该产品|这一点|这些|那些|上述|this\b|that\b|these\b|those\b|it\b|they\b)"
 
 
+def stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+
+
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; NULL without a match."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
@@ -84,7 +89,7 @@ def meta_description(html: Column) -> Column:
 
 
 def meta_robots(html: Column) -> Column:
-    return F.lower(F.trim(extract(html, r"""(?is)<meta[^>]+name=["']robots["'][^>]*content=["']([^"']*)""")))
+    return F.lower(stripped(extract(html, r"""(?is)<meta[^>]+name=["']robots["'][^>]*content=["']([^"']*)""")))
 
 
 def canonicals(html: Column) -> Column:
@@ -122,7 +127,7 @@ def blocks(html: Column) -> Column:
     """array<struct<tag, html, text>>: block elements with text, then rows of markdown tables."""
     pattern = rf"(?is)<({'|'.join(t for t in ('p', 'li', 'figcaption', 'h[1-6]', 'blockquote', 'td', 'th', 'dd'))})[^>]*>(.*?)</\1>"
     found = F.zip_with(extract_all(html, pattern, 1), extract_all(html, pattern, 2), lambda t, h: F.struct(F.lower(t).alias("tag"), h.alias("html"), clean_text(h).alias("text")))
-    lines = F.filter(F.transform(F.split(html, r"\r\n|\n|\r"), F.trim), lambda s: s.startswith("|") & (F.regexp_count(s, F.lit(r"\|")) >= 3) & ~s.rlike(r"^\|[\s\-:|]+\|$"))
+    lines = F.filter(F.transform(F.split(html, r"\r\n|\n|\r"), stripped), lambda s: s.startswith("|") & (F.regexp_count(s, F.lit(r"\|")) >= 3) & ~s.rlike(r"^\|[\s\-:|]+\|$"))
     rows = F.transform(lines, lambda s: F.struct(F.lit("mdrow").alias("tag"), s.alias("html"), clean_text(F.regexp_replace(s, r"^\|+|\|+$", "")).alias("text")))
     return F.filter(F.concat(found, rows), lambda b: b["text"] != "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import extract
+from .text import extract, stripped
 
 # What marks a first-hand source and a weak one.
 FIRST_SUFFIX = (".gov", ".edu", ".gov.cn", ".edu.cn", ".int", ".mil")
@@ -51,7 +51,7 @@ def origin_of(url: Column) -> Column:
 
 def joined(base: Column, link: Column) -> Column:
     """The address that a link on the page ``base`` means: absolute, without scheme, from the root, a query, a fragment or relative."""
-    link = F.trim(link)
+    link = stripped(link)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     bare = F.regexp_replace(base, "#.*$", "")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.text import stripped
 from ..sources.tables import reach
+from .robots_index import page_verdicts
 
 # Where sitemaps are looked for, how large they may be, and how much of them is read; agents by class.
 CANDIDATES = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap")
@@ -18,7 +20,6 @@ AGENTS = {
     "ai_user": ["ChatGPT-User", "Claude-User", "Perplexity-User"],
     "training": ["GPTBot", "ClaudeBot", "CCBot", "Google-Extended"],
 }
-HOPS = 4
 
 
 def observed_robots(robots: DataFrame) -> DataFrame:
@@ -55,8 +56,8 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     lines without a colon say nothing.
     """
     lines = robots.select("site", F.posexplode(F.split("body", LINE_ENDS)).alias("pos", "line"))
-    lines = lines.select("site", "pos", F.trim(F.regexp_replace("line", "#.*$", "")).alias("part")).where(F.col("part").contains(":"))
-    lines = lines.select("site", "pos", F.lower(F.trim(F.split_part("part", F.lit(":"), F.lit(1)))).alias("key"), F.trim(F.regexp_replace("part", "^[^:]*:", "")).alias("value")).where(F.col("key").isin("user-agent", "allow", "disallow"))
+    lines = lines.select("site", "pos", stripped(F.regexp_replace("line", "#.*$", "")).alias("part")).where(F.col("part").contains(":"))
+    lines = lines.select("site", "pos", F.lower(stripped(F.split_part("part", F.lit(":"), F.lit(1)))).alias("key"), stripped(F.regexp_replace("part", "^[^:]*:", "")).alias("value")).where(F.col("key").isin("user-agent", "allow", "disallow"))
     order = Window.partitionBy("site").orderBy("pos")
     fresh = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(order), F.lit("")) != "user-agent")
     lines = lines.withColumn("fresh", fresh.cast("int")).withColumn("grp", F.sum("fresh").over(order)).where("grp > 0")
@@ -66,23 +67,12 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
 
 def robots_decisions(robots: DataFrame, agents: DataFrame, path: str = "/") -> DataFrame:
-    """(site, agent, grp_kind, allowed, rule): the first group that names the agent, else the first for *, by longest match.
+    """(site, agent, grp_kind, allowed, rule) of one path at each site; ``robots_index.page_verdicts`` tells it of each page's own.
 
     rule is the line that decides, NULL if none matches.
     """
-    rules = robots_rules(robots)
-    sites = robots.select("site").distinct().crossJoin(F.broadcast(agents.select("agent")))  # agents are a short fixed list
-    asked = sites.join(rules.withColumnRenamed("agent", "named"), "site", "left").where("named is null or named = lower(agent) or named = '*'")
-    asked = asked.withColumn("rank", F.when(F.col("named") == F.lower("agent"), 0).when(F.col("named") == "*", 1).otherwise(2))
-    best = asked.groupBy("site", "agent").agg(F.min_by("grp", F.struct("rank", "grp")).alias("grp"), F.min("rank").alias("rank"))
-    held = sites.join(best, ["site", "agent"], "left").join(asked.select("site", "agent", "grp", "rank", "kind", "value"), ["site", "agent", "grp", "rank"], "left")
-    escaped = F.regexp_replace(F.regexp_replace(F.col("value"), r"([.+?^(){}\[\]|\\])", r"\\$1"), r"\*", ".*")
-    pattern = F.concat(F.lit("^"), escaped)
-    match = (F.col("value") != "") & F.regexp_like(F.lit(path), pattern)
-    won = F.max(F.when(match, F.struct(F.length("value").alias("n"), (F.col("kind") == "allow").alias("allow"), F.col("value")))).alias("won")
-    out = held.groupBy("site", "agent", "rank").agg(won)
-    rule = F.concat(F.when(F.col("won.allow"), "Allow: ").otherwise("Disallow: "), F.col("won.value"))
-    return out.select("site", "agent", F.when(F.col("rank") == 0, "explicit").when(F.col("rank") == 1, "wildcard").otherwise("none").alias("grp_kind"), F.coalesce("won.allow", F.lit(True)).alias("allowed"), F.when(F.col("won").isNotNull(), rule).alias("rule"))
+    asked = robots.select("site", F.lit(0).alias("page"), F.lit(path).alias("path")).distinct()
+    return page_verdicts(robots, robots_rules(robots), asked, agents).drop("page")
 
 
 def agent_table(spark: SparkSession) -> DataFrame:
@@ -179,7 +169,7 @@ def sitemap_limits(files: DataFrame) -> DataFrame:
 
 def is_date(text: Column) -> Column:
     """A W3C date, or a date and time with seconds; a fraction needs a zone, and so does a time without seconds."""
-    text = F.trim(text)
+    text = stripped(text)
     day = F.try_to_timestamp(F.regexp_extract(text, r"^(\d{4}-\d{1,2}-\d{1,2})(?:T|$)", 1), F.lit("yyyy-M-d")).isNotNull()
     zone = r"(?:Z|[+-]\d{2}:?[0-5]\d)"
     timed = text.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:T(?:[01]?\d|2[0-3]):[0-5]?\d:(?:[0-5]?\d|6[01])(?:{zone}|\.\d{{1,6}}{zone})?)?$")
@@ -203,11 +193,3 @@ def sitemap_hygiene(entries: DataFrame) -> DataFrame:
     )
     return told
 
-
-def follow_redirects(starts: DataFrame, hops: DataFrame, limit: int = HOPS) -> DataFrame:
-    """(start, url, status, hops): where each start ends after at most ``limit`` hops of (url, status, location)."""
-    at = starts.select("start", F.col("start").alias("url"), F.lit(0).alias("hops"))
-    for _ in range(limit):
-        step = hops.select("url", "location").where("location is not null")
-        at = at.join(step, "url", "left").select("start", F.coalesce("location", "url").alias("url"), (F.col("hops") + F.col("location").isNotNull().cast("int")).alias("hops"))
-    return at.join(hops.select("url", "status"), "url", "left").select("start", "url", "status", "hops")

@@ -110,8 +110,8 @@ c AS (SELECT site, count(*) FILTER (WHERE status = 404) AS dead, count(*) FILTER
 SELECT *, CASE WHEN dead >= 2 THEN 0 WHEN dead = 1 THEN 1 WHEN redirected > 0 THEN 2 ELSE 3 END AS "T3" FROM c""",
     "variant_landings": """SELECT * FROM (VALUES ('a', 2, 0, 1, 3), ('b', 2, 1, 1, 2), ('c', 2, 0, 2, 1), ('d', 1, 1, 1, NULL)) v(site, seen, missing, places, "T6")""",
     "redirect_chain": """WITH RECURSIVE h AS (SELECT * FROM (VALUES ('http://a/', 301, 'https://a/'), ('https://a/', 302, 'https://a/home'), ('https://a/home', 200, NULL), ('https://loop/', 301, 'https://loop/'), ('https://gone/', 404, NULL)) v(url, status, location)),
-w AS (SELECT url AS start, url, 0 AS hops FROM h UNION ALL SELECT start, location, hops + 1 FROM w JOIN h USING (url) WHERE location IS NOT NULL AND hops < 4)
-SELECT start, url, status, hops FROM w LEFT JOIN h USING (url) QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops DESC) = 1""",
+w AS (SELECT url AS start, url, 0 AS hops FROM h UNION ALL SELECT start, location, hops + 1 FROM w JOIN h USING (url) WHERE location IS NOT NULL AND hops < 5)
+SELECT start, url, CASE WHEN hops < 5 THEN status END AS status, hops FROM w LEFT JOIN h USING (url) QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops DESC) = 1""",
     "draft_items": """SELECT * FROM (VALUES (1, 1, 1, 3, 3, 3, 2, 3, 3, 3, 2, 1, 1), (2, NULL, 0, NULL, 1, 0, NULL, 1, 1, 0, 0, 0, 0), (3, 0, 0, NULL, NULL, NULL, NULL, 0, 3, 0, 0, 0, 0)) v(id, "WG1", "W1", "W2", "W3", "W4", "W5", "W6", "W7", "W8", "W9", "D1", "D2")""",
     "page_draft_items": rf"""{_PAGE}, q AS (SELECT *, {_terms("coalesce(title, '')")} AS asked, lower(array_to_string(words[1:50], ' ')) AS spaced, lower(array_to_string(words[1:50], '')) AS joined, {_LINKS.format("html")} AS links,
 len(list_filter(blocks, lambda b: regexp_matches(b.text, '{_DATED}'))) / nullif(len(blocks), 0) AS ratio, list_filter(blocks, lambda b: regexp_matches(b.text, '{_NUMERIC}')) AS num, len(list_filter(blocks, lambda b: b.tag IN ('p', 'blockquote') AND regexp_matches(b.text, '{DANGLING}'))) AS dang FROM p),
@@ -126,7 +126,7 @@ CASE WHEN inner_n >= 5 THEN 3 WHEN inner_n >= 3 THEN 2 WHEN inner_n >= 1 THEN 1
     "reach_gate": 'SELECT page_id AS id, [1, NULL, 0, 0, NULL, 0, 0, NULL][page_id % 8 + 1] AS "G1" FROM pages',
     "index_gate": """SELECT * FROM (VALUES ('a', 1), ('b', 0), ('c', 0)) v(site, "G2")""",
     "sitemap_found": """SELECT * FROM (VALUES ('a', 3), ('b', 2), ('c', 1), ('d', 0), ('e', NULL)) v(site, "T1")""",
-    "canonical_landing": """SELECT * FROM (VALUES ('http://a/', 3), ('https://a/', 3), ('https://a/home', 3), ('https://loop/', 1), ('https://gone/', 0)) v(start, "T5")""",
+    "canonical_landing": """SELECT * FROM (VALUES ('http://a/', 3), ('https://a/', 3), ('https://a/home', 3), ('https://loop/', NULL), ('https://gone/', 0)) v(start, "T5")""",
     "declared_values": rf"""WITH v AS (SELECT page_id, {_clean('html')} AS body, {_LD_VALUES} AS x FROM pages) SELECT page_id, CASE WHEN len(x) = 0 THEN NULL ELSE [3, 2, 1, 0][least(3, len(list_filter(x, lambda y: NOT contains(body, y)))) + 1] END AS "T9" FROM v""",
     "keyword_overlap": f"""{_SITE_TERMS}, n AS (SELECT page_id, count(*) AS n FROM t GROUP BY ALL), pr AS (SELECT a.site, a.page_id AS a, b.page_id AS b, count(*) AS i FROM t a JOIN t b ON a.site = b.site AND a.term = b.term AND a.page_id < b.page_id GROUP BY ALL),
 k AS (SELECT site, count(*) AS k FROM pr JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE i / (x.n + y.n - i) >= 0.6 GROUP BY site)

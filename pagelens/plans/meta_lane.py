@@ -25,7 +25,7 @@ def _length(n: Column, good: tuple[int, int], fair: tuple[int, int]) -> Column:
 
 def meta_items(pairs: DataFrame) -> DataFrame:
     """id and scores MG1, M1 to M6 and C4 of (id, title, description, keyword, page_type); NULL is unobserved."""
-    title, text = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("description", F.lit("")))
+    title, text = T.stripped(F.coalesce("title", F.lit(""))), T.stripped(F.coalesce("description", F.lit("")))
     n, m = T.wide_length(title), T.wide_length(text)
     a, b = T.terms(title), T.terms(text)
     alike = F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))

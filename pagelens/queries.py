@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import site_queries
+from . import derived_queries, site_queries
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
+from .operators import redirects
 from .operators import probes as P
 from .operators import relational as R
 from .plans import draft_lane, meta_lane, page_audit, rubric, site_items
@@ -219,7 +220,7 @@ _HOPS = [("http://a/", 301, "https://a/"), ("https://a/", 302, "https://a/home")
 
 def redirect_chain(spark, sf_dir):
     hops = spark.createDataFrame(_HOPS, "url string, status int, location string")
-    return C.follow_redirects(hops.select(F.col("url").alias("start")), hops)
+    return redirects.follow_redirects(hops.select(F.col("url").alias("start")), hops)
 
 
 # --- phrases, lengths and probes -------------------------------------------------------------------------------------
@@ -352,11 +353,12 @@ _QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_struc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [*_QUERIES, *site_queries._QUERIES]}
+    return {f.__name__: f for f in [*_QUERIES, *site_queries._QUERIES, *derived_queries._QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .derived_oracles import DERIVED_ORACLES
     from .oracles import ORACLES
     from .site_oracles import SITE_ORACLES
 
-    return ORACLES | SITE_ORACLES
+    return ORACLES | SITE_ORACLES | DERIVED_ORACLES

@@ -10,6 +10,7 @@ from .functions import jsonld as J
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
+from .operators import redirects
 from .operators import probes as P
 from .operators import relational as R
 from .operators import teardown as D
@@ -263,7 +264,7 @@ def _evidence(spark):
     pages_ = _inline_pages(spark)
     seen = page_audit.facts(pages_).select("page_id", U.joined(F.col("url"), F.get("canonical", F.lit(0))).alias("start")).where("start is not null")
     hops = spark.createDataFrame(_HOPS, "url string, status int, location string")
-    t5 = seen.join(site_items.canonical_landing(C.follow_redirects(seen.select("start").distinct(), hops)), "start").select("page_id", "T5")
+    t5 = seen.join(site_items.canonical_landing(redirects.follow_redirects(seen.select("start").distinct(), hops)), "start").select("page_id", "T5")
     g1 = site_items.reach_gate(pages_.select(F.col("page_id").alias("id"), "status")).withColumnRenamed("id", "page_id")
     robots = spark.createDataFrame([(_SITE, 200, "User-agent: GPTBot\nDisallow: /\n")], "site string, status int, body string")
     g2 = site_items.index_gate(C.robots_classes(robots), spark.createDataFrame([], "site string, place string"))
