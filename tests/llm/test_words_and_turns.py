@@ -262,3 +262,55 @@ def test_signatures_agree_as_often_as_jaccard_says():
     share = np.mean([x[0] == x[1] for pair in low for x in pair])
     assert abs(share - 2 / 3) < 0.12
     assert minmax_dedup.signatures(both, np.array([0, 10_000])).shape == (2, 2 * minmax_dedup.PERMUTATIONS // minmax_dedup.ROWS)
+
+
+# Token counts
+
+
+class _Counted:
+    """A tokenizer that tells how many characters it was given."""
+
+    def __init__(self, t):
+        self.t, self.characters = t, 0
+
+    def encode(self, text, **more):
+        self.characters += len(text)
+        return self.t.encode(text, **more)
+
+    def to_str(self):
+        return self.t.to_str()
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "これは長い文章です。空白がありません、" * 52_000,
+        "a1B2c3/+" * 130_000,
+        "漢" * 300_000,
+        "if(a){b(c,d[e]);x='s';y=\"it's\"}" * 20_000,
+        "ไม่มีช่องว่างในข้อความนี้" * 12_000,
+        ("x" * 70_000 + "!") * 5,
+        "word " * 100_000 + "ж" * 100_000 + " tail" * 50_000,
+    ],
+    ids=["japanese", "base64", "one run", "minified", "thai", "long runs", "mixed"],
+)
+def test_long_texts_are_encoded_twice_at_most(text):
+    from pagelens.llm import token_counts
+    from pagelens.llm.registry import tokenizer
+
+    t = token_counts.loaded(tokenizer("byte_bpe_50k.json"))
+    counted = _Counted(t)
+    assert token_counts.spliced_count(counted, text) == len(t.encode(text, add_special_tokens=False).ids)
+    assert counted.characters <= 2.2 * len(text)
+
+
+def test_spliced_counts_of_odd_texts():
+    from pagelens.llm import token_counts
+    from pagelens.llm.registry import tokenizer
+
+    t = token_counts.loaded(tokenizer("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    parts = ["'s", "'ll", "it", "é", "́", "1", "２", "Ⅷ", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\t", "!", "...", "漢字", " ", "😀", "‍", "ß", "I'", "_"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(50, 400)))
+        assert token_counts.spliced_count(t, text, 64, 32) == len(t.encode(text, add_special_tokens=False).ids), text
