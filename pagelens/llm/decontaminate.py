@@ -25,13 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import settled
-from .columns import bounded, keyed, plain_words
+from .columns import bitmap, keyed, left_join_few, maybe_in, plain_words
 
 WIDTH, GRAM = 10, 5
 #: What plain_words finds, in a text that is not lower-cased.
 ONE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of a side made from the benchmark up to which it is broadcast; beyond them it is joined by a shuffle.
-SMALL = 200_000
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -56,7 +54,9 @@ def _places(docs: DataFrame, vocabulary: DataFrame, grams: list[int]) -> DataFra
     worded = docs.where("text is not null").select("_id", "_k", _hashed(plain_words(F.col("text"))).alias("h"))
     worded = worded.select("_id", "_k", F.size("h").alias("n_words"), F.concat(*(_shingles(F.col("h"), g) for g in grams)).alias("tokens"))
     # An outer explode, as no filter is then moved below the columns made here, where they would be made anew.
-    met = worded.select("_id", "_k", "n_words", F.posexplode_outer("tokens").alias("nth", "token")).join(bounded(vocabulary, SMALL), "token")
+    met = worded.select("_id", "_k", "n_words", F.posexplode_outer("tokens").alias("nth", "token"))
+    # Of all shingles few pass the bitmap of the vocabulary, and these alone are joined with it.
+    met = maybe_in(met, F.col("token"), bitmap(F.col("token"), vocabulary)).join(vocabulary, "token")
     # The shingles of one length stand behind those of the others.
     pos, begin = F.col("nth"), F.lit(0)
     for g in grams[:-1]:
@@ -83,15 +83,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, gra
     counts = settled(places.groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     rarest = parts.join(counts, "token", "left").groupBy("wid", "n", "gram").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "at", "token")).alias("p"))
     prefix = settled(rarest.where("p.count > 0").select("wid", "n", F.expr("n - gram + 1").alias("needed"), "p.at", "p.token"))
-    asked = places.join(bounded(prefix, SMALL), "token").where("pos >= at and pos - at + n <= n_words")
+    asked = places.join(prefix, "token").where("pos >= at and pos - at + n <= n_words")
     asked = asked.select("_id", "_k", "wid", "n", "needed", F.expr("pos - at").alias("start"))
     # Windows of one shingle are found with it; of the others every shingle has to be where it belongs.
-    whole = asked.where("needed > 1").join(bounded(parts.select("wid", "at", "token"), SMALL), "wid").withColumn("pos", F.col("start") + F.col("at"))
+    whole = asked.where("needed > 1").join(parts.select("wid", "at", "token"), "wid").withColumn("pos", F.col("start") + F.col("at"))
     whole = whole.join(places.drop("n_words"), ["_id", "_k", "pos", "token"], "left_semi").groupBy("_id", "_k", "wid", "n", "needed", "start").count().where("count = needed")
     found = settled(asked.where("needed = 1").unionByName(whole.drop("count")).select("_id", "_k", "wid", "start", "n"))
     covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("n") - 1))))).cast("long").alias("n_hit")
     hits = found.groupBy("_id", "_k").agg(covered)
-    items = found.select("_id", "_k", "wid").distinct().join(bounded(windows.select("wid", F.col("item_id").cast("string").alias("item")), SMALL), "wid")
+    items = found.select("_id", "_k", "wid").distinct().join(windows.select("wid", F.col("item_id").cast("string").alias("item")), "wid")
     items = items.groupBy("_id", "_k").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = settled(hits.join(items, ["_id", "_k"]))
     return rows.join(found, ["_id", "_k"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
@@ -104,6 +104,6 @@ def overlap_report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs that hold no window of an item, with all their columns."""
-    bad = bounded(settled(find_overlaps(docs, benchmark, width).where("n_hit > 0").select("_id", "_k").distinct()), SMALL)
-    keys = [F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == bad["_id"], F.xxhash64(docs["text"].cast("string")) == bad["_k"]]
-    return docs.join(bad, keys, "left_anti")
+    bad = settled(find_overlaps(docs, benchmark, width).where("n_hit > 0").select("_id", "_k", F.lit(True).alias("_bad")).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_k"))
+    return left_join_few(rows, bad, ["_id", "_k"], F.xxhash64("_id", "_k")).where("_bad is null").select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -12,7 +12,8 @@ chosen for each size so that this is at most ``MISS`` for every template of it.
 A MinHash is the hash of a shingle, so a window that agrees with a template in a band holds a shingle that is one of
 the template's MinHashes, its anchor.  One pass over the texts finds anchors; only windows around them get bands;
 those that agree in a band are candidates, and these are compared shingle by shingle.  Anchors, band keys and
-templates stand in tables of a bounded size, and no text is shuffled.
+templates stand in tables of a bounded size.  Of the texts only those with anchors are shuffled: a bitmap of fixed size drops
+the others as they are read.
 
 Cases: a null or short text has no shingles and holds nothing; a template under five words is refused; templates of
 equal shingles are all named; rows repeat as they are; a null doc_id is kept; an empty table of documents or templates
@@ -31,13 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import settled
-from .columns import bounded, keyed, plain_words
+from .columns import bitmap, keyed, maybe_in, plain_words
 
 WIDTH, PERCENT, MISS = 5, 80, 0.001
 #: What may be scanned for at once, as it is sent to all tasks; more is to be scanned for in several calls.
 MOST_TEMPLATES, MOST_SHINGLES = 2000, 500_000
-#: Documents up to which their ids are broadcast; beyond them texts are joined with them by a shuffle.
-SMALL = 200_000
 # Notices by which texts state their license.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -133,7 +132,8 @@ def find_licenses(docs: DataFrame, templates: DataFrame, width: int = WIDTH, per
     asked = met.select("_id", "_k", "side", F.explode(windows).alias("i")).groupBy("_id", "_k").agg(F.collect_set(F.struct("side", "i")).alias("asked"))
     asked = settled(asked)
 
-    texts = docs.join(bounded(asked.select("_id", "_k"), SMALL), ["_id", "_k"], "left_semi").dropDuplicates(["_id", "_k"]).join(asked, ["_id", "_k"])
+    key = F.xxhash64("_id", "_k")
+    texts = maybe_in(docs, key, bitmap(key, asked)).dropDuplicates(["_id", "_k"]).join(asked, ["_id", "_k"])
     texts = texts.select("_id", "_k", "asked", plain_words(F.col("text")).alias("w"))
     size = F.when(F.col("a.side") == 1, 1).otherwise(2 * F.col("a.side"))
     found = texts.select("_id", "_k", "w", F.explode_outer("asked").alias("a")).select("_id", "_k", "a.side", F.slice("w", F.col("a.i") * F.col("a.side") + 1, size + (width - 1)).alias("words"))

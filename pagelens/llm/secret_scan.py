@@ -22,11 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import settled
-from .columns import bounded, keyed
+from .columns import keyed, left_join_few, maybe_of
 
 OPTIONS = 64
-#: Rows of ids up to which they are broadcast; beyond them texts are joined with them by a shuffle.
-SMALL = 200_000
 #: Matches, or characters, of a part of a long text.
 PART = 1024
 SPANS = "array<struct<start:int,kind_order:int,kind:string,end:int>>"
@@ -176,7 +174,8 @@ def _count(kind: str) -> Column:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, _id, _k and _spans (array<struct<start, kind_order, kind, end>>, by start and kind) of every row of docs.
 
-    Texts are read for the index, by rules that scan everything, and for the candidates; spans alone are joined.
+    Texts are read for the index, by rules that scan everything, and for the candidates, which bitmaps of fixed size mark
+    as the texts are read; spans alone are joined.
     """
     docs = keyed(docs)
     found = candidates(docs, rules)
@@ -185,8 +184,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     indexed = {r.kind for r in rules if trigram_query(r.regex)}
     spans = lambda kinds: F.concat(F.array().cast(SPANS), *kinds)
     scanned = spans([_tagged(F.when(text.rlike(_quick(r)), _spans(text, r)).otherwise(none), k, r.kind) for k, r in enumerate(rules) if r.kind not in indexed])
-    asked = spans([_tagged(F.when(F.array_contains("_rules", r.kind), _spans(text, r)).otherwise(none), k, r.kind) for k, r in enumerate(rules) if r.kind in indexed])
-    met = docs.join(bounded(found, SMALL), ["_id", "_k"]).select("_id", "_k", asked.alias("_met")).where(F.size("_met") > 0)
+    asked = spans([_tagged(F.when(F.array_contains("_tags", r.kind), _spans(text, r)).otherwise(none), k, r.kind) for k, r in enumerate(rules) if r.kind in indexed])
+    kinds = [r.kind for r in rules if r.kind in indexed]
+    met = maybe_of(docs, F.xxhash64("_id", "_k"), found.select("_id", "_k", F.explode("_rules").alias("rule")), kinds, "rule") if kinds else docs.select("*", F.array().cast("array<string>").alias("_tags")).limit(0)
+    met = met.select("_id", "_k", asked.alias("_met")).where(F.size("_met") > 0)
     met = settled(met).dropDuplicates(["_id", "_k"])
     rows = docs.select("doc_id", "_id", "_k", scanned.alias("_scanned")).join(met, ["_id", "_k"], "left")
     return rows.select("doc_id", "_id", "_k", F.sort_array(F.concat("_scanned", F.coalesce("_met", F.array().cast(SPANS)))).alias("_spans"))
@@ -222,12 +223,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, placeholder: str =
     each = each.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = each.groupBy("_id", "_k", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     runs = settled(runs.groupBy("_id", "_k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs")))
-    hit = bounded(runs.select("_id", "_k"), SMALL)
-
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_k"))
     text = F.col("row.text").cast("string")
-    touched = rows.join(hit, ["_id", "_k"], "left_semi").join(runs, ["_id", "_k"]).select("row", "_runs", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)).alias("parts"))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    found = left_join_few(rows, runs, ["_id", "_k"], F.xxhash64("_id", "_k")).select("row", "_runs", F.when(F.col("_runs").isNotNull(), parts).alias("parts"))
     left = F.transform(F.sequence(F.lit(0), F.size("_runs")), lambda i: _piece(F.col("parts"), F.coalesce(F.get("_runs", i - 1)["end"], F.lit(0)), F.coalesce(F.get("_runs", i)["start"], F.char_length(text))))
     own = lambda clean: [clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
-    untouched = rows.join(hit, ["_id", "_k"], "left_anti").select(*own(text))
-    return untouched.unionAll(touched.select(*own(F.array_join(left, placeholder))))
+    return found.select(*own(F.when(F.col("_runs").isNull(), text).otherwise(F.array_join(left, placeholder))))

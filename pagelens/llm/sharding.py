@@ -21,11 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import ranked, settled
-from .columns import bounded
+from .columns import left_join_few
 
 BITS, SHARDS, TEXTS = 4, 40, ("lang", "source")
-#: Texts that stand in several places up to which their table is broadcast; beyond them it is joined by a shuffle.
-SMALL = 200_000
 
 
 def hilbert_index(point: tuple[int, ...], bits: int = BITS) -> int:
@@ -91,8 +89,8 @@ def _placed(rows: DataFrame, facts: DataFrame) -> DataFrame:
         return df.join(curve, ["_lang", "_source", "_size"]).drop("_lang", "_source", "_size", *(f"_{c}_key" for c in TEXTS))
 
     apart = on_curve(facts).groupBy("_hash").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last")).where("_first < _last")
-    apart = bounded(settled(apart.select("_hash", "_first")), SMALL)
-    return on_curve(rows).join(apart, "_hash", "left").withColumn("_place", F.coalesce("_first", "_place")).drop("_first")
+    apart = settled(apart.select("_hash", "_first"))
+    return left_join_few(on_curve(rows), apart, ["_hash"], F.xxhash64("_hash")).withColumn("_place", F.coalesce("_first", "_place")).drop("_first")
 
 
 def _cut(rows: DataFrame, shards: int) -> DataFrame:
