@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .derived_queries import RULES
 from .operators.crawl import AGENTS
-from .oracles import _HOST, _PATH, _TITLE, _tags, _terms
+from .oracles import _HOST, _PATH, _SEGMENT, _TITLE, _clean, _tags, _terms
 
 
 def _text(x: str) -> str:
@@ -66,3 +66,17 @@ m AS (SELECT page_id, count(*) AS n FROM p GROUP BY page_id)
 SELECT t.page_id, coalesce(m.n, 0)::INT AS n_peers, coalesce(c.n, 0)::INT AS n_clashes, coalesce(shown, '') AS clashes, coalesce(d.n, 0)::INT AS n_twins, CASE WHEN coalesce(m.n, 0) < 3 THEN NULL WHEN coalesce(c.n, 0) = 0 THEN 3 WHEN c.n = 1 THEN 2 WHEN c.n <= 3 THEN 1 ELSE 0 END AS "K1"
 FROM t LEFT JOIN m USING (page_id) LEFT JOIN c USING (page_id) LEFT JOIN d USING (page_id)""",
 }
+
+# What was spliced in follows from page_id; only the text of the page itself is read for the values that should stand in it.
+_MISSED = f"""SELECT page_id, CASE page_id % 7 WHEN 1 THEN [12.5::VARCHAR] WHEN 6 THEN ['4.5', '7', 'True'] END AS told, {_clean("html")} || CASE page_id % 2 WHEN 0 THEN ' 12.5 ' ELSE '' END AS body, url FROM pages"""
+DERIVED_ORACLES |= {
+    "page_jsonld_types": "SELECT page_id, [0, 1, 1, 2, 1, 1, 1][(page_id % 7 + 1)::INT] AS blocks, CASE WHEN page_id % 7 IN (2, 5) THEN 1 ELSE 0 END AS broken, ['', 'Article', 'Product', 'FAQPage,Organization', 'Thing', 'Article', 'HowTo,Thing'][(page_id % 7 + 1)::INT] AS types FROM pages",
+    "page_jsonld_values": """SELECT page_id, key, value FROM pages JOIN (VALUES (1, '@type', 'Article'), (1, 'price', '12.5'), (3, '@type', 'Organization'), (3, '@type', 'FAQPage'), (4, '@type', 'Thing'), (6, 'ratingValue', '4.5'), (6, 'reviewCount', '7'), (6, 'ratingCount', 'True')) v(rest, key, value) ON page_id % 7 = rest""",
+    "page_declared_items": f"""WITH m AS ({_MISSED}), n AS (SELECT page_id, len(list_filter(told, lambda x: NOT contains(body, x))) AS missed FROM m)
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN contains(url, '#') THEN 1 ELSE 3 END WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS "T4", CASE page_id % 7 WHEN 0 THEN 0 WHEN 2 THEN 0 WHEN 5 THEN 0 ELSE 3 END AS "T7", [0, 2, 2, 3, 1, 2, 3][(page_id % 7 + 1)::INT] AS "T8",
+CASE missed WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS "T9", CASE page_id % 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE CASE WHEN {_SEGMENT} IS NULL THEN NULL ELSE 0 END END AS "I3" FROM pages JOIN n USING (page_id)""",
+    "page_descriptions": f"SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'Page ' || page_id || ' of ' || {_HOST} || ', one of many' WHEN 3 THEN 'it' END AS description FROM pages",
+    "page_image_list": """SELECT page_id, pos, CASE WHEN rest = 1 AND pos = 0 THEN '/i/' || page_id || '.png' ELSE src END AS src, CASE WHEN rest = 1 AND pos = 0 THEN 'pic ' || page_id ELSE alt END AS alt FROM pages JOIN (VALUES (1, 0, NULL, NULL), (1, 1, '', ''), (2, 0, '/j.png', NULL)) v(rest, pos, src, alt) ON page_id % 3 = rest""",
+    "page_outside_domains": "SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'in.net,out' || page_id % 10 || '.org' ELSE '' END AS domains FROM pages",
+    "page_noindex_signals": "SELECT page_id AS id, 'meta' AS place FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT page_id, 'header' FROM pages WHERE page_id % 14 = 0",
+}

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
+from .operators import jsonld_walk
 from .operators import peers, redirects, robots_index
-from .plans import site_items
+from .operators import probes as P
+from .plans import page_audit, site_items
 from .sources.tables import pages, table
 
 
@@ -135,4 +137,81 @@ def page_peer_items(spark, sf_dir):
     return told.select(F.col("page").alias("page_id"), "n_peers", F.size("clashes").alias("n_clashes"), shown.alias("clashes"), F.size("twins").alias("n_twins"), "K1")
 
 
-_QUERIES = [page_robots_verdicts, page_index_gate, site_robots_observation, site_robots_groups, site_blocked_classes, site_sitemap_lines, site_noindex_lines, page_redirects, page_canonical_landing, page_peer_items]
+# --- pages with what the tables lack, spliced in by page_id -----------------------------------------------------------
+
+#: JSON-LD by page_id modulo 7: fine, with a comma too many, twice, with a key twice, with text behind it, and deep.
+LD = [
+    [],
+    ['{"@type": "Article", "offers": {"price": 12.50}}'],
+    ['{"@type": "Product", "price": "3",}'],
+    ['{"@type": "Organization"}', '{"@type": "FAQPage", "mainEntity": []}'],
+    ['{"@type": "Article", "@type": "Thing"}'],
+    ['{"@type": "Article"} and more'],
+    ['{"@graph": [{"@type": ["HowTo", "Thing"], "aggregateRating": {"ratingValue": 4.50, "reviewCount": 7, "ratingCount": true, "best": null}}]}'],
+]
+
+
+def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a description, canonical and alternate links, robots, JSON-LD, images, links and prices, each on some pages alone."""
+    k, url, host = F.col("page_id"), F.col("url"), U.bare_host(F.col("url"))
+
+    def one_of(n: int, *texts) -> Column:
+        return F.element_at(F.array(*(F.lit(t) if isinstance(t, str) else t for t in texts)), (k % n + 1).cast("int"))
+
+    whole = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    link = lambda rel, href: whole(f'<link rel="{rel}" href="', href, '">')
+    own = whole(F.lit('<link rel="alternate" hreflang="'), U.lang_segment(url), '" href="', url, '">')
+    head = F.concat(
+        one_of(4, "", whole('<meta name="description" content="Page ', k, " of ", host, ', one of many">'), '<meta content="x" name="description">', whole("<META NAME='description' CONTENT='it's ", k, "'>")),
+        one_of(5, "", link("canonical", url), link("canonical", whole("/rel/", k)), whole(link("canonical", url), link("canonical", url)), link("canonical", F.when(url.startswith("https"), F.regexp_replace(url, "^https", "http")).otherwise(F.regexp_replace(url, "^http", "https")))),
+        one_of(3, "", whole(F.coalesce(own, F.lit("")), '<link rel="alternate" hreflang="X-Default" href="/">'), F.coalesce(own, F.lit(""))),
+        one_of(10, "<meta name='robots' content='\tNoIndex, follow'>", *["<meta name='robots' content='index'>"] * 9),
+        one_of(7, *("".join(f'<script type="application/ld+json">{x}</script>' for x in blocks) for blocks in LD)),
+    )
+    tail = F.concat(
+        one_of(2, "<p>It costs 12.5 now</p>", "<p>No price</p>"),
+        one_of(3, "", whole('<img src="/i/', k, '.png" alt="pic ', k, '"><IMG alt="">'), "<img src='/j.png'>"),
+        one_of(4, "", whole('<a href="https://www.Out', k % 10, '.org/x">o</a><a href="http://in.net:80">i</a>'), whole('<a href="https://', host, '/own">own</a>'), "<a href='/in'>in</a>"),
+    )
+    return pages(spark, sf_dir).withColumn("html", F.concat(F.regexp_replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), head)), tail))
+
+
+def _ld(spark, sf_dir):
+    return jsonld_walk.page_facts(spliced(spark, sf_dir))
+
+
+def page_jsonld_types(spark, sf_dir):
+    return _ld(spark, sf_dir).select("page_id", "ld.blocks", "ld.broken", F.array_join("ld.types", ",").alias("types"))
+
+
+def page_jsonld_values(spark, sf_dir):
+    return _ld(spark, sf_dir).select("page_id", F.explode("ld.pairs").alias("p")).select("page_id", "p.key", "p.value")
+
+
+def page_declared_items(spark, sf_dir):
+    """T4, T7, T8, T9 and I3 of the pages, with what their heads declare."""
+    more = {"T9": site_items.declared_score(F.col("body"), F.col("ld.pairs"))}
+    return page_audit.audit_items(page_audit.facts(spliced(spark, sf_dir)), more).select("page_id", "T4", "T7", "T8", "T9", "I3")
+
+
+def page_descriptions(spark, sf_dir):
+    return spliced(spark, sf_dir).select("page_id", T.meta_description(F.col("html")).alias("description"))
+
+
+def page_image_list(spark, sf_dir):
+    found = spliced(spark, sf_dir).select("page_id", F.posexplode(T.images(F.col("html"))).alias("pos", "i"))
+    return found.select("page_id", "pos", "i.src", "i.alt")
+
+
+def page_outside_domains(spark, sf_dir):
+    outside = T.external_links(F.col("html"), U.bare_host(F.col("url")))
+    return spliced(spark, sf_dir).select("page_id", F.array_join(U.domains(outside), ",").alias("domains"))
+
+
+def page_noindex_signals(spark, sf_dir):
+    """Places that keep a page out of indexes; every fourteenth answer has a header that does."""
+    header = F.when(F.col("page_id") % 14 == 0, "none, NOINDEX")
+    return P.noindex_signals(spliced(spark, sf_dir).select(F.col("page_id").alias("id"), T.meta_robots(F.col("html")).alias("meta_robots"), header.alias("header")))
+
+
+_QUERIES = [page_robots_verdicts, page_index_gate, site_robots_observation, site_robots_groups, site_blocked_classes, site_sitemap_lines, site_noindex_lines, page_redirects, page_canonical_landing, page_peer_items, page_jsonld_types, page_jsonld_values, page_declared_items, page_descriptions, page_image_list, page_outside_domains, page_noindex_signals]

@@ -23,6 +23,11 @@ FACTS = T.StructType([T.StructField("blocks", T.IntegerType()), T.StructField("b
 NAMES = FACTS.names
 
 
+def _text(x) -> str:
+    """x in print; a half of a surrogate pair, which no text can hold, becomes a question mark."""
+    return str(x).encode("utf-8", "replace").decode()
+
+
 def _walked(tree) -> tuple[list[str], list[dict]]:
     """Types, and scalar values with their keys, of all objects of a tree."""
     types, pairs, left = [], [], [tree]
@@ -30,8 +35,8 @@ def _walked(tree) -> tuple[list[str], list[dict]]:
         node = left.pop()
         if isinstance(node, dict):
             kind = node.get("@type")
-            types += [kind] if isinstance(kind, str) else [k for k in kind if isinstance(k, str)] if isinstance(kind, list) else []
-            pairs += [{"key": k, "value": str(v)} for k, v in node.items() if isinstance(v, str | int | float)]
+            types += [_text(kind)] if isinstance(kind, str) else [_text(k) for k in kind if isinstance(k, str)] if isinstance(kind, list) else []
+            pairs += [{"key": _text(k), "value": _text(v)} for k, v in node.items() if isinstance(v, str | int | float)]
             left += node.values()
         elif isinstance(node, list):
             left += node
