@@ -54,6 +54,41 @@ def similar_pairs(terms: DataFrame, threshold: float = 0.6) -> DataFrame:
     return met.withColumn("jaccard", both / (F.size("x") + F.size("y") - both)).where(F.col("jaccard") >= threshold).select("site", "a", "b", "jaccard")
 
 
+def similar_classes(terms: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages of a site with equal term sets as one class, and classes that are similar, of (site, page_id, term).
+
+    (site, class, n_pages): class is the least page_id.  (site, page_id, class): which pages belong to it.
+    (site, a, b, pages_a, pages_b, jaccard): similar classes, each pair once.  Pairs inside of a class are known by its
+    number of pages alone and are never made; of the rest see ``similar_pairs``, whose prefixes are those of classes here.
+    """
+    terms = settled(terms.select("site", "page_id", "term").distinct())
+    sets = terms.groupBy("site", "page_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))  # a page's own few terms
+    sets = settled(sets.withColumn("key", F.xxhash64("terms")))
+    classes = settled(sets.groupBy("site", "key", "terms").agg(F.min("page_id").alias("class"), F.count(F.lit(1)).alias("n_pages")))
+    members = sets.join(classes.select("site", "key", F.col("terms").alias("_terms"), "class"), ["site", "key"]).where(F.col("terms") == F.col("_terms")).select("site", "page_id", "class")
+
+    posted = classes.select("site", "class", F.explode("terms").alias("term"))
+    common = settled(posted.groupBy("site", "term").agg(F.count(F.lit(1)).alias("classes")))
+    ordered = posted.join(common, ["site", "term"]).groupBy("site", "class").agg(F.transform(F.array_sort(F.collect_list(F.struct("classes", "term"))), lambda x: x["term"]).alias("order"))
+    n = F.size("order")
+    prefix = F.slice("order", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    first = settled(ordered.select("site", "class", n.alias("n"), F.explode(prefix).alias("term")))
+    a, b = (first.select("site", "term", F.col("class").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    met = a.join(b, ["site", "term"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("site", "a", "b").distinct()
+    side = lambda x: classes.select("site", F.col("class").alias(x), F.col("terms").alias(f"terms_{x}"), F.col("n_pages").alias(f"pages_{x}"))
+    met = met.join(side("a"), ["site", "a"]).join(side("b"), ["site", "b"])
+    both = F.size(F.array_intersect("terms_a", "terms_b"))
+    met = met.withColumn("jaccard", both / (F.size("terms_a") + F.size("terms_b") - both)).where(F.col("jaccard") >= threshold)
+    return classes.select("site", "class", "n_pages"), members, met.select("site", "a", "b", "pages_a", "pages_b", "jaccard")
+
+
+def alike_pages(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(site, pairs): how many pairs of alike pages a site has, from ``similar_classes``, without one of them."""
+    inside = classes.select("site", (F.col("n_pages") * (F.col("n_pages") - 1) / 2).cast("long").alias("n"))
+    across = links.select("site", (F.col("pages_a") * F.col("pages_b")).alias("n"))
+    return inside.unionByName(across).groupBy("site").agg(F.sum("n").alias("pairs")).where("pairs > 0")
+
+
 def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Items whose score changed between two runs of (entity, item, score), NULL being unobserved."""
     both = new.withColumnRenamed("score", "new").join(old.withColumnRenamed("score", "old"), ["entity", "item"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .order_statistics import exact_medians
 from .ordering import settled
 from .relational import term_coverage
 
@@ -52,9 +53,10 @@ def without_noise(terms: DataFrame, brands: DataFrame) -> DataFrame:
 
 def best_pages(traits: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, page): of each term the page with the most facts, then the most structure, then the first one."""
-    held = traits.select(F.explode("terms").alias("term"), F.struct("*").alias("page")).join(terms.select("term").distinct(), "term", "left_semi")
-    structure = F.col("page.n_tables") + F.size("page.types") + F.col("page.n_cited")
-    return held.groupBy("term").agg(F.max_by("page", F.struct("page.density", structure, -F.col("page.page_id"))).alias("page"))
+    keys = traits.select("page_id", "density", (F.col("n_tables") + F.size("types") + F.col("n_cited")).alias("structure"), F.explode("terms").alias("term"))
+    held = keys.join(terms.select("term").distinct(), "term", "left_semi")
+    best = held.groupBy("term").agg(F.max(F.struct("density", "structure", (-F.col("page_id")).alias("minus"))).alias("b")).select("term", (-F.col("b.minus")).alias("page_id"))
+    return best.join(traits.select("page_id", F.struct("*").alias("page")), "page_id").select("term", "page")
 
 
 def _reasons(*tests: tuple[Column, str], otherwise: str) -> Column:
@@ -74,7 +76,9 @@ def why_it_works(page: str) -> Column:
 def own_best(traits: DataFrame, mine: str) -> DataFrame:
     """One row: the most that any page of one's own site has, NULL without a page."""
     own = traits.where(F.col("site") == mine)
-    return own.agg(F.max("density").alias("my_density"), F.array_distinct(F.flatten(F.collect_set("types"))).alias("my_types"), F.max("n_tables").alias("my_tables"), F.max("n_cited").alias("my_cited"))
+    # Each type once: there are as many as the vocabulary has, whatever the number of pages.
+    types = own.select(F.explode("types").alias("type")).distinct().agg(F.collect_list("type").alias("my_types"))
+    return own.agg(F.max("density").alias("my_density"), F.max("n_tables").alias("my_tables"), F.max("n_cited").alias("my_cited")).crossJoin(types)  # one row each
 
 
 def you_lack(page: str) -> Column:
@@ -110,11 +114,15 @@ def topic_pages(found: DataFrame, questions: DataFrame) -> DataFrame:
 
 def bench(traits: DataFrame, *group: str) -> DataFrame:
     """Medians and counts of comparable pages, what none of them does, and whether they are enough for a line."""
+    traits = settled(traits)
+    medians = exact_medians(traits, list(group), ["density", "n_words"])
+    medians = medians.select(*group, F.col("density").alias("median_density"), F.col("n_words").cast("long").alias("median_words"))
     told = traits.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("observed"), F.median("density").alias("median_density"), F.median("n_words").cast("long").alias("median_words"), F.count_if(F.col("n_tables") > 0).alias("with_table"),
+        F.count(F.lit(1)).alias("observed"), F.count_if(F.col("n_tables") > 0).alias("with_table"),
         F.count_if(F.array_contains("types", "FAQPage")).alias("with_faq"), F.count_if(F.col("n_images") > 0).alias("with_image"), F.count_if("has_video").alias("with_video"), F.count_if(F.col("n_cited") > 0).alias("with_citation"),
     )
     gaps = F.array_compact(F.array(*(F.when(F.col(f"with_{x}") == 0, F.lit(x)) for x in ("table", "faq", "video", "citation"))))
+    told = told.join(medians, list(group), "left").select(*group, "observed", "median_density", "median_words", "with_table", "with_faq", "with_image", "with_video", "with_citation")
     return told.withColumns({"gaps": F.array_join(gaps, ","), "usable": F.col("observed") >= 3})
 
 

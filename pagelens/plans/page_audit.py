@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import jsonld as J
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators.ordering import settled
+from ..operators.relational import alike_pages, similar_classes
 from ..sources.tables import reach
-from .site_items import declared_score, shared_score
+from .site_items import declared_score, keyword_overlap, shared_score
 
 # JSON-LD types that describe a page and not its site.
 PAGE_TYPES = "SoftwareApplication WebApplication Product Article FAQPage HowTo BlogPosting NewsArticle Course Recipe Quiz Dataset ItemList".split()
@@ -45,6 +47,15 @@ def facts(pages: DataFrame) -> DataFrame:
 
 def audit_items(page: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
     """page_id and a score for each of ITEMS and of ``more``; NULL is unobserved, and so are all items of a page that is."""
+    return scored_pages(page, more).select("page_id", *ITEMS, *(more or {}))
+
+
+def scored_pages(page: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """page_id, site, ITEMS, ``more`` and terms (of title and h1), from one reading of the pages.
+
+    The scores are settled before titles are counted: pages are parsed once, and the join with the titles is one of two
+    plain tables, which Spark splits where a title stands on very many pages of a site.
+    """
     more = more or {}
     size, title = F.size, F.coalesce("title", F.lit(""))
     first = F.slice("words", 1, 50)
@@ -62,7 +73,6 @@ def audit_items(page: DataFrame, more: dict[str, Column] | None = None) -> DataF
     named = F.exists("hreflang", lambda h: F.lower(h) == "x-default")
     step = lambda x, *cuts: F.when(x >= cuts[0], 3).when(x >= cuts[1], 2).when(x > cuts[2], 1).otherwise(0)
     spoken = F.when(F.col("lang").isNull(), 0).when(F.col("lang").contains("_"), 1).when(segment.isNotNull() & (F.lower(F.substring("lang", 1, 2)) != F.lower(F.substring(segment, 1, 2))), 2).otherwise(3)
-    titled = page.where("title <> ''").groupBy("site", "title").agg((F.count(F.lit(1)) - 1).alias("twins"))
     seen = lambda score, item: F.when(F.col("body").isNotNull(), score).alias(item)
     # Only scores, and no texts, go through the join with the titles.
     scored = page.select(
@@ -77,22 +87,33 @@ def audit_items(page: DataFrame, more: dict[str, Column] | None = None) -> DataF
         seen(F.when(hype == 0, 3).when(hype == 1, 2).when(hype <= 3, 1).otherwise(0), "C4"),
         seen(F.when(F.col("lang").rlike(RIGHT_TO_LEFT) & ~F.col("rtl"), F.least(spoken, F.lit(2))).otherwise(spoken), "I2"),
         seen(F.when((size("hreflang") == 0) & segment.isNull(), None).when(size("hreflang") == 0, 0).when(own & named, 3).when(own, 2).otherwise(1), "I3"),
+        T.terms(F.concat_ws(" ", F.col("title"), F.array_join(F.array_distinct("h1"), " "))).alias("terms"),
         *(seen(score, item) for item, score in more.items()),
-    ).join(titled, ["site", "title"], "left")
+    )
+    scored = settled(scored)
+    titled = scored.where("title <> ''").groupBy("site", "title").agg((F.count(F.lit(1)) - 1).alias("twins"))
+    scored = scored.join(settled(titled), ["site", "title"], "left")
     titles = F.when(title == "", 0).when(twins >= 2, 0).when(twins == 1, 1).when(F.col("wide").between(15, 60), 3).otherwise(2)
-    return scored.withColumn("I1", F.when(F.col("seen"), titles)).select("page_id", *ITEMS, *more)
+    return scored.withColumn("I1", F.when(F.col("seen"), titles)).select("page_id", "site", "terms", *ITEMS, *more)
+
+
+def site_overlap(scored: DataFrame) -> DataFrame:
+    """(site, K1) of ``scored_pages``."""
+    classes, _, links = similar_classes(scored.select("site", "page_id", F.explode("terms").alias("term")))
+    return keyword_overlap(alike_pages(classes, links), scored.select("site"))
 
 
-def all_items(pages: DataFrame, by_page: list[DataFrame], by_site: list[DataFrame], items: list[str]) -> DataFrame:
-    """page_id and each of ``items``: those of audit_items with K2 and T9, from one reading of the pages, and those of tables by page_id and by site.
+def all_items(pages: DataFrame, by_page: list[DataFrame], by_site: list[DataFrame], items: list[str], overlap: bool = False) -> DataFrame:
+    """page_id and each of ``items``: those of scored_pages with K2 and T9, from one reading of the pages, and those of tables by page_id and by site.
 
-    NULL is unobserved, as are items without a table.
+    With ``overlap``, K1 is that of all pages of a site.  NULL is unobserved, as are items without a table.
     """
     places = (F.col("title"), F.array_join("h1", " "), F.regexp_replace(U.path(F.col("url")), "[-_/]+", " "), F.get(T.sentences(F.col("body")), F.lit(0)))
     more = {"K2": shared_score(*places), "T9": declared_score(F.col("body"), F.col("ld.pairs"))}
-    wide = audit_items(facts(pages), more).join(pages.select("page_id", U.bare_host(F.col("url")).alias("site")), "page_id")
+    wide = settled(scored_pages(facts(pages), more))
+    by_site = [site_overlap(wide), *by_site] if overlap else by_site
     for found in by_page:
-        wide = wide.join(found, "page_id", "left")
+        wide = wide.join(settled(found), "page_id", "left")
     for found in by_site:
-        wide = wide.join(found, "site", "left")
+        wide = wide.join(settled(found), "site", "left")
     return wide.select("page_id", *(F.col(i) if i in wide.columns else F.lit(None).cast("int").alias(i) for i in items))

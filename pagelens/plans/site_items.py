@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonld as J
 from ..functions import text as T
+from ..operators.ordering import settled
 from ..sources.tables import reach
 
 # JSON-LD fields that the body should show, and the entries that a sitemap may hold.
@@ -65,9 +66,8 @@ def declared_values(pages: DataFrame) -> DataFrame:
 
 
 def keyword_overlap(pairs: DataFrame, peers: DataFrame) -> DataFrame:
-    """K1 of each site from its pairs of alike pages and its pages (site): few pages leave it unobserved."""
-    count = pairs.groupBy("site").agg(F.count(F.lit(1)).alias("pairs"))
-    seen = peers.groupBy("site").agg(F.count(F.lit(1)).alias("peers")).join(count, "site", "left")
+    """K1 of each site from its number of pairs of alike pages (site, pairs) and its pages (site): few pages leave it unobserved."""
+    seen = peers.groupBy("site").agg(F.count(F.lit(1)).alias("peers")).join(pairs, "site", "left")
     n = F.coalesce("pairs", F.lit(0))
     return seen.select("site", F.when(F.col("peers") < 3, None).when(n == 0, 3).when(n == 1, 2).when(n <= 3, 1).otherwise(0).alias("K1"))
 
@@ -86,8 +86,10 @@ def shared_term(page: DataFrame) -> DataFrame:
 
 def repeated_heads(page: DataFrame) -> DataFrame:
     """page_id and M7 of (page_id, site, title, description) against the other pages of the site."""
+    page = settled(page)
     titles = page.where("title <> ''").groupBy("site", "title").agg((F.count(F.lit(1)) - 1).alias("same_title"))
     texts = page.where("description <> ''").groupBy("site", "description").agg((F.count(F.lit(1)) - 1).alias("same_text"))
     peers = page.groupBy("site").agg(F.count(F.lit(1)).alias("peers"))
-    full = page.join(peers, "site").join(titles, ["site", "title"], "left").join(texts, ["site", "description"], "left")
+    # Settled, the counts are plain tables, and Spark splits what a site or title with very many pages brings to a join.
+    full = page.join(settled(peers), "site").join(settled(titles), ["site", "title"], "left").join(settled(texts), ["site", "description"], "left")
     return full.select("page_id", F.when(F.col("peers") < 2, None).when(F.col("same_title") >= 2, 0).when(F.col("same_title") == 1, 1).when(F.col("same_text") > 0, 2).otherwise(3).alias("M7"))

@@ -12,6 +12,8 @@ from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
 from .operators import redirects
+from .operators.order_statistics import exact_medians
+from .operators.ordering import settled
 from .operators import probes as P
 from .operators import relational as R
 from .plans import draft_lane, meta_lane, page_audit, rubric, site_items
@@ -118,7 +120,10 @@ def systematic_sample(spark, sf_dir):
 
 def bench_summary(spark, sf_dir):
     f = page_audit.facts(pages(spark, sf_dir)).select("site", F.size("words").alias("n_words"), "n_lists", "n_tables", "n_images", (F.size(F.filter("blocks", T.is_fact)) / F.nullif(F.size("blocks"), F.lit(0))).alias("density"))
-    return f.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"), F.median("n_words").cast("long").alias("median_words"), F.round(F.median("density"), 9).alias("median_density"), F.count_if(F.col("n_lists") > 0).alias("with_lists"), F.count_if(F.col("n_tables") > 0).alias("with_tables"), F.count_if(F.col("n_images") > 0).alias("with_images"))
+    f = settled(f)
+    medians = exact_medians(f, ["site"], ["n_words", "density"]).select("site", F.col("n_words").cast("long").alias("median_words"), F.round("density", 9).alias("median_density"))
+    told = f.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("n_lists") > 0).alias("with_lists"), F.count_if(F.col("n_tables") > 0).alias("with_tables"), F.count_if(F.col("n_images") > 0).alias("with_images"))
+    return told.join(medians, "site", "left")
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------
@@ -135,7 +140,7 @@ def audit_items(spark, sf_dir):
 def _all_scores(spark, sf_dir):
     """Every item of the rubric; those on probes, robots rules, sitemaps and redirects have no table here and are unobserved."""
     items = list(rubric.AUDIT_WEIGHTS)
-    wide = page_audit.all_items(pages(spark, sf_dir), [], [keyword_overlap(spark, sf_dir)], items)
+    wide = page_audit.all_items(pages(spark, sf_dir), [], [], items, overlap=True)
     return rubric.long_scores(wide, "page_id", items)
 
 
@@ -335,7 +340,8 @@ def declared_values(spark, sf_dir):
 
 
 def keyword_overlap(spark, sf_dir):
-    return site_items.keyword_overlap(R.similar_pairs(_terms(spark, sf_dir)), table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("site")))
+    classes, _, links = R.similar_classes(_terms(spark, sf_dir))
+    return site_items.keyword_overlap(R.alike_pages(classes, links), table(spark, sf_dir, "pages").select(U.bare_host(F.col("url")).alias("site")))
 
 
 def shared_term(spark, sf_dir):
