@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.text import stripped
 from ..sources.tables import reach
+from .order_statistics import first_rows
 from .robots_index import page_verdicts
 
 # Where sitemaps are looked for, how large they may be, and how much of them is read; agents by class.
@@ -177,6 +178,21 @@ def is_date(text: Column) -> Column:
     return F.coalesce((day & timed) | loose, F.lit(False))
 
 
+def _issues(site: Column) -> dict[str, Column]:
+    """The tests of an entry (loc, lastmod) for each kind of issue that has examples."""
+    loc, when = F.col("loc"), F.nullif("lastmod", F.lit(""))
+    absolute = loc.rlike("^https?://")
+    host = F.regexp_replace(F.regexp_extract(F.lower(loc), r"^https?://([^/?#:]*)", 1), r"^www\.", "")
+    return {"relative": ~absolute, "cross_host": absolute & (host != site), "fragment": loc.contains("#"), "lastmod_format": when.isNotNull() & ~is_date(when)}
+
+
+def issue_examples(entries: DataFrame, k: int = 2) -> DataFrame:
+    """(site, issue, nth, example): the first k entries of (site, pos, loc, lastmod) with each issue, by their place in the list."""
+    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("issue"), (F.col("lastmod") if name == "lastmod_format" else F.col("loc")).alias("example"))) for name, test in _issues(F.col("site")).items())))
+    rows = entries.select("site", "pos", F.explode(found).alias("i")).select("site", "i.issue", "pos", "i.example")
+    return first_rows(rows, ["site", "issue"], ["pos", "example"], k).select("site", "issue", "nth", "example")
+
+
 def sitemap_hygiene(entries: DataFrame) -> DataFrame:
     """Counts of each kind of issue of a site's entries, with up to two examples of each, in one aggregate."""
     loc, when = F.col("loc"), F.nullif("lastmod", F.lit(""))

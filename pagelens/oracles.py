@@ -112,7 +112,7 @@ SELECT *, CASE WHEN dead >= 2 THEN 0 WHEN dead = 1 THEN 1 WHEN redirected > 0 TH
     "redirect_chain": """WITH RECURSIVE h AS (SELECT * FROM (VALUES ('http://a/', 301, 'https://a/'), ('https://a/', 302, 'https://a/home'), ('https://a/home', 200, NULL), ('https://loop/', 301, 'https://loop/'), ('https://gone/', 404, NULL)) v(url, status, location)),
 w AS (SELECT url AS start, url, 0 AS hops FROM h UNION ALL SELECT start, location, hops + 1 FROM w JOIN h USING (url) WHERE location IS NOT NULL AND hops < 5)
 SELECT start, url, CASE WHEN hops < 5 THEN status END AS status, hops FROM w LEFT JOIN h USING (url) QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops DESC) = 1""",
-    "draft_items": """SELECT * FROM (VALUES (1, 1, 1, 3, 3, 3, 2, 3, 3, 3, 2, 1, 1), (2, NULL, 0, NULL, 1, 0, NULL, 1, 1, 0, 0, 0, 0), (3, 0, 0, NULL, NULL, NULL, NULL, 0, 3, 0, 0, 0, 0)) v(id, "WG1", "W1", "W2", "W3", "W4", "W5", "W6", "W7", "W8", "W9", "D1", "D2")""",
+    "draft_items": """SELECT *, 3 AS "C4" FROM (VALUES (1, 1, 1, 3, 3, 3, 2, 3, 3, 3, 2, 1, 1), (2, NULL, 0, NULL, 1, 0, NULL, 1, 1, 0, 0, 0, 0), (3, 0, 0, NULL, NULL, NULL, NULL, 0, 3, 0, 0, 0, 0)) v(id, "WG1", "W1", "W2", "W3", "W4", "W5", "W6", "W7", "W8", "W9", "D1", "D2")""",
     "page_draft_items": rf"""{_PAGE}, q AS (SELECT *, {_terms("coalesce(title, '')")} AS asked, lower(array_to_string(words[1:50], ' ')) AS spaced, lower(array_to_string(words[1:50], '')) AS joined, {_LINKS.format("html")} AS links,
 len(list_filter(blocks, lambda b: regexp_matches(b.text, '{_DATED}'))) / nullif(len(blocks), 0) AS ratio, list_filter(blocks, lambda b: regexp_matches(b.text, '{_NUMERIC}')) AS num, len(list_filter(blocks, lambda b: b.tag IN ('p', 'blockquote') AND regexp_matches(b.text, '{DANGLING}'))) AS dang FROM p),
 r AS (SELECT *, len(list_filter(asked, lambda t: contains(spaced, t) OR contains(joined, t))) AS hit, len(list_distinct(list_filter(links, lambda l: l LIKE '/%'))) AS inner_n,

@@ -100,7 +100,7 @@ def traced_numbers(facts: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def draft_items(drafts: DataFrame, sources: DataFrame, densities: DataFrame) -> DataFrame:
-    """id and scores WG1, W1 to W9, D1 and D2 of (id, draft, question, self_host); NULL is unobserved.
+    """id and scores WG1, C4, W1 to W9, D1 and D2 of (id, draft, question, self_host); NULL is unobserved.
 
     What is to be published is the column block, if there is one, and else the draft's fenced block.
     """
@@ -117,9 +117,11 @@ def draft_items(drafts: DataFrame, sources: DataFrame, densities: DataFrame) ->
     valid = F.size(F.array_intersect(types, F.array(*map(F.lit, VALID_TYPES))))
     media = F.arrays_overlap(types, F.array(F.lit("ImageObject"), F.lit("VideoObject")))
     n = F.size("internal")
+    hype = F.aggregate("blocks", F.lit(0), lambda k, b: k + F.regexp_count(b["text"], F.lit(T.MARKETING)))
     own = facts.join(lines(densities), "id", "left").select(
         "id",
         F.when(F.col("has_question"), ((hit >= F.least(F.lit(2), F.size("asked"))) & (F.size("words") >= 20)).cast("int")).alias("WG1"),
+        F.when(hype == 0, 3).when(hype == 1, 2).when(hype <= 3, 1).otherwise(0).alias("C4"),
         F.when(ratio >= line, 3).when(ratio >= 0.6 * line, 2).when(ratio > 0, 1).otherwise(0).alias("W1"),
         F.when(share >= 0.6, 3).when(share >= 0.3, 2).when(share > 0, 1).when(share == 0, 0).alias("W2"),
         F.when(F.col("n_media") == 0, 0).when(F.col("no_alt") | ~F.col("captioned"), 1).when(media, 3).otherwise(2).alias("W6"),

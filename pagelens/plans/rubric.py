@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Audit items with weight (gates have none) and the order in which a failing item is acted on.
@@ -51,3 +51,8 @@ def next_action(scores: DataFrame, items: DataFrame) -> DataFrame:
     """The first failing item of each entity, in the fixed order; entities without one have none."""
     failing = scores.join(F.broadcast(items), "item").where("score < pass_at")
     return failing.groupBy("entity").agg(F.min_by("item", "action_rank").alias("item"))
+
+
+def exit_code(verdict: Column, lane: str) -> Column:
+    """What a command that judges one entity ends with: 0 for PASS; the audit has 1 for all else, the other lanes 2 for REJECT."""
+    return F.when(verdict == "PASS", 0).when((verdict == "REJECT") & F.lit(lane != "audit"), 2).otherwise(1)

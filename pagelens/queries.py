@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import derived_queries, site_queries
+from . import derived_lanes, derived_queries, site_queries
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
@@ -358,13 +358,44 @@ def repeated_heads(spark, sf_dir):
 _QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts, source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, full_scorecard, full_next_action, full_run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain, marketing_hits, dangling_paragraphs, fact_density_docs, lang_vs_url_segment, title_length_class, noindex_signals, sample_liveness, variant_landings, draft_items, page_draft_items, reach_gate, index_gate, sitemap_found, sitemap_score, canonical_landing, declared_values, keyword_overlap, shared_term, repeated_heads]
 
 
+#: Queries on a few inline rows, one for each branch of an operator: tests run them, the driver's list has those on tables.
+INLINE = """
+source_tier meta_items robots_decision redirect_chain noindex_signals variant_landings draft_items index_gate
+sitemap_found canonical_landing robots_observation robots_groups robots_rule_lines blocked_classes robots_sitemap_lines robots_noindex_lines
+blocked_by_server index_gate_of_robots sitemap_discovery sitemap_found_in_crawl sitemap_parse sitemap_limits lastmod_dates joined_links
+inline_audit_items jsonld_types jsonld_values jsonld_consistency page_images external_domains winner_pages noindex_of_answers
+decoded_answers entry_points evidence_scorecard inline_topics topic_pages inline_bench fix_lookup next_fix
+fix_first check_commands meta_branches meta_scorecard draft_block_extract draft_branches draft_scorecard rubric_lines
+html_reports run_changes
+""".split()
+
+
+def _all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in [*_QUERIES, *site_queries._QUERIES, *derived_queries._QUERIES, *derived_lanes._QUERIES]}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [*_QUERIES, *site_queries._QUERIES, *derived_queries._QUERIES]}
+    """The queries that read the given tables."""
+    return {name: f for name, f in _all().items() if name not in INLINE}
 
 
-def oracle_sql() -> dict[str, str]:
+def inline_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _all()[name] for name in INLINE}
+
+
+def _sql() -> dict[str, str]:
+    from .derived_lanes_oracles import LANE_ORACLES
     from .derived_oracles import DERIVED_ORACLES
     from .oracles import ORACLES
     from .site_oracles import SITE_ORACLES
 
-    return ORACLES | SITE_ORACLES | DERIVED_ORACLES
+    return ORACLES | SITE_ORACLES | DERIVED_ORACLES | LANE_ORACLES
+
+
+def oracle_sql() -> dict[str, str]:
+    known = _sql()
+    return {name: known[name] for name in queries() if name in known}
+
+
+def inline_sql() -> dict[str, str]:
+    return {name: _sql()[name] for name in INLINE}

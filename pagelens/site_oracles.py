@@ -106,7 +106,7 @@ c AS (SELECT id, coalesce(sum(2 * score) FILTER (WHERE item <> 'MG1'), 0) AS got
 SELECT id, got::BIGINT AS got, "full", failed_gates, below_floor, unobserved, CASE WHEN failed_gates <> '' THEN 'REJECT' WHEN below_floor <> '' THEN 'REWORK' ELSE 'PASS' END AS verdict FROM c""",
     "draft_block_extract": _rows("id block", (1, "<p>kept 12 GB</p>\n"), (2, "# M\n"), (3, None), (4, None)),
     "draft_branches": _rows("id W2 W3 W5 W6 W8", (1, 3, 3, 3, 3, 3), (2, 3, 3, 0, 1, 2), (3, 3, 3, 2, 2, 1), (4, 0, None, None, 0, 0), (5, 3, 3, 1, 0, 0)),
-    "draft_scorecard": _rows("id failed_gates unobserved verdict", *((k, "D1,D2", "C4,W3,W4,W5,WG1" if k == 4 else "C4,WG1", "REJECT") for k in range(1, 6))),
+    "draft_scorecard": _rows("id failed_gates unobserved verdict", *((k, "D1,D2", "W3,W4,W5,WG1" if k == 4 else "WG1", "REJECT") for k in range(1, 6))),
     "rubric_lines": _rows("nth line", (-2, "| item | kind | weight | passes at |"), (-1, "|-|-|-|-|"), *((k, f"| G{k + 1} | gate | - | 1 |") for k in range(3))),
     "html_reports": _rows(
         "entity html",

@@ -419,7 +419,7 @@ def draft_branches(spark, sf_dir):
 def draft_scorecard(spark, sf_dir):
     drafts = spark.createDataFrame(DRAFTS, "id int, draft string, question string, self_host string")
     sources = spark.createDataFrame([("https://s.org/1", 200, "12 and 1300 and 5")], "url string, status int, text string")
-    wide = draft_lane.draft_items(drafts, sources, spark.createDataFrame([], "id int, density double")).withColumn("C4", F.lit(None).cast("int"))
+    wide = draft_lane.draft_items(drafts, sources, spark.createDataFrame([], "id int, density double"))
     card = rubric.scorecard(rubric.long_scores(wide, "id", list(rubric.WRITE_WEIGHTS)), rubric.rubric(spark, rubric.WRITE_WEIGHTS))
     return card.select(F.col("entity").alias("id"), "failed_gates", "unobserved", "verdict")
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from pagelens.queries import oracle_sql, queries
+from pagelens.queries import inline_queries, inline_sql, oracle_sql, queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -15,11 +15,11 @@ def _rows(columns, rows):
     return sorted(columns), sorted(repr([r[i] for i in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_sql() | inline_sql()))
 def test_query_equals_sql(spark, name):
-    got = queries()[name](spark, DIR)
+    got = (queries() | inline_queries())[name](spark, DIR)
     con = duckdb.connect()
     for f in os.listdir(DIR):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DIR}/{f}'")
-    want = con.sql(oracle_sql()[name])
+    want = con.sql((oracle_sql() | inline_sql())[name])
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(want.columns, want.fetchall())
