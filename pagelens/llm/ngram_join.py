@@ -28,44 +28,67 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import settled
 from . import tokens
+from .columns import bitmap, maybe_in
 from .components import connected_components
 from .shingles import OVERLAPS, overlaps, set_name, sets
 
 WIDTH, PERCENT = 5, 80
-#: Cells of the sketch that orders tokens: 8 MB of counts, whatever the corpus.
-SKETCH_BITS, BLOCKS = 21, 64
+#: Cells of the sketch that orders tokens: 4 MB of counts, whatever the corpus; so many tasks' sketches are added up first.
+SKETCH_BITS, BLOCKS, FAN = 20, 64, 256
 
 
 def _survey(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "k", "size", "node", "block", "counts"]
+        names = ["doc_id", "k", "size", "node", "block", "part", "counts"]
+        part = TaskContext.get().partitionId()
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("k")
             for i, j, row, token in sets(batch.column("text"), width):
                 np.add.at(cells, (token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 size = np.bincount(row, minlength=j - i)
-                yield pa.record_batch([ids.slice(i, j - i), keys.slice(i, j - i), pa.array(size), pa.array(set_name(row, token, size)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+                yield pa.record_batch([ids.slice(i, j - i), keys.slice(i, j - i), pa.array(size), pa.array(set_name(row, token, size)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
         if cells.any():
-            for k, part in enumerate(cells.reshape(BLOCKS, -1)):
-                yield pa.record_batch([*[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+            for k, own in enumerate(_kept(cells).reshape(BLOCKS, -1)):
+                yield pa.record_batch([*[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([part // FAN], pa.int32()), pa.array([own.tobytes()], pa.binary())], names)
 
     return rows
 
 
+def _kept(cells: np.ndarray) -> np.ndarray:
+    """Counts as 32-bit numbers; beyond them the order of tokens no longer matters."""
+    return np.minimum(cells, 2**31 - 1).astype(np.int32)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells: dict[int, np.ndarray] = {}
+    """The sums of each block and part, of which a task holds a few at a time, as rows come sorted."""
+    now, cells = None, None
+    names = ["block", "part", "counts"]
+
+    def out():
+        return pa.record_batch([pa.array([now[0]], pa.int32()), pa.array([now[1] // FAN], pa.int32()), pa.array([_kept(cells).tobytes()], pa.binary())], names)
+
     for batch in batches:
-        for k, raw in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            part = np.frombuffer(raw.as_buffer(), np.int64)
-            cells[k] = cells[k] + part if k in cells else part.copy()
-    for k, part in cells.items():
-        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+        for k, part, raw in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+            if now != (k, part):
+                if now is not None:
+                    yield out()
+                now, cells = (k, part), np.zeros((1 << SKETCH_BITS) // BLOCKS, np.int64)
+            cells += np.frombuffer(raw.as_buffer(), np.int32)
+    if now is not None:
+        yield out()
+
+
+def _merged(sketches: DataFrame) -> DataFrame:
+    """(block, part, counts): sketches of FAN parts as one."""
+    dealt = sketches.repartition(BLOCKS, "block", "part").sortWithinPartitions("block", "part")
+    return dealt.select("block", "part", "counts").mapInArrow(_summed, "block int, part int, counts binary")
 
 
 def _postings(width: int, percent: int, sketch):
@@ -93,11 +116,12 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, k (hash of the text), size (of the set) and c (a name of all that links reach; null without a set) of every row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
-    survey = settled(docs.mapInArrow(_survey(width), "doc_id long, k long, size long, node long, block int, counts binary"))
+    survey = settled(docs.mapInArrow(_survey(width), "doc_id long, k long, size long, node long, block int, part int, counts binary"))
     rows = survey.where("block is null").select("doc_id", "k", "size", "node")
     cells = np.zeros((BLOCKS, (1 << SKETCH_BITS) // BLOCKS), np.int64)
-    for r in survey.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_summed, "block int, counts binary").toLocalIterator():
-        cells[r.block] += np.frombuffer(r.counts, np.int64)
+    # Tasks' sketches are added up FAN at a time, and those sums again; what is left comes to the driver.
+    for r in _merged(_merged(survey.where("block is not null").select("block", "part", "counts"))).toLocalIterator():
+        cells[r.block] += np.frombuffer(r.counts, np.int32)
     sketch = spark.sparkContext.broadcast(np.minimum(cells.ravel(), 2**31 - 1).astype(np.int32))
 
     posted = docs.where("text is not null").select("text").mapInArrow(_postings(width, percent, sketch), "token long, node long, n int, at int")
@@ -105,8 +129,10 @@ def linked_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     posted = settled(posted.join(met, "token", "left_semi").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")))
 
     nodes = rows.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("first")).select("node", "first.*")
-    wanted = nodes.join(posted.select("node").distinct(), "node", "left_semi")
-    wanted = wanted.join(docs, ["doc_id", "k"]).select("node", "text")
+    wanted = settled(nodes.join(posted.select("node").distinct(), "node", "left_semi"))
+    # Only texts whose row a bitmap of fixed size lets through are shuffled.
+    key = F.xxhash64("doc_id", "k")
+    wanted = maybe_in(docs, key, bitmap(key, wanted)).join(wanted, ["doc_id", "k"]).select("node", "text")
     texts = settled(wanted.dropDuplicates(["node"]) if _repeats(rows, "doc_id") else wanted)
 
     def compared(pairs: DataFrame) -> DataFrame:
