@@ -190,8 +190,7 @@ def page_jsonld_values(spark, sf_dir):
 
 def page_declared_items(spark, sf_dir):
     """T4, T7, T8, T9 and I3 of the pages, with what their heads declare."""
-    more = {"T9": site_items.declared_score(F.col("body"), F.col("ld.pairs"))}
-    return page_audit.audit_items(page_audit.facts(spliced(spark, sf_dir)), more).select("page_id", "T4", "T7", "T8", "T9", "I3")
+    return page_audit.audit_items(page_audit.facts(spliced(spark, sf_dir)), declared=True).select("page_id", "T4", "T7", "T8", "T9", "I3")
 
 
 def page_descriptions(spark, sf_dir):

@@ -78,6 +78,16 @@ def blocks(html: Column) -> Column:
     return extract_all(html, BLOCK)
 
 
+def facts_of(blocks: Column) -> Column:
+    """``page_facts`` of blocks that were taken from a page before."""
+    return _page(blocks)
+
+
+def no_facts() -> Column:
+    """``page_facts`` of a page without a block, without Python."""
+    return F.struct(F.lit(0).alias("blocks"), F.lit(0).alias("broken"), F.array().cast("array<string>").alias("types"), F.array().cast("array<struct<key:string,value:string>>").alias("pairs"))
+
+
 def page_facts(html: Column) -> Column:
     """struct<blocks, broken, types, pairs> of the JSON-LD of a page; of a broken block the types in its first characters."""
     return _page(blocks(html))
