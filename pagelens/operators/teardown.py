@@ -107,9 +107,18 @@ def topics(traits: DataFrame, mine: str, top: int | None = TOP) -> DataFrame:
 
 
 def topic_pages(found: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question, topic, page_id): the pages of topics that hold a question; questions are few and stand on every task."""
-    holds = F.lower("topic").contains(F.lower("question"))
-    return found.join(F.broadcast(questions), holds).select("question", "topic", "page_id").distinct()
+    """(question, topic, page_id): the pages of topics that hold a question, by any number of both.
+
+    A question's least run of letters of three, or the whole of a shorter one, has to stand in the topic: they meet on that
+    by an equi-join, and the question is then looked for.
+    """
+    parts = lambda text, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n)))
+    asked = questions.where("question is not null").select("question", F.lower("question").alias("low")).distinct()
+    asked = asked.withColumn("key", F.when(F.char_length("low") < 3, F.col("low")).otherwise(F.array_min(parts(F.col("low"), 3))))
+    topic = F.lower("topic")
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), *(parts(topic, n) for n in (1, 2, 3))))
+    met = found.select("topic", "page_id", F.explode(keys).alias("key")).join(asked, "key").where(topic.contains(F.col("low")))
+    return met.select("question", "topic", "page_id").distinct()
 
 
 def bench(traits: DataFrame, *group: str) -> DataFrame:

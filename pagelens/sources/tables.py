@@ -21,11 +21,16 @@ def results(spark: SparkSession, path: str, columns: str) -> DataFrame:
     return spark.read.schema(columns).json(path)
 
 
+#: Bytes of a table, by core, up to which it may be dealt anew.
+SMALL = 16 << 20
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as their files are split; dealt anew only where there are fewer splits than cores, as with a few small files."""
+    """Pages as their files are split; dealt anew only if they are few and small, so that no large table of HTML is shuffled."""
     found = table(spark, sf_dir, "pages")
     cores = spark.sparkContext.defaultParallelism
-    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, as the scan knows it
+    return found.repartition(cores) if len(found.inputFiles()) < cores and size < SMALL * cores else found
 
 
 # Statuses of a site that is up and turned this request away.

@@ -267,3 +267,40 @@ def test_white_space_of_all_kinds_goes(spark):
 def test_exit_codes(spark, lane, codes):
     df = spark.createDataFrame([("PASS",), ("REWORK",), ("REJECT",)], "v string")
     assert [r[0] for r in df.select(rubric.exit_code(F.col("v"), lane)).collect()] == codes
+
+
+def test_tables_belong_to_their_owner(spark):
+    import os
+
+    from pagelens.operators.ordering import drop_settled, settling
+
+    folder = lambda t: t.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option, None)
+    outside = settled(spark.range(3))
+    with settling(spark):
+        inside = settled(spark.range(4))
+        with settling(spark):
+            inner = folder(settled(spark.range(5)))
+        assert not os.path.exists(inner) and inside.count() == 4
+        drop_settled(spark)
+        assert not os.path.exists(folder(outside)) and inside.count() == 4
+        place = folder(inside)
+    assert not os.path.exists(place) and spark.conf.get(option, None) == before
+    threads = [threading.Thread(target=lambda: settled(spark.range(100)).count()) for _ in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert spark.conf.get(option, None) == before
+    drop_settled(spark)
+
+
+def test_topics_of_questions(spark):
+    from pagelens.operators.teardown import topic_pages
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    topics, questions = [(word(rng.randint(1, 9)), k) for k in range(120)], ["", "A", "ab", *(word(rng.randint(1, 5)) for _ in range(60)), None]
+    got = topic_pages(spark.createDataFrame(topics, "topic string, page_id int"), spark.createDataFrame([(q,) for q in questions], "question string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted({(q, t, k) for q in questions if q is not None for t, k in topics if q.lower() in t})
