@@ -81,9 +81,11 @@ def source_items(facts: DataFrame, sources: DataFrame) -> DataFrame:
     return each.select("id", w3.alias("W3"), w4.alias("W4"))
 
 
-def traced_numbers(facts: DataFrame, sources: DataFrame) -> DataFrame:
+def traced_numbers(facts: DataFrame, sources: DataFrame, compat: bool = True) -> DataFrame:
     """id and W5: whether numbers of cited blocks stand in the first source of their block.
 
+    With ``compat`` a number that is not whole counts as found wherever its source was read; without, it is looked for.
+
     Each number of a source is looked up once, however many drafts claim it, so a source that many drafts cite is read
     for its distinct numbers alone.
     """
@@ -94,12 +96,12 @@ def traced_numbers(facts: DataFrame, sources: DataFrame) -> DataFrame:
     grouped = F.when(plain.rlike(r"^[0-9]{1,18}$"), F.regexp_replace(plain.cast("long").cast("string"), r"(?<=[0-9])(?=([0-9]{3})+$)", ","))
     body = F.coalesce("text", F.lit(""))
     held = claims.select("url", "number").distinct().join(sources.where(reach(F.col("status")) == "ok").select("url", "text"), "url")
-    held = held.select("url", "number", (body.contains(F.col("number")) | body.contains(plain) | F.coalesce(body.contains(grouped), F.lit(False))).alias("found"))
+    held = held.select("url", "number", (body.contains(F.col("number")) | body.contains(plain) | F.coalesce(body.contains(grouped), F.lit(compat) & ~plain.rlike("^[0-9]+$"))).alias("found"))
     got = claims.join(held, ["url", "number"]).groupBy("id").agg(F.sum("times").alias("n"), F.coalesce(F.sum(F.when(~F.col("found"), F.col("times"))), F.lit(0)).alias("miss"))
     return got.select("id", F.when(F.col("miss") == 0, 3).when(F.col("miss") == 1, 2).when(F.col("miss") < F.col("n"), 1).otherwise(0).alias("W5"))
 
 
-def draft_items(drafts: DataFrame, sources: DataFrame, densities: DataFrame) -> DataFrame:
+def draft_items(drafts: DataFrame, sources: DataFrame, densities: DataFrame, compat: bool = True) -> DataFrame:
     """id and scores WG1, C4, W1 to W9, D1 and D2 of (id, draft, question, self_host); NULL is unobserved.
 
     What is to be published is the column block, if there is one, and else the draft's fenced block.
@@ -131,4 +133,4 @@ def draft_items(drafts: DataFrame, sources: DataFrame, densities: DataFrame) ->
         F.col("has_check").cast("int").alias("D1"),
         F.col("listed").cast("int").alias("D2"),
     )
-    return own.join(source_items(facts, sources), "id", "left").join(traced_numbers(facts, sources), "id", "left")
+    return own.join(source_items(facts, sources), "id", "left").join(traced_numbers(facts, sources, compat), "id", "left")

@@ -46,23 +46,28 @@ def facts(pages: DataFrame) -> DataFrame:
     return base.withColumn("words", T.words(F.col("body")))
 
 
-def audit_items(page: DataFrame, more: dict[str, Column] | None = None, declared: bool = False) -> DataFrame:
+def audit_items(page: DataFrame, more: dict[str, Column] | None = None, declared: bool = False, compat: bool = True) -> DataFrame:
     """page_id and a score for each of ITEMS, of ``more`` and, if ``declared``, of T9; NULL is unobserved, and so are all items of a page that is."""
-    return scored_pages(page, more, declared).select("page_id", *ITEMS, *(more or {}), *(["T9"] if declared else []))
+    return scored_pages(page, more, declared, compat).select("page_id", *ITEMS, *(more or {}), *(["T9"] if declared else []))
 
 
-def scored_pages(page: DataFrame, more: dict[str, Column] | None = None, declared: bool = False) -> DataFrame:
+def scored_pages(page: DataFrame, more: dict[str, Column] | None = None, declared: bool = False, compat: bool = True) -> DataFrame:
     """page_id, site, ITEMS, ``more``, T9 and terms (of title and h1), from one reading of the pages.
 
     Pages are parsed once, into a table of scores; JSON-LD, and the text that its values should stand in, is in it for
     pages with blocks alone, and only these go through Python.  Titles are counted in that table, and the join with them is
     one of two plain tables, which Spark splits where a title stands on very many pages of a site.
+
+    With ``compat``, C2 looks for terms in the first words joined by spaces alone, where the characters of a text in Han
+    stand apart and no pair of them is found; without, also in the words as they follow one another.
     """
     more = more or {}
     size, title = F.size, F.coalesce("title", F.lit(""))
     first = F.slice("words", 1, 50)
     in_nav = F.size(F.filter(first, lambda w: F.array_contains(F.col("nav"), F.lower(w)))) / F.greatest(F.lit(1), F.size(first))
-    hit = F.size(F.array_intersect(T.terms(F.concat_ws(" ", title, F.coalesce("description", F.lit("")))), T.terms(F.array_join(first, " "))))
+    said = T.terms(F.array_join(first, " "))
+    said = said if compat else F.array_union(said, T.terms(F.array_join(first, "")))
+    hit = F.size(F.array_intersect(T.terms(F.concat_ws(" ", title, F.coalesce("description", F.lit("")))), said))
     fact = F.size(F.filter("blocks", T.is_fact)) / F.nullif(size("blocks"), F.lit(0))
     hype = F.aggregate("blocks", F.lit(0), lambda n, b: n + F.regexp_count(b["text"], F.lit(T.MARKETING)))
     types, n_ld, broken = F.col("ld.types"), F.col("ld.blocks"), F.col("ld.broken")

@@ -304,3 +304,31 @@ def test_topics_of_questions(spark):
     topics, questions = [(word(rng.randint(1, 9)), k) for k in range(120)], ["", "A", "ab", *(word(rng.randint(1, 5)) for _ in range(60)), None]
     got = topic_pages(spark.createDataFrame(topics, "topic string, page_id int"), spark.createDataFrame([(q,) for q in questions], "question string")).collect()
     assert sorted(tuple(r) for r in got) == sorted({(q, t, k) for q in questions if q is not None for t, k in topics if q.lower() in t})
+
+
+# Settings that keep or mend a quirk
+
+
+def test_first_words_in_han(spark):
+    html = "<html lang='zh'><title>生成器</title><h1>x</h1><p>生成器 转换 工具</p>"
+    page = page_audit.facts(spark.createDataFrame([(1, "https://x.com/", html)], "page_id int, url string, html string"))
+    assert [page_audit.audit_items(page, compat=c).first().C2 for c in (True, False)] == [0, 3]
+
+
+def test_decimals_in_sources(spark):
+    from pagelens.plans import draft_lane
+
+    block = "<p>It has 12.5 GB and 40 GB, says <a href='https://s.org/1'>s</a>.</p>"
+    drafts = spark.createDataFrame([(1, block, block, None, None)], "id int, draft string, block string, question string, self_host string")
+    sources = spark.createDataFrame([("https://s.org/1", 200, "40 only")], "url string, status int, text string")
+    none = spark.createDataFrame([], "id int, density double")
+    assert [draft_lane.draft_items(drafts, sources, none, compat=c).first().W5 for c in (True, False)] == [3, 2]
+
+
+def test_extra_peers(spark):
+    pages = spark.createDataFrame([(k, "s", f"https://s/{k}", f"t{k}", [f"t{k}", "all"]) for k in range(4)], "page int, site string, url string, title string, terms array<string>")
+    entries = spark.createDataFrame([("s", k, f"https://s/{k}") for k in range(3)], "site string, pos int, url string")
+    extra = spark.createDataFrame([(0, "https://s/1"), (0, "https://s/3"), (0, "https://s/3"), (0, "https://s/none"), (3, "https://s/3")], "page int, url string")
+    for compat, want in ((True, {0: (6, 2, 1), 1: (3, 0, 3), 2: (3, 0, 3), 3: (5, 1, 2)}), (False, {0: (4, 0, 3), 1: (3, 0, 3), 2: (3, 0, 3), 3: (4, 0, 3)})):
+        got = peers.peer_items(peers.page_peers(pages, entries, extra=extra, compat=compat)).collect()
+        assert {r.page: (r.n_peers, len(r.clashes), r.K1) for r in got} == want
