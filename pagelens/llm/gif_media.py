@@ -9,7 +9,7 @@ more, and a page's disposal is the one (leave it, go back to what was there befo
 pixels of the next page are right.  Pages are LZW-coded; a clear code follows when a table is full.
 
 Cases: a null text is an empty one; a text's bytes are padded with 0 to a positive multiple of 64; rows of equal texts
-have equal values; an empty table gives an empty table; other columns are ignored.  Of files a null, or one that is no
+have equal values; a null doc_id stays one; an empty table gives an empty table; other columns are ignored.  Of files a null, or one that is no
 whole GIF, has an error and no frames; bytes behind the end are ignored, and pixels beyond the canvas are not shown.
 """
 

@@ -9,8 +9,8 @@ in a global order of class, length and document, and a piece's rank in its class
 Only tokenizers that drop white space are taken: the ids of a text are then those of its words, each different word of
 a run is looked up once, and only words that a worker has not met are encoded.
 
-Cases: a null text is an empty one: its only id is the end id; rows repeat as they are; an empty table gives an empty
-table; other columns are ignored.
+Cases: a null text is an empty one: its only id is the end id; a null doc_id stays one; rows repeat as they are; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

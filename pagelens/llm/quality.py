@@ -9,8 +9,9 @@ doc_id; weights bring the labels back to their shares among all labelled rows.
 
 Cases: a null text is an empty one, which scores as one window of padding; labels other than 0 and 1 and nulls teach
 nothing; without labels of both kinds every score is the share of label 1 (0.5 if there are none); several labels of
-one document count as the lowest, and of several texts of one doc_id the least teaches; rows repeat as they are; an
-empty table gives an empty table; all columns stay.
+one document count as the lowest, and of several texts of one doc_id the least teaches; a text of more than
+``TRAIN_BYTES`` is scored whole and does not teach; a null doc_id is scored, has no label, and neither is nor is not held
+out (null); rows repeat as they are; an empty table gives an empty table; all columns stay.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 from . import tokens
 
 TRAIN_ROWS, THRESHOLD, FOLDS, HELD_OUT = 1600, 0.7, 4, 2
+#: Bytes of a text that may teach: with TRAIN_ROWS the bound of what comes to the driver.
+TRAIN_BYTES = 1 << 18
 WINDOW, STRIDE, BLOCK, DEPTH, FILTERS = 12, 4, 256, 8, 24
 
 
@@ -142,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most ``rows`` ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "doc_id")
     texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one of each id, however often it repeats
+    texts = texts.where(F.octet_length("text") <= TRAIN_BYTES)
     sample = sorted((r.doc_id, r.quality, r.text) for r in texts.toLocalIterator())
     y = np.array([q for _, q, _ in sample], np.float32)
     if len(set(y.tolist())) < 2:

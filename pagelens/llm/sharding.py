@@ -9,8 +9,8 @@ narrow range of each and a reader can skip files by any of them.
 The law is ``rows``: the counts of two shards differ by one at most.  Equal texts stand side by side: if their
 languages or sources differ, all of them take the first of their places.
 
-Cases: a null text has size 16; nulls of language and source are a step of their own, the first; rows repeat as they
-are; with fewer rows than shards some shards are empty; an empty table gives an empty table.  ``shard_documents`` puts
+Cases: a null text has size 16; nulls of language and source are a step of their own, the first; a null doc_id stays
+one; rows repeat as they are; with fewer rows than shards some shards are empty; an empty table gives an empty table.  ``shard_documents`` puts
 size, shard and slot behind the columns of docs and refuses docs that already have one of these; other names never
 clash.
 """
