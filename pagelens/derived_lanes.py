@@ -16,12 +16,14 @@ from .functions import urls as U
 from .operators import crawl as C
 from .operators import probes as P
 from .operators import relational as R
+from .operators import teardown as D
 from .operators.order_statistics import first_rows
 from .operators.ordering import checkpoint_dir
 from .plans import draft_lane, evidence, fixes, meta_lane, page_audit, rubric, site_items
 from .sinks import reports
 from .sources import answers
 from .sources.responses import decoded
+from .site_queries import MINE
 from .sources.tables import pages, reach, table
 
 
@@ -204,6 +206,24 @@ def page_fixes(spark, sf_dir):
     return first.join(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id").select("page_id", "item", "fix", fixes.check_command(F.col("item"), F.col("url")).alias("command"))
 
 
+# --- other sites -----------------------------------------------------------------------------------------------------
+
+
+def rival_topics(spark, sf_dir):
+    """Topics of the four other sites with most pages, of twelve evenly spaced pages each, that one's own twelve lack."""
+    listed = pages(spark, sf_dir).select(U.bare_host(F.col("url")).alias("site"), "page_id", "url", "html")
+    rivals = listed.groupBy("site").agg((-F.count(F.lit(1))).alias("pos"))
+    seen = D.scanned_pages(listed.select("site", "page_id"), MINE, rivals)
+    traits = D.page_traits(page_audit.facts(listed.join(seen.select("page_id"), "page_id", "left_semi").drop("site")))
+    return D.topics(traits, MINE).withColumn("density", F.round("density", 9))
+
+
+def page_winners(spark, sf_dir):
+    """What a writer takes from each page."""
+    told = D.winner_pages(page_audit.facts(pages(spark, sf_dir)))
+    return told.select("page_id", "observed", "n_blocks", "n_fact_blocks", F.array_join("quotable", "|").alias("quotable"), F.array_join("questions", "|").alias("questions"))
+
+
 # --- drafts ----------------------------------------------------------------------------------------------------------
 
 
@@ -281,5 +301,5 @@ def page_answers(spark, sf_dir):
 
 _QUERIES = [
     page_lastmod_dates, page_joined_links, page_source_tier, site_entry_points, site_variant_landings, site_sitemaps, site_sitemap_found, site_sitemap_entries, site_sitemap_limits, sitemap_issue_examples, title_classes,
-    title_class_links, page_item_evidence, page_meta_lengths, page_exit_codes, page_reports, page_fixes, document_draft_blocks, document_draft_items, page_draft_line, page_answers,
+    title_class_links, page_item_evidence, page_meta_lengths, page_exit_codes, page_reports, page_fixes, rival_topics, page_winners, document_draft_blocks, document_draft_items, page_draft_line, page_answers,
 ]

@@ -7,6 +7,7 @@ from .derived_oracles import _ADDRESSES, _BODIES
 from .functions.text import MARKETING
 from .oracles import _DATED, _FIRST, _FIRST_SENTENCE, _HOST, _IS_FACT, _LONG, _PAGE, _PATH, _SITE_TERMS, _TITLE, ORACLES, _clean, _terms
 from .plans.fixes import CHECKS, FIXES
+from .site_oracles import _MINE, SITE_ORACLES
 
 
 def _list(*values: str) -> str:
@@ -82,3 +83,11 @@ l AS (SELECT page_id, CASE WHEN count(*) >= 3 THEN list(density ORDER BY density
 SELECT d.page_id, CASE WHEN density >= coalesce(line, 0.3) THEN 3 WHEN density >= 0.6 * coalesce(line, 0.3) THEN 2 WHEN density > 0 THEN 1 ELSE 0 END AS "W1" FROM d LEFT JOIN l USING (page_id)""",
     "page_answers": f"SELECT page_id, {_HOST} AS host, [200, 200, 403, 200, NULL][(page_id % 5 + 1)::INT] AS status, ['ok', 'ok', 'blocked', 'ok', 'unknown'][(page_id % 5 + 1)::INT] AS reach, CASE WHEN page_id % 5 < 4 THEN sha256(html) END AS text_sha256, CASE WHEN page_id % 5 = 4 THEN 'timed out' END AS error FROM pages",
 }
+
+_SENTENCES = _FIRST_SENTENCE.removesuffix("[1]")
+_PICKED = f"""WITH h AS (SELECT page_id, {_HOST} AS site FROM pages), r AS (SELECT site FROM h WHERE site <> {_MINE} GROUP BY site ORDER BY count(*) DESC, site LIMIT 4),
+w AS (SELECT page_id, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY site) AS n FROM h WHERE site = {_MINE} OR site IN (FROM r)),
+pick AS (SELECT page_id FROM w WHERE k % greatest(1, n // 12) = 0 AND k // greatest(1, n // 12) < 12), p AS"""
+LANE_ORACLES["rival_topics"] = SITE_ORACLES["site_topics"].replace("WITH p AS", _PICKED, 1).replace("FROM pages), t AS", "FROM pages WHERE page_id IN (FROM pick)), t AS", 1)
+LANE_ORACLES["page_winners"] = f"""{_PAGE}, q AS (SELECT page_id, len(blocks)::INT AS n_blocks, list_filter(blocks, lambda b: regexp_matches(b.text, '{_DATED}')) AS held, {_SENTENCES} AS said FROM p)
+SELECT page_id, true AS observed, n_blocks, len(held)::INT AS n_fact_blocks, array_to_string(list_transform(held[1:6], lambda b: b.text[1:220]), '|') AS quotable, array_to_string((list_filter(said, lambda s: regexp_matches(s, '[?？]$')))[1:6], '|') AS questions FROM q"""

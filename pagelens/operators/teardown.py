@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jsonld as J
 from ..functions import text as T
 from .order_statistics import exact_medians
 from .ordering import settled
-from .relational import term_coverage
+from .relational import systematic_sample, term_coverage
 
 # Codes of languages and countries, and words of measure and of anything, that are no topics.
 LANG_CODES = (
@@ -17,20 +18,35 @@ LANG_CODES = (
 ).split()
 UNIT_WORDS = "min mins sec secs hr hrs kb mb gb ms px pcs pct num no yes new top all free best online tool tools app apps site web page".split()
 DENSE, TOP = 0.3, 20
+RIVALS, PAGES = 4, 12
+
+
+def scanned_pages(pages: DataFrame, mine: str, rivals: DataFrame, most: int = RIVALS, per_site: int = PAGES) -> DataFrame:
+    """The pages (site, page_id, ...) that a teardown looks at: evenly spaced ones of one's own site and of the first rivals (site, pos)."""
+    first = rivals.where(F.col("site") != mine).orderBy("pos", "site").limit(most).select("site")
+    sites = first.unionByName(rivals.sparkSession.createDataFrame([(mine,)], "site string"))
+    return systematic_sample(pages.join(F.broadcast(sites), "site", "left_semi"), "site", "page_id", per_site)  # most + 1 sites
 
 
 def page_traits(facts: DataFrame) -> DataFrame:
-    """What is compared of each page that was observed; the others are in no statistic."""
+    """What is compared of each page that was observed; the others are in no statistic.
+
+    Pages are parsed once, into a table of their traits; JSON-LD goes through Python for pages that have some alone.
+    """
     seen = facts.where("body is not null")
     first = F.get("h1", F.lit(0))
-    return seen.select(
+    base = seen.select(
         "site", "page_id", "url",
         T.terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), first)).alias("terms"),
         F.size("words").alias("n_words"),
         F.coalesce(F.size(F.filter("blocks", T.has_fact)) / F.nullif(F.size("blocks"), F.lit(0)), F.lit(0.0)).alias("density"),
-        F.col("ld.types").alias("types"), "n_tables", "n_images", "has_video",
+        F.when(F.size("ld_raw") > 0, F.col("ld_raw")).alias("blocks_ld"), "n_tables", "n_images", "has_video",
         F.size(F.filter("blocks", T.is_cited)).alias("n_cited"),
     )
+    base = settled(base)
+    some = base.where("blocks_ld is not null").withColumn("types", J.facts_of(F.col("blocks_ld"))["types"])
+    none = base.where("blocks_ld is null").withColumn("types", J.no_facts()["types"])
+    return some.unionByName(none).drop("blocks_ld")
 
 
 def page_terms(traits: DataFrame) -> DataFrame:
