@@ -213,4 +213,7 @@ def page_noindex_signals(spark, sf_dir):
     return P.noindex_signals(spliced(spark, sf_dir).select(F.col("page_id").alias("id"), T.meta_robots(F.col("html")).alias("meta_robots"), header.alias("header")))
 
 
-_QUERIES = [page_robots_verdicts, page_index_gate, site_robots_observation, site_robots_groups, site_blocked_classes, site_sitemap_lines, site_noindex_lines, page_redirects, page_canonical_landing, page_peer_items, page_jsonld_types, page_jsonld_values, page_declared_items, page_descriptions, page_image_list, page_outside_domains, page_noindex_signals]
+_QUERIES = [
+    page_robots_verdicts, page_index_gate, site_robots_observation, site_robots_groups, site_blocked_classes, site_sitemap_lines, site_noindex_lines, page_redirects, page_canonical_landing,
+    page_peer_items, page_jsonld_types, page_jsonld_values, page_declared_items, page_descriptions, page_image_list, page_outside_domains, page_noindex_signals,
+]

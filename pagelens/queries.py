@@ -355,7 +355,13 @@ def repeated_heads(spark, sf_dir):
     return site_items.repeated_heads(pages(spark, sf_dir).select("page_id", U.bare_host(F.col("url")).alias("site"), T.title(h).alias("title"), T.meta_description(h).alias("description")))
 
 
-_QUERIES = [page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts, source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, full_scorecard, full_next_action, full_run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain, marketing_hits, dangling_paragraphs, fact_density_docs, lang_vs_url_segment, title_length_class, noindex_signals, sample_liveness, variant_landings, draft_items, page_draft_items, reach_gate, index_gate, sitemap_found, sitemap_score, canonical_landing, declared_values, keyword_overlap, shared_term, repeated_heads]
+_QUERIES = [
+    page_clean_text_stats, page_head_facts, page_link_counts, page_structure_counts, page_blocks, first_50_words, nav_word_share, title_terms, sentence_extract, fact_density_by_page, url_parts,
+    source_tier, term_coverage, topic_gaps, title_keyword_clash, duplicate_titles, systematic_sample, bench_summary, audit_items, lane_scorecard, next_action, run_compare, full_scorecard,
+    full_next_action, full_run_compare, meta_items, reach_class, robots_decision, sitemap_hygiene, redirect_chain, marketing_hits, dangling_paragraphs, fact_density_docs, lang_vs_url_segment,
+    title_length_class, noindex_signals, sample_liveness, variant_landings, draft_items, page_draft_items, reach_gate, index_gate, sitemap_found, sitemap_score, canonical_landing, declared_values,
+    keyword_overlap, shared_term, repeated_heads,
+]
 
 
 #: Queries on a few inline rows, one for each branch of an operator: tests run them, the driver's list has those on tables.
