@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ MARKETING = (
 DANGLING = r"(?i)^\s*(它们|它|他们|该方案|该功能|该产品|这一点|这些|那些|上述|this\b|that\b|these\b|those\b|it\b|they\b)"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row; a column that is used in a lambda is otherwise computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     """text without white space of any kind at its ends."""
     return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")

@@ -72,11 +72,26 @@ def keyword_overlap(pairs: DataFrame, peers: DataFrame) -> DataFrame:
     return seen.select("site", F.when(F.col("peers") < 3, None).when(n == 0, 3).when(n == 1, 2).when(n <= 3, 1).otherwise(0).alias("K1"))
 
 
+def shared_terms(*places: Column) -> Column:
+    """struct<most, terms>: in how many of the places one term stands, and the terms that stand in that many, in order.
+
+    A place has each of its terms once, so in the sorted list of all of them a term stands as often as places have it.
+    """
+    found = F.sort_array(F.flatten(F.array(*(T.terms(F.coalesce(c, F.lit(""))) for c in places))))
+
+    def told(s: Column) -> Column:
+        times = lambda n: F.filter(s, lambda t, i: t == F.get(s, i + n - 1))
+        most = F.lit(0)
+        for n in range(1, len(places) + 1):
+            most = F.when(F.size(times(F.lit(n))) > 0, n).otherwise(most)
+        return T.bound(most, lambda m: F.struct(m.alias("most"), F.when(m > 0, times(m)).otherwise(s).alias("terms")))
+
+    return T.bound(found, told)
+
+
 def shared_score(*places: Column) -> Column:
     """K2 of the four places where a keyword may stand: in how many of them one term does."""
-    terms = F.array(*(T.terms(F.coalesce(c, F.lit(""))) for c in places))
-    most = F.array_max(F.transform(F.array_distinct(F.flatten(terms)), lambda t: F.size(F.filter(terms, lambda p: F.array_contains(p, t)))))
-    return F.when(most >= 4, 3).when(most == 3, 2).when(most == 2, 1).otherwise(0)
+    return T.bound(shared_terms(*places)["most"], lambda most: F.when(most >= 4, 3).when(most == 3, 2).when(most == 2, 1).otherwise(0))
 
 
 def shared_term(page: DataFrame) -> DataFrame:
