@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Patterns and word lists that decide results.
 WORD = r"[A-Za-z0-9][A-Za-z0-9'’\-]*|[一-鿿぀-ヿ가-힯]"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: Spaces of all kinds, which stand at the ends of no sentence.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 DROPPED = ("script", "style", "head", "noscript", "svg", "template")
 BLOCK_TAGS = ("p", "li", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "td", "th", "dd")
 STOP = (
@@ -79,7 +81,7 @@ def distinct_tags(html: Column, name: str, limit: int = 40) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(text, r"(?<=[.!?。！？])\s+|(?<=[。！？])"), F.trim)
+    parts = F.transform(F.split(text, r"(?<=[.!?。！？])\s+|(?<=[。！？])"), lambda s: F.trim(s, F.lit(SPACES)))
     return F.filter(parts, lambda s: F.char_length(s) >= 20)
 
 

@@ -3,6 +3,9 @@
 import itertools
 import time
 
+from pyspark.sql import functions as F
+
+from pagelens.functions import text as T
 from pagelens.plans import evidence, page_audit
 
 
@@ -18,3 +21,11 @@ def test_same_word_of_a_long_page_in_one_pass(spark):
     rows = {r.item: r for r in evidence.item_evidence(page_audit.facts(spark.createDataFrame([(1, f"http://a.org/{words[250]}", html), (2, "http://a.org/x", "<p></p>")], "page_id long, url string, html string"))).where("page_id = 1").collect()}
     assert (rows["K2"].n, rows["K2"].score, rows["K2"].evidence) == (4, 3, [words[250]])
     assert time.time() - began < 40
+
+
+def test_sentences_keep_their_digits(spark):
+    """The place of a sentence was taken for the characters to trim, and its digits went from the sentence's ends."""
+    text = "Nothing is before this sentence. 1 is what this one begins with. And this one ends with the number 2.\u3000 \u00a0\u2009Spaces of all kinds go.\u00a0"
+    got = spark.createDataFrame([(text.replace("2.", "2! Four words of five. 4 1 2 3 0"),), (text,)], "t string").select(T.sentences(F.col("t")).alias("s")).collect()
+    assert got[1].s == ["Nothing is before this sentence.", "1 is what this one begins with.", "And this one ends with the number 2.\u3000 \u00a0\u2009Spaces of all kinds go."]
+    assert got[0].s[1:3] == ["1 is what this one begins with.", "And this one ends with the number 2!"] and got[0].s[-1].startswith("4 1 2 3 0")
