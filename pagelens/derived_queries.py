@@ -132,7 +132,7 @@ def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_peer_items(spark, sf_dir):
     """K1 of each page by its own peers; its site lists two of three pages."""
     entries = _addresses(spark, sf_dir).where("page_id % 3 > 0").select("site", F.col("page_id").alias("pos"), "url")
-    told = peers.peer_items(peers.page_peers(_heads(spark, sf_dir), entries))
+    told = peers.peer_items(peers.page_peers(_heads(spark, sf_dir).withColumn("on_list", F.col("page") % 3 > 0), entries))
     shown = F.array_join(F.array_sort(F.transform("clashes", lambda c: F.concat(c["a"], F.lit(" "), c["b"]))), "|")
     return told.select(F.col("page").alias("page_id"), "n_peers", F.size("clashes").alias("n_clashes"), shown.alias("clashes"), F.size("twins").alias("n_twins"), "K1")
 

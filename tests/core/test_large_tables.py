@@ -3,10 +3,12 @@
 import itertools
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.plans import evidence, page_audit
+from pagelens.queries import oracle_sql, queries
 
 
 def _words(n):
@@ -29,3 +31,22 @@ def test_sentences_keep_their_digits(spark):
     got = spark.createDataFrame([(text.replace("2.", "2! Four words of five. 4 1 2 3 0"),), (text,)], "t string").select(T.sentences(F.col("t")).alias("s")).collect()
     assert got[1].s == ["Nothing is before this sentence.", "1 is what this one begins with.", "And this one ends with the number 2.\u3000 \u00a0\u2009Spaces of all kinds go."]
     assert got[0].s[1:3] == ["1 is what this one begins with.", "And this one ends with the number 2!"] and got[0].s[-1].startswith("4 1 2 3 0")
+
+
+def _equal(spark, name, rows, folder):
+    """A query over pages (page_id, url, html) equals its SQL."""
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    got, want = queries()[name](spark, str(folder)), con.sql(oracle_sql()[name])
+    pick = lambda names: sorted(range(len(names)), key=lambda i: names[i])
+    shown = lambda names, found: sorted(repr([r[i] for i in pick(names)]) for r in found)
+    assert shown(got.columns, [tuple(r) for r in got.collect()]) == shown(want.columns, want.fetchall())
+
+
+def test_peers_of_one_address(spark, tmp_path):
+    """Pages of one address, of which some are listed, some are not and one was not observed."""
+    heads = ["red apple pie", "red apple pie", "green tea cup", "blue sky", "red apple pie now"]
+    rows = [(k, f"http://a.org/{[0, 1, 1, 1, 4, 5, 6, 6, 8, 9, 0, 11, 11, 13, 14, 9][k]}", f"<title>{heads[k % 5]}</title><h1>{heads[k % 3]}</h1>") for k in range(16)]
+    rows += [(k, f"http://b.org/{k % 3}", f"<title>{heads[k % 5]}</title>") for k in range(20, 45)] + [(k, "http://c.org/", "<title>one</title>") for k in (50, 51, 55)]
+    _equal(spark, "page_peer_items", rows, tmp_path)
