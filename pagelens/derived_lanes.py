@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -22,7 +22,7 @@ from .operators.ordering import checkpoint_dir
 from .plans import draft_lane, evidence, fixes, meta_lane, page_audit, rubric, site_items
 from .sinks import reports
 from .sources import answers
-from .sources.responses import decoded
+from .sources.responses import decoded, in_slices
 from .site_queries import MINE
 from .sources.tables import pages, reach, table
 
@@ -271,15 +271,17 @@ def page_draft_line(spark, sf_dir):
 # --- stored answers --------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(BinaryType())
-def _packed(raw: pd.Series) -> pd.Series:
-    """Bodies as a server packs them."""
+def _pack(raw: bytes | None) -> bytes | None:
+    if raw is None:
+        return None
+    c = zlib.compressobj(6, zlib.DEFLATED, 16 + zlib.MAX_WBITS)
+    return c.compress(raw) + c.flush()
 
-    def pack(x: bytes) -> bytes:
-        c = zlib.compressobj(6, zlib.DEFLATED, 16 + zlib.MAX_WBITS)
-        return c.compress(x) + c.flush()
 
-    return raw.map(pack, na_action="ignore")
+@F.arrow_udf(BinaryType())
+def _packed(raw: pa.Array) -> pa.Array:
+    """Bodies as a server packs them."""
+    return in_slices(_pack, pa.binary(), raw)
 
 
 def page_answers(spark, sf_dir):

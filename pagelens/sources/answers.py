@@ -112,7 +112,7 @@ class _StoredWriter(DataSourceArrowWriter):
         system.create_dir(folder, recursive=True)
         open_, files, task = {}, {}, uuid.uuid4().hex
         try:
-            for batch in iterator:
+            for batch in (b.slice(i, ROWS) for b in iterator for i in range(0, b.num_rows, ROWS)):
                 told = pa.array([bucket_of(h, self.buckets) for h in batch.column("host").to_pylist()], pa.int32())
                 for b in pc.unique(told).to_pylist():
                     if b not in open_:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +31,19 @@ def _text(raw: bytes | None, encoding: str | None, content_type: str | None) ->
         return raw.decode("utf-8", "replace")
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(raw: pd.Series, encoding: pd.Series, content_type: pd.Series) -> pd.Series:
-    return pd.Series([_text(*row) for row in zip(raw, encoding, content_type, strict=True)], dtype=object)
+#: Rows of a batch that are unpacked at once; batches hold as many rows as the session says, of any length.
+ROWS = 128
+
+
+def in_slices(of: Callable[..., object], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """of(...) for each row of Arrow columns, a few rows at a time, so that only these are Python objects."""
+    parts = [pa.array([of(*row) for row in zip(*(c.slice(i, ROWS).to_pylist() for c in columns), strict=True)], kind) for i in range(0, len(columns[0]), ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(T.StringType())
+def _decoded(raw: pa.Array, encoding: pa.Array, content_type: pa.Array) -> pa.Array:
+    return in_slices(_text, pa.string(), raw, encoding, content_type)
 
 
 def decoded(raw: Column, encoding: Column, content_type: Column) -> Column:

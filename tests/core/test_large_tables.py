@@ -2,13 +2,16 @@
 
 import itertools
 import time
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.plans import evidence, page_audit
 from pagelens.queries import oracle_sql, queries
+from pagelens.sources import responses
 
 
 def _words(n):
@@ -50,3 +53,17 @@ def test_peers_of_one_address(spark, tmp_path):
     rows = [(k, f"http://a.org/{[0, 1, 1, 1, 4, 5, 6, 6, 8, 9, 0, 11, 11, 13, 14, 9][k]}", f"<title>{heads[k % 5]}</title><h1>{heads[k % 3]}</h1>") for k in range(16)]
     rows += [(k, f"http://b.org/{k % 3}", f"<title>{heads[k % 5]}</title>") for k in range(20, 45)] + [(k, "http://c.org/", "<title>one</title>") for k in (50, 51, 55)]
     _equal(spark, "page_peer_items", rows, tmp_path)
+
+
+def test_answers_are_unpacked_a_few_at_a_time():
+    """Of a batch of long answers only a few are Python objects at once."""
+    n, body = 4000, b"\xc3\xa9" * 10_000
+    columns = (pa.array([body, None] * (n // 2), pa.binary()), pa.nulls(n, pa.string()), pa.array(["text/html; charset=utf-8"] * n))
+    tracemalloc.start()
+    try:
+        told = responses._decoded.func(*columns)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert told[0].as_py() == "é" * 10_000 and told[1].as_py() is None and len(told) == n
+    assert peak < 16 << 20
