@@ -119,7 +119,7 @@ def draft_items(drafts: DataFrame, sources: DataFrame, densities: DataFrame, com
     valid = F.size(F.array_intersect(types, F.array(*map(F.lit, VALID_TYPES))))
     media = F.arrays_overlap(types, F.array(F.lit("ImageObject"), F.lit("VideoObject")))
     n = F.size("internal")
-    hype = F.aggregate("blocks", F.lit(0), lambda k, b: k + F.regexp_count(b["text"], F.lit(T.MARKETING)))
+    hype = F.aggregate("blocks", F.lit(0), lambda k, b: k + F.regexp_count(b["text"], F.lit(T.MARKETING_SCAN)))
     own = facts.join(lines(densities), "id", "left").select(
         "id",
         F.when(F.col("has_question"), ((hit >= F.least(F.lit(2), F.size("asked"))) & (F.size("words") >= 20)).cast("int")).alias("WG1"),

@@ -26,7 +26,7 @@ def _first_hits() -> Column:
 
 def _phrases_held() -> Column:
     """Marketing phrases, each as often as it stands there."""
-    return F.flatten(F.transform("blocks", lambda b: F.regexp_extract_all(b["text"], F.lit(T.MARKETING), F.lit(0))))
+    return F.flatten(F.transform("blocks", lambda b: F.regexp_extract_all(b["text"], F.lit(T.MARKETING_SCAN), F.lit(0))))
 
 
 def _same_word() -> Column:

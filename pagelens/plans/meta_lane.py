@@ -40,7 +40,7 @@ def meta_items(pairs: DataFrame) -> DataFrame:
         .when(F.col("page_type") == "tool", both.rlike(TOOL_VERB).cast("int") + (both.rlike(HOOKS["output"]) | both.rlike(HOOKS["number"])).cast("int"))
         .when(F.col("page_type") == "pricing", both.rlike(r"\d").cast("int") + both.rlike(HOOKS["price"]).cast("int"))
     )
-    hype = F.regexp_count(both, F.lit(T.MARKETING))
+    hype = F.regexp_count(both, F.lit(T.MARKETING_SCAN))
     return pairs.select(
         "id",
         ((n >= 6) & (m >= 20)).cast("int").alias("MG1"),

@@ -233,7 +233,7 @@ def redirect_chain(spark, sf_dir):
 
 def marketing_hits(spark, sf_dir):
     p = pages(spark, sf_dir).select("page_id", T.blocks(F.col("html")).alias("b"))
-    return p.select("page_id", F.aggregate("b", F.lit(0), lambda n, b: n + F.regexp_count(b["text"], F.lit(T.MARKETING))).alias("hits"))
+    return p.select("page_id", F.aggregate("b", F.lit(0), lambda n, b: n + F.regexp_count(b["text"], F.lit(T.MARKETING_SCAN))).alias("hits"))
 
 
 def dangling_paragraphs(spark, sf_dir):

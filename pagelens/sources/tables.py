@@ -21,16 +21,20 @@ def results(spark: SparkSession, path: str, columns: str) -> DataFrame:
     return spark.read.schema(columns).json(path)
 
 
-#: Bytes of a table, by core, up to which it may be dealt anew.
-SMALL = 16 << 20
+#: Bytes of the files of pages that a task should have at most: reading what a page says takes far longer than dealing it out.
+SHARE = 8 << 20
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as their files are split; dealt anew only if they are few and small, so that no large table of HTML is shuffled."""
+    """Pages, dealt anew where their files are fewer than the cores, or than shares of SHARE.
+
+    A file is split by its groups of rows alone, so a large one would be a few long tasks; what is dealt is a part of the
+    table's size, and taking the pages apart takes seconds for each of its megabytes.
+    """
     found = table(spark, sf_dir, "pages")
-    cores = spark.sparkContext.defaultParallelism
     size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, as the scan knows it
-    return found.repartition(cores) if len(found.inputFiles()) < cores and size < SMALL * cores else found
+    shares = max(spark.sparkContext.defaultParallelism, -(-size // SHARE))
+    return found.repartition(shares) if len(found.inputFiles()) < shares else found
 
 
 # Statuses of a site that is up and turned this request away.
