@@ -54,12 +54,14 @@ def similar_pairs(terms: DataFrame, threshold: float = 0.6) -> DataFrame:
     return met.withColumn("jaccard", both / (F.size("x") + F.size("y") - both)).where(F.col("jaccard") >= threshold).select("site", "a", "b", "jaccard")
 
 
-def similar_classes(terms: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_classes(terms: DataFrame, threshold: float = 0.6, enough: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages of a site with equal term sets as one class, and classes that are similar, of (site, page_id, term).
 
     (site, class, n_pages): class is the least page_id.  (site, page_id, class): which pages belong to it.
     (site, a, b, pages_a, pages_b, jaccard): similar classes, each pair once.  Pairs inside of a class are known by its
     number of pages alone and are never made; of the rest see ``similar_pairs``, whose prefixes are those of classes here.
+    With ``enough``, sites whose pages have that many pairs inside of classes have no similar classes looked for: a score
+    that does not tell more pairs apart is settled by then.
     """
     terms = settled(terms.select("site", "page_id", "term").distinct())
     sets = terms.groupBy("site", "page_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))  # a page's own few terms
@@ -67,7 +69,11 @@ def similar_classes(terms: DataFrame, threshold: float = 0.6) -> tuple[DataFrame
     classes = settled(sets.groupBy("site", "key", "terms").agg(F.min("page_id").alias("class"), F.count(F.lit(1)).alias("n_pages")))
     members = sets.join(classes.select("site", "key", F.col("terms").alias("_terms"), "class"), ["site", "key"]).where(F.col("terms") == F.col("_terms")).select("site", "page_id", "class")
 
-    posted = classes.select("site", "class", F.explode("terms").alias("term"))
+    open_ = classes
+    if enough is not None:
+        pairs = F.sum(F.col("n_pages") * (F.col("n_pages") - 1) / 2)
+        open_ = classes.join(settled(classes.groupBy("site").agg(pairs.alias("pairs")).where(F.col("pairs") >= enough).select("site")), "site", "left_anti")
+    posted = open_.select("site", "class", F.explode("terms").alias("term"))
     common = settled(posted.groupBy("site", "term").agg(F.count(F.lit(1)).alias("classes")))
     ordered = posted.join(common, ["site", "term"]).groupBy("site", "class").agg(F.transform(F.array_sort(F.collect_list(F.struct("classes", "term"))), lambda x: x["term"]).alias("order"))
     n = F.size("order")

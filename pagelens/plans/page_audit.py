@@ -69,7 +69,7 @@ def scored_pages(page: DataFrame, more: dict[str, Column] | None = None, declare
     said = said if compat else F.array_union(said, T.terms(F.array_join(first, "")))
     hit = F.size(F.array_intersect(T.terms(F.concat_ws(" ", title, F.coalesce("description", F.lit("")))), said))
     fact = F.size(F.filter("blocks", T.is_fact)) / F.nullif(size("blocks"), F.lit(0))
-    hype = F.aggregate("blocks", F.lit(0), lambda n, b: n + F.regexp_count(b["text"], F.lit(T.MARKETING)))
+    hype = F.aggregate("blocks", F.lit(0), lambda n, b: n + F.regexp_count(b["text"], F.lit(T.MARKETING_SCAN)))
     types, n_ld, broken = F.col("ld.types"), F.col("ld.blocks"), F.col("ld.broken")
     has_ld = F.size("ld_raw") > 0
     on_page, on_site = F.size(F.array_intersect(types, F.array(*map(F.lit, PAGE_TYPES)))), F.size(F.array_except(types, F.array(*map(F.lit, PAGE_TYPES))))
@@ -114,8 +114,8 @@ def scored_pages(page: DataFrame, more: dict[str, Column] | None = None, declare
 
 
 def site_overlap(scored: DataFrame) -> DataFrame:
-    """(site, K1) of ``scored_pages``."""
-    classes, _, links = similar_classes(scored.select("site", "page_id", F.explode("terms").alias("term")))
+    """(site, K1) of ``scored_pages``; K1 is the same for all numbers of pairs from four on."""
+    classes, _, links = similar_classes(scored.select("site", "page_id", F.explode("terms").alias("term")), enough=4)
     return keyword_overlap(alike_pages(classes, links), scored.select("site"))
 
 

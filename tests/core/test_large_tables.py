@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
+from pagelens.operators.relational import similar_classes
 from pagelens.plans import evidence, page_audit
 from pagelens.queries import oracle_sql, queries
-from pagelens.sources import responses
+from pagelens.sources import responses, tables
 
 
 def _words(n):
@@ -67,3 +68,22 @@ def test_answers_are_unpacked_a_few_at_a_time():
         tracemalloc.stop()
     assert told[0].as_py() == "é" * 10_000 and told[1].as_py() is None and len(told) == n
     assert peak < 16 << 20
+
+
+def test_large_files_of_pages_are_dealt_to_more_tasks_than_cores(spark, tmp_path, monkeypatch):
+    rows = [(k, f"http://a.org/{k}", str(hash(f"{k}")) * 40) for k in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(tables, "SHARE", 1 << 10)
+    found = tables.pages(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert sorted(tuple(r) for r in found.collect()) == rows
+
+
+def test_sites_with_enough_pairs_are_not_compared(spark):
+    """Four pairs settle K1: only a site with fewer inside of its classes has similar classes looked for."""
+    titles = {"a": ["red apple pie"] * 4 + ["red apple tart pie"] * 2, "b": ["red apple pie"] * 2 + ["red apple tart pie", "blue sky"], "c": ["one two three", "four five six", "seven eight nine"]}
+    pages = [(s, f"{s}{k}", t.split()) for s, ts in titles.items() for k, t in enumerate(ts)]
+    scored = spark.createDataFrame(pages, "site string, page_id string, terms array<string>")
+    terms = scored.select("site", "page_id", F.explode("terms").alias("term"))
+    assert {r.site for r in similar_classes(terms)[2].collect()} == {"a", "b"} and {r.site for r in similar_classes(terms, enough=4)[2].collect()} == {"b"}
+    assert {tuple(r) for r in page_audit.site_overlap(scored).collect()} == {("a", 0), ("b", 1), ("c", 3)}
